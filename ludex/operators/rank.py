@@ -15,3 +15,237 @@ def top_k(df: DataFrame, k: int, order: list[Column], per: str | list[str] | Non
     per = [per] if isinstance(per, str) else per
     w = Window.partitionBy(*per).orderBy(*order)
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
+
+
+# R11 R19 --------------------------------------------------------------------
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+
+from ludex.session import cut_lineage  # noqa: E402
+
+# Item vectors are shipped to tasks in blocks of at most this many values
+# (items x dims); the catalogue size is counted first, so every broadcast is
+# bounded whatever the catalogue grows to.
+ITEM_BLOCK_VALUES = 8_000_000
+
+
+def _kernel_topk(item_ids: np.ndarray, item_mat: np.ndarray, k: int, user: str, item: str):
+    order_ids = np.argsort(item_ids, kind="stable")
+    sorted_ids = item_ids[order_ids]
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            u = np.stack(pdf["_vec"].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
+            scores = u @ item_mat.T
+            out_u, out_i, out_s = [], [], []
+            for r, (uid, seen) in enumerate(zip(pdf[user].to_numpy(), pdf["_seen"])):
+                s = scores[r].copy()
+                if seen is not None and len(seen):
+                    seen = np.asarray(seen, dtype=item_ids.dtype)
+                    pos = np.clip(np.searchsorted(sorted_ids, seen), 0, len(sorted_ids) - 1)
+                    s[order_ids[pos[sorted_ids[pos] == seen]]] = -np.inf
+                finite = np.isfinite(s)
+                m = int(finite.sum())
+                if m == 0:
+                    continue
+                kk = min(k, m)
+                kth = np.partition(s[finite], m - kk)[m - kk]
+                cand = np.nonzero(finite & (s >= kth))[0]
+                cand = cand[np.lexsort((item_ids[cand], -s[cand]))][:kk]
+                out_u.extend([uid] * len(cand))
+                out_i.extend(item_ids[cand].tolist())
+                out_s.extend(s[cand].tolist())
+            yield pd.DataFrame({user: np.asarray(out_u, dtype="int64"), item: np.asarray(out_i, dtype="int64"),
+                                "score": np.asarray(out_s, dtype=float)})
+    return run
+
+
+def recommend_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None, k: int = 10,
+                   user: str = "user_id", item: str = "app_id", vec: str = "features",
+                   block_values: int = ITEM_BLOCK_VALUES) -> DataFrame:
+    """R11 + R19: exact top-k unseen items per user by dot-product score.
+
+    No candidate pairs are materialised (no cross join): the catalogue is
+    counted, split into blocks whose size is bounded by ``block_values``,
+    each block is broadcast to a ``mapInPandas`` pass over the users
+    (batched matrix product, seen items masked, exact top-k with ties broken
+    by item id), and the per-block winners (k per block per user) are merged
+    by a per-user ``row_number``.  A user's seen list is bounded by the
+    catalogue (rows are unique per (user, item)).
+    """
+    spark = user_vecs.sparkSession
+    n_items = item_vecs.count()
+    first = item_vecs.select(F.size(vec)).first()
+    dim = int(first[0]) if first else 1
+    n_blocks = max(1, int(np.ceil(n_items * max(dim, 1) / block_values)))
+    users = user_vecs.select(F.col(user).cast("long").alias(user), F.col(vec).alias("_vec"))
+    if seen is not None:
+        lists = seen.select(F.col(user).cast("long").alias(user), F.col(item).cast("long").alias(item)) \
+            .groupBy(user).agg(F.collect_list(item).alias("_seen"))
+        users = users.join(lists, user, "left")
+    else:
+        users = users.withColumn("_seen", F.lit(None).cast("array<long>"))
+    parts = []
+    for b in range(n_blocks):
+        blk = item_vecs.filter(F.pmod(F.xxhash64(F.col(item)), F.lit(n_blocks)) == b) if n_blocks > 1 else item_vecs
+        rows = blk.select(F.col(item).cast("long"), F.col(vec)).collect()   # bounded by block_values
+        if not rows:
+            continue
+        ids = np.asarray([r[0] for r in rows], dtype="int64")
+        mat = np.asarray([np.asarray(r[1], dtype=float) for r in rows], dtype=float)
+        bc = spark.sparkContext.broadcast((ids, mat))
+
+        def run(batches, bc=bc):
+            ids_, mat_ = bc.value
+            yield from _kernel_topk(ids_, mat_, k, user, item)(batches)
+        parts.append(users.mapInPandas(run, f"{user} long, {item} long, score double"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    w = Window.partitionBy(user).orderBy(F.desc("score"), F.asc(item))
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def format_recommendations(recs: DataFrame, names: DataFrame, item: str = "app_id",
+                           name: str = "game_name") -> DataFrame:
+    """R19 presentation: name lookup, score as '%.4f', user-facing column names."""
+    return recs.join(names.select(item, name), item, "left").select(
+        "user_id", "rank", F.col(item).alias("app_id"), F.col(name).alias("Game"),
+        F.format_string("%.4f", "score").alias("Predicted Score"))
+
+
+def valid_inputs(entries: DataFrame, history: DataFrame, item: str = "app_id") -> tuple[DataFrame, DataFrame]:
+    """Keep entered games present in the history; count the removed per user."""
+    known = history.select(item).distinct()
+    kept = entries.join(known, item, "left_semi")
+    removed = entries.join(known, item, "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_removed"))
+    return kept, removed
+
+
+# R16 ------------------------------------------------------------------------
+def _grad_kernel(w: np.ndarray):
+    def run(batches):
+        for pdf in batches:
+            uids, losses, grads = [], [], []
+            for uid, xa, ya, xb, yb, same in zip(pdf["uid"], pdf["xa"], pdf["ya"], pdf["xb"], pdf["yb"], pdf["same"]):
+                xa = np.stack([np.asarray(v, dtype=float) for v in xa])
+                xb = np.stack([np.asarray(v, dtype=float) for v in xb])
+                ya, yb = np.asarray(ya, dtype=float), np.asarray(yb, dtype=float)
+                yd = ya[:, None] - yb[None, :]
+                valid = yd != 0
+                if same:
+                    valid &= np.triu(np.ones_like(valid, dtype=bool), 1)
+                sgn = np.sign(yd)
+                d = sgn * ((xa @ w)[:, None] - (xb @ w)[None, :])
+                loss = np.maximum(-d, 0.0) + np.log1p(np.exp(-np.abs(d)))
+                coef = np.where(valid, -sgn / (1.0 + np.exp(d)), 0.0)       # dL/d(s_a - s_b)
+                g = coef.sum(axis=1) @ xa - coef.sum(axis=0) @ xb
+                uids.append(uid)
+                losses.append(float(loss[valid].sum()))
+                grads.append(g.tolist())
+            yield pd.DataFrame({"uid": np.asarray(uids, dtype="int64"), "loss": losses, "grad": grads})
+    return run
+
+
+class PairwiseRanker:
+    """Linear scorer s = w . x minimising the RankNet loss (R15) exactly.
+
+    Full-batch gradient descent: the block-pair table (R15) is built and
+    checkpointed once; every iteration is one distributed pass computing
+    the per-user loss and gradient sums, normalised per user (each user
+    counts once), averaged on the driver (a d-vector)."""
+
+    def __init__(self, iters: int = 30, lr: float = 0.5, block: int = 1024):
+        self.iters, self.lr, self.block = iters, lr, block
+        self.w: np.ndarray | None = None
+        self.history: list[float] = []
+
+    def fit(self, df: DataFrame, user: str, features: list[str], target: str, key: str) -> "PairwiseRanker":
+        from ludex.operators.evaluate import pair_blocks
+        base = df.select(F.col(user).cast("long").alias(user), key,
+                         F.array(*[F.col(c).cast("double") for c in features]).alias("_x"),
+                         F.col(target).cast("double").alias("_y"))
+        bp = pair_blocks(base, user, ["_x", "_y"], self.block, key)
+        bp = cut_lineage(bp.select("uid", F.col("_x_a").alias("xa"), F.col("_y_a").alias("ya"),
+                                   F.col("_x_b").alias("xb"), F.col("_y_b").alias("yb"), "same"))
+        pairs = bp.select("uid", F.aggregate(F.flatten(F.transform("ya", lambda a: F.transform(
+            "yb", lambda b: F.when(a != b, 1).otherwise(0)))), F.lit(0), lambda s, v: s + v).alias("_p"),
+            "same", F.size("ya").alias("_na"))
+        # pairs inside a diagonal block are counted twice by the all-by-all count above
+        pairs = pairs.groupBy("uid").agg(F.sum(F.when(F.col("same"), F.col("_p") / 2).otherwise(F.col("_p")))
+                                         .alias("pairs"))
+        pairs = cut_lineage(pairs)
+        d = len(features)
+        w = np.zeros(d)
+        for _ in range(self.iters):
+            part = bp.mapInPandas(_grad_kernel(w), "uid long, loss double, grad array<double>")
+            per = part.groupBy("uid").agg(F.sum("loss").alias("loss"),
+                                          *[F.sum(F.col("grad")[i]).alias(f"g{i}") for i in range(d)])
+            per = per.join(pairs, "uid").filter("pairs > 0")
+            agg = per.agg(F.avg(F.col("loss") / F.col("pairs")).alias("loss"),
+                          *[F.avg(F.col(f"g{i}") / F.col("pairs")).alias(f"g{i}") for i in range(d)]).first()
+            if agg["loss"] is None:
+                break
+            self.history.append(float(agg["loss"]))
+            w = w - self.lr * np.asarray([agg[f"g{i}"] for i in range(d)])
+        self.w = w
+        self.features = features
+        return self
+
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        s = sum((F.col(c).cast("double") * float(wi) for c, wi in zip(self.features, self.w)), F.lit(0.0))
+        return df.withColumn(out, s)
+
+
+# R17 ------------------------------------------------------------------------
+def fit_gbt(df: DataFrame, features: list[str], target: str, max_iter: int = 100, depth: int = 7,
+            step: float = 0.1, subsample: float = 0.8, col_frac: str = "0.8", seed: int = 42):
+    """Boosted regression trees (squared error) with the reference's
+    configuration; returns the fitted pipeline model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    va = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
+    gbt = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="prediction", maxIter=max_iter,
+                       maxDepth=depth, stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=col_frac,
+                       seed=seed, lossType="squared")
+    return Pipeline(stages=[va, gbt]).fit(df)
+
+
+# R14 ------------------------------------------------------------------------
+def mlp_forward(weights: dict, x: np.ndarray) -> np.ndarray:
+    """Dense ReLU layers (BatchNorm folded in as an affine map in inference),
+    linear output.  ``weights`` holds lists of (W, b[, scale, shift])."""
+    h = x
+    for layer in weights["hidden"]:
+        h = np.maximum(h @ np.asarray(layer["W"]) + np.asarray(layer["b"]), 0.0)
+        if "scale" in layer:
+            h = h * np.asarray(layer["scale"]) + np.asarray(layer["shift"])
+    out = weights["out"]
+    return (h @ np.asarray(out["W"]) + np.asarray(out["b"])).reshape(-1)
+
+
+def score_mlp(df: DataFrame, features: list[str], weights: dict, out: str = "score") -> DataFrame:
+    """Batch scoring in ``mapInPandas`` (Arrow batches, weights shipped
+    with the closure; inference only, dropout off)."""
+    from pyspark.sql import types as T
+    cols = df.columns
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            x = pdf[features].to_numpy(dtype=float)
+            pdf[out] = mlp_forward(weights, x) if len(pdf) else np.zeros(0)
+            yield pdf[cols + [out]]
+    return df.mapInPandas(run, schema)
+
+
+def init_mlp(d_in: int, hidden: list[int], seed: int = 42) -> dict:
+    rng = np.random.default_rng(seed)
+    layers, prev = [], d_in
+    for h in hidden:
+        layers.append({"W": rng.normal(0, 1 / np.sqrt(prev), (prev, h)).tolist(), "b": np.zeros(h).tolist()})
+        prev = h
+    return {"hidden": layers, "out": {"W": rng.normal(0, 1 / np.sqrt(prev), (prev, 1)).tolist(), "b": [0.0]}}
