@@ -394,12 +394,12 @@ def q_yj_fit(spark, d):
     li = fx.table(spark, d, "lineitem").select("l_extendedprice", "l_quantity")
     o = fx.table(spark, d, "orders").select("o_totalprice")
     rows = []
-    for df, col in ((li, "l_extendedprice"), (li, "l_quantity"), (o, "o_totalprice")):
-        fit = sc.YeoJohnson.fit(df, [col])
-        lam = fit.state["lambdas"][0]
-        rows.append((col, lam, sc.YeoJohnson.log_likelihood(df, col, lam),
-                     sc.YeoJohnson.log_likelihood(df, col, lam - 0.05),
-                     sc.YeoJohnson.log_likelihood(df, col, lam + 0.05)))
+    for df, cols in ((li, ["l_extendedprice", "l_quantity"]), (o, ["o_totalprice"])):
+        fit = sc.YeoJohnson.fit(df, cols)
+        for col, lam in zip(cols, fit.state["lambdas"]):
+            rows.append((col, lam, sc.YeoJohnson.log_likelihood(df, col, lam),
+                         sc.YeoJohnson.log_likelihood(df, col, lam - 0.05),
+                         sc.YeoJohnson.log_likelihood(df, col, lam + 0.05)))
     return spark.createDataFrame(rows, "column_name string, lambda double, llf double, llf_lo double, llf_hi double")
 
 
