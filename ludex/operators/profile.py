@@ -39,9 +39,9 @@ def user_profile(df: DataFrame, user: str, cols: list[str], prefix: str = "user_
         if exclude_self:
             own = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
             own_n = F.when(F.col(c).isNotNull(), 1).otherwise(0)
-            v = (s - own) / (n - own_n)
+            v = F.try_divide(s - own, n - own_n)      # no other rows -> null
         else:
-            v = s / n
+            v = F.try_divide(s, n)                    # no non-null value -> null
         sel.append(v.cast("double").alias(out[c]))
     return j.select(*df.columns, *sel)
 

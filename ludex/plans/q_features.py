@@ -334,7 +334,7 @@ def q_game_inputs(spark, d):
 SELECT user_id, app_id, round(avg(playtime_forever) OVER (PARTITION BY user_id), 6) AS user_preference_playtime_forever,
        round(avg(achievements) OVER (PARTITION BY user_id), 6) AS user_preference_achievements,
        round((sum(playtime_forever) OVER (PARTITION BY user_id) - playtime_forever)
-             / (count(playtime_forever) OVER (PARTITION BY user_id) - 1), 6) AS loo_playtime
+             / nullif(count(playtime_forever) OVER (PARTITION BY user_id) - 1, 0), 6) AS loo_playtime
 FROM inter""")
 def q_user_profile(spark, d):
     i = fx.interactions(spark, d).select("user_id", "app_id", "playtime_forever", "achievements")
