@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ludex.session import join_small
+
 EPS = 1e-6  # fixed value: denominator guard of the min-max scaling
 
 
@@ -54,16 +56,24 @@ def _scaled(x: Column, lo: Column, hi: Column, n: Column, min_users: int, clip:
 def relevance(df: DataFrame, item: str = "app_id", playtime: str = "playtime_forever",
               achievements: str = "achievements", w1: float = 0.7, w2: float = 0.3,
               min_users: int = 5, winsor: tuple[float, float] | None = (0.05, 0.95),
-              out: str = "relevance_score", keep_parts: bool = False) -> DataFrame:
+              out: str = "relevance_score", keep_parts: bool = False,
+              item_count: int | None = None) -> DataFrame:
     """Offline relevance score in [0, 1) per (user, game).
 
     achievements null -> 0; log1p; winsorize per game; min-max per game with
     the ``min_users`` gate; ``w1 * playtime + w2 * achievements`` when the game
     has any achievement, else the playtime part only.
+
+    Rows without a game id have no game group and are dropped.  The per-game
+    statistics table has one row per game: with ``item_count`` (e.g. the
+    catalogue size) within the broadcast bound it is broadcast, so the fact
+    rows are never shuffled by game (no hot-game task); otherwise AQE sizes
+    the join at runtime.  Both branches read the same fact-grain aggregate,
+    so its shuffle is reused, not recomputed.
     """
     ach = F.coalesce(F.col(achievements).cast("double"), F.lit(0.0))
     lp, la = F.log1p(F.col(playtime)), F.log1p(ach)
-    base = df.withColumn("_lp", lp).withColumn("_la", la)
+    base = df.filter(F.col(item).isNotNull()).withColumn("_lp", lp).withColumn("_la", la)
     if winsor is not None:
         lo, hi = winsor
         stats = base.groupBy(item).agg(
@@ -76,7 +86,7 @@ def relevance(df: DataFrame, item: str = "app_id", playtime: str = "playtime_for
             F.min("_lp").alias("_plo"), F.max("_lp").alias("_phi"),
             F.min("_la").alias("_alo"), F.max("_la").alias("_ahi"))
         p_lo, p_hi, a_lo, a_hi = F.col("_plo"), F.col("_phi"), F.col("_alo"), F.col("_ahi")
-    j = base.join(stats, item, "left")
+    j = join_small(base, stats, item, "inner", known_rows=item_count)
     mp = _scaled(F.col("_lp"), p_lo, p_hi, F.col("_n"), min_users, winsor is not None)
     ma = _scaled(F.col("_la"), a_lo, a_hi, F.col("_n"), min_users, winsor is not None)
     score = F.when(F.col("_has_ach"), w1 * mp + w2 * ma).otherwise(mp)

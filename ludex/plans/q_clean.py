@@ -348,3 +348,22 @@ def q_prefix(spark, d):
     j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)  # nation: 25 rows
     pref = F.concat(F.lit("user_preference_"), F.col("n_name"))
     return j.select(pref.alias("prefixed"), cl.strip_prefix(pref, "user_preference_").alias("country_name")).distinct()
+
+
+# ---------------------------------------------------------------- P18
+@register("flatten_owned_games", "P18", """
+SELECT user_id, g.appid AS app_id, coalesce(g.playtime_forever, 0) AS playtime_forever
+FROM (SELECT l_orderkey AS user_id,
+             unnest(CASE WHEN l_linenumber = 1 THEN []
+                         ELSE [{'appid': l_partkey, 'playtime_forever': CAST(l_quantity AS BIGINT)},
+                               {'appid': l_suppkey, 'playtime_forever': NULL}] END) AS g
+      FROM lineitem)""")
+def q_flatten(spark, d):
+    """Row-local nested records (each line plays the user record with its owned games)."""
+    li = fx.table(spark, d, "lineitem")
+    game = "struct<appid:bigint, playtime_forever:bigint>"
+    owned = F.when(F.col("l_linenumber") == 1, F.array().cast(f"array<{game}>")).otherwise(F.array(
+        F.struct(F.col("l_partkey").alias("appid"), F.col("l_quantity").cast("long").alias("playtime_forever")),
+        F.struct(F.col("l_suppkey").alias("appid"), F.lit(None).cast("long").alias("playtime_forever"))))
+    users = li.select(F.col("l_orderkey").alias("user_id"), owned.alias("owned_games"))
+    return cl.flatten_users(users, "user_id", "owned_games")

@@ -63,7 +63,7 @@ def _recs(spark, d, seen_filter=None, users_filter=None, k=10):
     return rk.recommend_topk(uvec, items, seen, k=k)
 
 
-@register("recommend_top10_unseen", "R11 R19 T2 J6 J7", _recs_sql("true", f"user_id % {M} = 0") + """
+@register("recommend_top10_unseen", "R11 R19 T2 J6 J7 J8", _recs_sql("true", f"user_id % {M} = 0") + """
 SELECT user_id, app_id, rank, round(s, 6) AS score FROM recs""")
 def q_recommend(spark, d):
     return round_doubles(_recs(spark, d, users_filter=F.col("user_id") % M == 0)

@@ -37,7 +37,8 @@ rel AS (SELECT user_id, app_id, CASE WHEN has_ach THEN 0.7 * mp + 0.3 * ma ELSE
 
 
 def relevance_table(spark, d):
-    return rel.relevance(fx.interactions(spark, d))
+    # the catalogue size bounds the per-game statistics table (parquet metadata count)
+    return rel.relevance(fx.interactions(spark, d), item_count=fx.table(spark, d, "part").count())
 
 
 @register("relevance_score", "R1 P23 P24 W1 W2 W3",
