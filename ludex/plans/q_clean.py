@@ -29,7 +29,7 @@ def q_rename_drop_filter(spark, d):
 COMPANY_SRC = "p_brand || ', ' || p_name || ' Inc., ' || p_type || ' Ltd.,  '"
 
 
-@register("company_names_normalized", "P4", f"""
+@register("company_names_normalized", "P4 F1", f"""
 SELECT p_partkey AS app_id, array_to_string(l, '|') AS developers, len(l) AS n_developers
 FROM (SELECT p_partkey,
         list_filter(list_transform(string_split(
@@ -158,7 +158,7 @@ SELECT p_partkey AS id,
 FROM part"""
 
 
-@register("catalog_nested_fields", "P9 P12 P14 P15 P16 P17 P29 S10", fx.cte(c=CATALOG_RAW_SQL) + """
+@register("catalog_nested_fields", "P9 P12 P14 P15 P16 P17 P29 S10 F4", fx.cte(c=CATALOG_RAW_SQL) + """
 SELECT id AS app_id,
   year(CAST(released AS DATE)) AS released_year, month(CAST(released AS DATE)) AS released_month,
   day(CAST(released AS DATE)) AS released_day,
@@ -228,7 +228,7 @@ GEO_SQL = fx.cte(
       "CAST(c_custkey % 4 AS INTEGER) AS state, CAST(c_custkey % 9 AS INTEGER) AS city FROM customer")
 
 
-@register("user_coordinates", "P19 P20 P21 J5", GEO_SQL + """,
+@register("user_coordinates", "P19 P20 P21 J5 F2", GEO_SQL + """,
 j AS (SELECT u.user_id, u.country,
         CASE WHEN s.coordinates IS NOT NULL THEN coalesce(ci.coordinates, s.coordinates) ELSE co.coordinates END AS coordinates
       FROM u LEFT JOIN countries co ON u.country = co.country

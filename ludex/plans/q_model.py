@@ -133,7 +133,7 @@ def q_als(spark, d):
     return q
 
 
-@register("als_fold_in", "R8 A19")
+@register("als_fold_in", "R8 A19 F6")
 def q_fold_in(spark, d):
     """Fold-in of the training users reproduces their ALS factors; test users get new ones."""
     r, train, model = als_train(spark, d)

@@ -41,7 +41,7 @@ def relevance_table(spark, d):
     return rel.relevance(fx.interactions(spark, d), item_count=fx.table(spark, d, "part").count())
 
 
-@register("relevance_score", "R1 P23 P24 W1 W2 W3",
+@register("relevance_score", "R1 P23 P24 W1 W2 W3 F3",
           RELEVANCE_SQL_BODY + "SELECT user_id, app_id, round(relevance_score, 6) AS relevance_score FROM rel")
 def q_relevance(spark, d):
     return round_doubles(relevance_table(spark, d).select("user_id", "app_id", "relevance_score"))
