@@ -206,7 +206,9 @@ class ListEncoder(Fitted):
         regroup per row in position order (row key from the row's own id)."""
         spark = df.sparkSession
         t = spark.createDataFrame([(x, i + 1) for i, x in enumerate(self.state["labels"])], "_lbl string, _idx int")
-        keyed = df.withColumn("_rid", F.monotonically_increasing_id())
+        from ludex.session import cut_lineage
+        # the row key is materialised once so both uses see the same ids
+        keyed = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
         ex = keyed.select("_rid", F.posexplode_outer(col).alias("_pos", "_lbl"))
         ex = join_small(ex, t, "_lbl", "left", known_rows=n)
         enc = ex.groupBy("_rid").agg(F.sort_array(F.collect_list(

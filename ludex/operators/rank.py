@@ -39,7 +39,7 @@ def _kernel_topk(item_ids: np.ndarray, item_mat: np.ndarray, k: int, user: str,
                 continue
             u = np.stack(pdf["_vec"].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
             scores = u @ item_mat.T
-            out_u, out_i, out_s = [], [], []
+            out_u, out_i, out_s, out_r = [], [], [], []
             for r, (uid, seen) in enumerate(zip(pdf[user].to_numpy(), pdf["_seen"])):
                 s = scores[r].copy()
                 if seen is not None and len(seen):
@@ -57,8 +57,9 @@ def _kernel_topk(item_ids: np.ndarray, item_mat: np.ndarray, k: int, user: str,
                 out_u.extend([uid] * len(cand))
                 out_i.extend(item_ids[cand].tolist())
                 out_s.extend(s[cand].tolist())
+                out_r.extend(range(1, len(cand) + 1))
             yield pd.DataFrame({user: np.asarray(out_u, dtype="int64"), item: np.asarray(out_i, dtype="int64"),
-                                "score": np.asarray(out_s, dtype=float)})
+                                "score": np.asarray(out_s, dtype=float), "rank": np.asarray(out_r, dtype="int64")})
     return run
 
 
@@ -87,6 +88,8 @@ def recommend_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame |
         users = users.join(lists, user, "left")
     else:
         users = users.withColumn("_seen", F.lit(None).cast("array<long>"))
+    if n_blocks > 1:
+        users = cut_lineage(users)   # read once per item block
     parts = []
     for b in range(n_blocks):
         blk = item_vecs.filter(F.pmod(F.xxhash64(F.col(item)), F.lit(n_blocks)) == b) if n_blocks > 1 else item_vecs
@@ -100,7 +103,9 @@ def recommend_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame |
         def run(batches, bc=bc):
             ids_, mat_ = bc.value
             yield from _kernel_topk(ids_, mat_, k, user, item)(batches)
-        parts.append(users.mapInPandas(run, f"{user} long, {item} long, score double"))
+        parts.append(users.mapInPandas(run, f"{user} long, {item} long, score double, rank long"))
+    if len(parts) == 1:
+        return parts[0]            # exact top-k already: no merge shuffle
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
