@@ -115,7 +115,8 @@ ALS_RANK, ALS_REG, ALS_ALPHA, ALS_ITERS = 2, 0.01, 1.0, 15   # rank 2: the refer
 
 
 def als_train(spark, d, rank=ALS_RANK, iters=ALS_ITERS):
-    r = relevance_table(spark, d)
+    from ludex.session import cut_lineage
+    r = cut_lineage(relevance_table(spark, d))    # used for training and for fold-in
     train = r.filter(F.col("user_id") % M != 0)
     model = alsmod.ImplicitALS(rank=rank, reg=ALS_REG, alpha=ALS_ALPHA, iters=iters).fit(train)
     return r, train, model
