@@ -206,17 +206,23 @@ class PairwiseRanker:
 
 # R17 ------------------------------------------------------------------------
 def fit_gbt(df: DataFrame, features: list[str], target: str, max_iter: int = 100, depth: int = 7,
-            step: float = 0.1, subsample: float = 0.8, col_frac: str = "0.8", seed: int = 42):
+            step: float = 0.1, subsample: float = 0.8, col_frac: str = "0.8", seed: int = 42,
+            categorical: list[str] | None = None, max_bins: int = 64):
     """Boosted regression trees (squared error) with the reference's
-    configuration; returns the fitted pipeline model."""
+    configuration; string columns go through ``StringIndexer(handleInvalid=
+    'keep')`` so unseen test categories get their own bucket.  Returns the
+    fitted pipeline model."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
-    va = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="prediction", maxIter=max_iter,
-                       maxDepth=depth, stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=col_frac,
-                       seed=seed, lossType="squared")
-    return Pipeline(stages=[va, gbt]).fit(df)
+    categorical = categorical or []
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in categorical]
+    inputs = list(features) + [f"{c}__idx" for c in categorical]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
+    stages.append(GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="prediction",
+                               maxIter=max_iter, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
+                               featureSubsetStrategy=col_frac, seed=seed, lossType="squared", maxBins=max_bins))
+    return Pipeline(stages=stages).fit(df)
 
 
 # R14 ------------------------------------------------------------------------

@@ -396,10 +396,10 @@ def q_yj_fit(spark, d):
     rows = []
     for df, cols in ((li, ["l_extendedprice", "l_quantity"]), (o, ["o_totalprice"])):
         fit = sc.YeoJohnson.fit(df, cols)
-        for col, lam in zip(cols, fit.state["lambdas"]):
-            rows.append((col, lam, sc.YeoJohnson.log_likelihood(df, col, lam),
-                         sc.YeoJohnson.log_likelihood(df, col, lam - 0.05),
-                         sc.YeoJohnson.log_likelihood(df, col, lam + 0.05)))
+        lams = dict(zip(cols, fit.state["lambdas"]))
+        llf = sc.YeoJohnson.log_likelihoods(df, {c: [lam, lam - 0.05, lam + 0.05] for c, lam in lams.items()})
+        for col, lam in lams.items():
+            rows.append((col, lam, llf[(col, lam)], llf[(col, lam - 0.05)], llf[(col, lam + 0.05)]))
     return spark.createDataFrame(rows, "column_name string, lambda double, llf double, llf_lo double, llf_hi double")
 
 

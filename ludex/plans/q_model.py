@@ -63,18 +63,18 @@ def _recs(spark, d, seen_filter=None, users_filter=None, k=10):
     return rk.recommend_topk(uvec, items, seen, k=k)
 
 
-@register("recommend_top10_unseen", "R11 R19 T2 J6 J7 J8", _recs_sql("true", f"user_id % {M} = 0") + """
+@register("recommend_top10_unseen", "R11 R19 T2 J6 J7 J8", _recs_sql("true", "true") + """
 SELECT user_id, app_id, rank, round(s, 6) AS score FROM recs""")
 def q_recommend(spark, d):
-    return round_doubles(_recs(spark, d, users_filter=F.col("user_id") % M == 0)
-                         .select("user_id", "app_id", "rank", "score"))
+    """Top 10 unseen games for every user of the interaction table."""
+    return round_doubles(_recs(spark, d).select("user_id", "app_id", "rank", "score"))
 
 
-@register("recommend_top10_formatted", "R19 P35 S6", _recs_sql("true", f"user_id % {M} = 0") + """
+@register("recommend_top10_formatted", "R19 P35 S6", _recs_sql("true", "true") + """
 SELECT user_id, rank, app_id, p_name AS "Game", format('{:.4f}', s) AS "Predicted Score"
 FROM recs JOIN part ON app_id = p_partkey""")
 def q_recommend_fmt(spark, d):
-    recs = _recs(spark, d, users_filter=F.col("user_id") % M == 0)
+    recs = _recs(spark, d)
     names = fx.games(spark, d).select("app_id", "game_name")
     return rk.format_recommendations(recs, names)
 
@@ -211,17 +211,35 @@ def q_ranker(spark, d):
     return spark.createDataFrame(rows, "iteration int, loss double, ln2 double")
 
 
-@register("gbt_regression_metrics", "R17 E3 R18 C10")
+def tabular_frame(spark, d):
+    """Fact rows with game, user and list columns for the tree model (R18 input)."""
+    r = relevance_table(spark, d).select("user_id", "app_id", "relevance_score", "price_mean")
+    g = fx.games(spark, d).select("app_id", "game_genres", "game_type", "game_size", "game_initial_price",
+                                  F.array("game_brand").alias("game_developer"))
+    u = fx.users(spark, d).select(
+        "user_id", F.when(F.col("user_id") % 13 == 0, F.lit(None)).otherwise(F.col("user_country_code"))
+        .alias("user_country_code"), "user_latitude", "user_longitude",
+        F.year("user_created").alias("created_year"))
+    return r.join(g, "app_id").join(u, "user_id", "left")
+
+
+@register("gbt_regression_metrics", "R17 R18 E3 C6 C7 C8 C9 C10 P2 P21 P27 P29 P30 J3 I1")
 def q_gbt(spark, d, max_iter: int = 100):
-    f = ranker_frame(spark, d)
+    from ludex.operators.features import TabularFeatures
+    from ludex.session import cut_lineage
+    f = cut_lineage(tabular_frame(spark, d))
     train, test = f.filter(F.col("user_id") % M != 0), f.filter(F.col("user_id") % M == 0)
-    model = rk.fit_gbt(train, RANK_FEATURES, "relevance_score", max_iter=max_iter)
-    pred = model.transform(test)
+    emb = item_vectors(spark, d).select("app_id", F.slice("features", 1, 2).cast("array<float>").alias("game_emb"))
+    tf = TabularFeatures(drop=["price_mean"]).fit(train, emb)
+    num, cat = tf.feature_columns()
+    tr, te = tf.apply(train), tf.apply(test)
+    model = rk.fit_gbt(tr, num, "relevance_score", max_iter=max_iter, categorical=cat)
+    pred = model.transform(te)
     mean_y = train.agg(F.avg("relevance_score")).first()[0]
     gbt = ev.regression_metrics(pred, "relevance_score", "prediction").withColumn("model", F.lit("gbt"))
-    base = ev.regression_metrics(test.withColumn("prediction", F.lit(mean_y)), "relevance_score", "prediction") \
+    base = ev.regression_metrics(te.withColumn("prediction", F.lit(mean_y)), "relevance_score", "prediction") \
         .withColumn("model", F.lit("mean"))
-    return round_doubles(gbt.unionByName(base))
+    return round_doubles(gbt.unionByName(base).withColumn("n_features", F.lit(len(num) + len(cat))))
 
 
 @register("mlp_batch_scoring", "R14 F5")

@@ -183,3 +183,25 @@ def test_plan_shape_relevance(spark):
     plan = q_relevance(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_tabular_feature_chain(spark):
+    from ludex.operators.features import TabularFeatures
+    rows = [(u, a, float(a % 3) / 3, ["x", "y"] if a % 2 else ["y"], "T1" if a % 2 else "T2", [f"dev{a % 3}"],
+             "C1" if u % 2 else None, float(u) if u % 3 else None, 1.0, 2000 + u % 4)
+            for u in range(1, 7) for a in range(1, 5)]
+    schema = ("user_id long, app_id long, relevance_score double, game_genres array<string>, game_type string, "
+              "game_developer array<string>, user_country_code string, user_latitude double, "
+              "user_longitude double, created_year int")
+    train = spark.createDataFrame(rows, schema)
+    emb = spark.createDataFrame([(1, [0.5, 0.25]), (2, [1.0, 2.0])], "app_id long, game_emb array<float>")
+    tf = TabularFeatures(top_tags=1, top_dev=2).fit(train, emb)
+    test = spark.createDataFrame([(9, 3, 0.5, ["z"], "T9", ["devX"], "C7", None, None, 2005)], schema)
+    out = tf.apply(test).first().asDict()
+    assert list(tf.apply(test).columns) == [f.name for f in tf.schema.fields]
+    assert out["game_type"] is None                      # unseen, train had neither Other nor Missing
+    assert out["developer"] == "Other"                  # top-N else Other, Other seen in train
+    assert out["user_country_code"] == "Missing"        # unseen country, Missing seen in train
+    assert out["game_emb_0"] == 0.0 and out["game_emb_1"] == 0.0   # no vector for app 3
+    assert out["created_years_since"] == 5
+    assert out["user_latitude"] is not None              # median fill
