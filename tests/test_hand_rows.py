@@ -171,3 +171,14 @@ def test_fitted_roundtrip(spark, tmpdir_path):
     oh.save(spark, tmpdir_path + "/oh")
     back = enc.OneHot.load(spark, tmpdir_path + "/oh")
     assert back.state == oh.state
+
+
+def test_group_median_fill_roundtrip(spark, tmpdir_path):
+    from ludex.operators.impute import GroupMedianFill
+    train = spark.createDataFrame([("A", 1.0), ("A", 3.0), ("B", 10.0), ("B", None), (None, 7.0)], "c string, x double")
+    f = GroupMedianFill.fit(train, ["x"], "c")
+    f.save(spark, tmpdir_path + "/gm")
+    back = GroupMedianFill.load(spark, tmpdir_path + "/gm")
+    test = spark.createDataFrame([("A", None), ("B", None), ("Z", None), ("A", 5.0)], "c string, x double")
+    got = [r["x"] for r in back.apply(test).orderBy("c", "x").collect()]
+    assert sorted(got) == sorted([2.0, 10.0, 5.0, 5.0])
