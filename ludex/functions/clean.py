@@ -41,8 +41,10 @@ def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def filter_rows(df: DataFrame, cond: Column) -> DataFrame:
-    """A null predicate drops the row, as a pandas boolean mask does."""
-    return df.filter(F.coalesce(cond, F.lit(False)))
+    """A null predicate drops the row, as a pandas boolean mask does --
+    which is what ``filter`` already does; the predicate is left bare so that
+    Catalyst can push it into the parquet scan."""
+    return df.filter(cond)
 
 
 # P4-P8 ------------------------------------------------------------------------

@@ -338,12 +338,9 @@ SELECT user_id, app_id, round(avg(playtime_forever) OVER (PARTITION BY user_id),
 FROM inter""")
 def q_user_profile(spark, d):
     i = fx.interactions(spark, d).select("user_id", "app_id", "playtime_forever", "achievements")
-    a = pf.user_profile(i, "user_id", ["playtime_forever", "achievements"])
-    b = pf.user_profile(i.select("user_id", "app_id", "playtime_forever"), "user_id", ["playtime_forever"],
-                        names={"playtime_forever": "loo_playtime"}, exclude_self=True)
-    return round_doubles(a.join(b.select("user_id", "app_id", "loo_playtime"), ["user_id", "app_id"])
-                         .select("user_id", "app_id", "user_preference_playtime_forever",
-                                 "user_preference_achievements", "loo_playtime"))
+    a = pf.user_profile(i, "user_id", ["playtime_forever", "achievements"], loo={"playtime_forever": "loo_playtime"})
+    return round_doubles(a.select("user_id", "app_id", "user_preference_playtime_forever",
+                                  "user_preference_achievements", "loo_playtime"))
 
 
 @register("minmax_scale_user_means", "N1 A1", fx.cte(inter=I) + f""",

@@ -205,3 +205,36 @@ def test_tabular_feature_chain(spark):
     assert out["game_emb_0"] == 0.0 and out["game_emb_1"] == 0.0   # no vector for app 3
     assert out["created_years_since"] == 5
     assert out["user_latitude"] is not None              # median fill
+
+
+def _final_plan(df):
+    df._jdf.queryExecution().toRdd().count()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_checks(spark):
+    """SURVEY section 4 plan checks on the smallest tables."""
+    import __spark_entry__ as E
+    q = E.queries()
+    rel = _final_plan(q["relevance_score"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in rel                       # per-game statistics broadcast
+    assert "ReusedExchange" in rel or rel.count("FileScan parquet") <= 2   # fact shuffle not recomputed
+    top = q["top_games_by_relevance"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in top
+    flt = q["rename_drop_filter"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)" in flt
+    for name in ("relevance_score", "user_profile_means", "ndcg_full_list", "group_median_fill_coordinates"):
+        p = _final_plan(q[name](spark, SF_SMALL))
+        assert "BatchEvalPython" not in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_metrics_partition_invariant(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    for name in ("ndcg_full_list", "ranknet_loss", "user_profile_means"):
+        got = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(tuple(r) for r in q[name](spark, SF_SMALL).collect()))
+        assert got[0] == got[1], name
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
