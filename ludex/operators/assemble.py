@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,19 +79,44 @@ def _unit_hash(user: Column, seed: int) -> Column:
 
 
 def split_by_user(df: DataFrame, user: str = "user_id", train_frac: float = 0.8, seed: int = 42,
-                  out: str = "split") -> DataFrame:
-    """User-stratified split by a per-user hash: every row of a user lands
-    on the same side; computed per row, so no shuffle of the facts."""
-    return df.withColumn(out, F.when(_unit_hash(F.col(user), seed) < train_frac, F.lit("train"))
-                         .otherwise(F.lit("test")))
-
-
-def user_folds(df: DataFrame, user: str = "user_id", k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """K user folds from a seeded hash; all rows of a user share a fold.
-
-    Folds are assigned per user (hash bucket), so fold sizes differ only by
-    hash variance; no global ordering of users is needed."""
-    return df.withColumn(out, F.pmod(F.xxhash64(F.col(user), F.lit(seed)), F.lit(k)).cast("int"))
+                  out: str = "split", exact: bool = False) -> DataFrame:
+    """User-stratified split.
+
+    Default: a per-user hash decides (every row of a user lands on the same
+    side), computed per row -- no shuffle of the facts, shares are ~80/20.
+    ``exact=True``: users are numbered in seeded-hash order (C11, distributed)
+    and exactly ceil((1 - train_frac) * n) of them go to test, as the
+    reference's splitter does; that costs one join of the user table."""
+    if not exact:
+        return df.withColumn(out, F.when(_unit_hash(F.col(user), seed) < train_frac, F.lit("train"))
+                             .otherwise(F.lit("test")))
+    idx = _user_order(df, user, seed)
+    n = idx.count()
+    n_test = int(math.ceil((1.0 - train_frac) * n))
+    lab = idx.select(user, F.when(F.col("_idx") < n_test, F.lit("test")).otherwise(F.lit("train")).alias(out))
+    return df.join(lab, user, "left")
+
+
+def _user_order(df: DataFrame, user: str, seed: int) -> DataFrame:
+    from ludex.operators.encode import build_index
+    return build_index(df, user, "_idx", order=F.xxhash64(F.col(user), F.lit(seed)))
+
+
+def user_folds(df: DataFrame, user: str = "user_id", k: int = 5, seed: int = 42, out: str = "fold",
+               exact: bool = True) -> DataFrame:
+    """K user folds; all rows of a user share a fold.
+
+    ``exact`` (default, the reference's rule): users in a seeded permutation
+    (hash order, numbered distributively by C11), k folds of floor(n/k)
+    users, the remainder in the last fold; one join of the user table.
+    ``exact=False``: fold = hash mod k per row, no join, sizes vary."""
+    if not exact:
+        return df.withColumn(out, F.pmod(F.xxhash64(F.col(user), F.lit(seed)), F.lit(k)).cast("int"))
+    idx = _user_order(df, user, seed)
+    n = idx.count()
+    size = max(n // k, 1)
+    lab = idx.select(user, F.least(F.floor(F.col("_idx") / size), F.lit(k - 1)).cast("int").alias(out))
+    return df.join(lab, user, "left")
 
 
 def game_catalog(df: DataFrame, item: str = "app_id", prefix: str = "game_") -> DataFrame:

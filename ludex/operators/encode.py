@@ -217,21 +217,23 @@ class ListEncoder(Fitted):
         return keyed.join(enc, "_rid", "left").drop("_rid")
 
 
-def build_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
-    """C11: distinct ids -> dense 0..n-1 in id order.
+def build_index(df: DataFrame, col: str, out: str = "idx", order: Column | None = None) -> DataFrame:
+    """C11: distinct ids -> dense 0..n-1 in id order (or in ``order``, ties by id).
 
     Range partitioning + per-partition counts turned into offsets (the
     ``zipWithIndex`` idea, JVM-side): numbering runs per range partition, so
     no single task holds all ids.  The partition-tagged ids are checkpointed
     so both passes see the same partition ids."""
     from ludex.session import cut_lineage
-    ids = df.select(col).filter(F.col(col).isNotNull()).distinct().repartitionByRange(col)
+    ids = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    ids = ids.withColumn("_o", order if order is not None else F.lit(0))
+    ids = ids.repartitionByRange("_o", col)
     # partition ids must be stable between the count pass and the numbering pass
     part = cut_lineage(ids.withColumn("_p", F.spark_partition_id()))
     counts = part.groupBy("_p").count()
     offs = counts.withColumn("_off", F.coalesce(F.sum("count").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_p").orderBy(col)
+    w = Window.partitionBy("_p").orderBy("_o", col)
     return part.join(F.broadcast(offs.select("_p", "_off")), "_p") \
         .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("int")).select(col, out)
 

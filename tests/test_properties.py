@@ -83,8 +83,11 @@ def test_split_disjoint_and_folds(spark):
     s = user_folds(split_by_user(i), k=5)
     per_user = s.groupBy("user_id").agg(F.count_distinct("split").alias("a"), F.count_distinct("fold").alias("b"))
     assert per_user.filter("a > 1 OR b > 1").count() == 0
-    sizes = [r[1] for r in s.select("user_id", "fold").distinct().groupBy("fold").count().collect()]
-    assert len(sizes) == 5 and min(sizes) > 0
+    sizes = dict(tuple(r) for r in s.select("user_id", "fold").distinct().groupBy("fold").count().collect())
+    n = sum(sizes.values())
+    assert [sizes[f] for f in range(4)] == [n // 5] * 4 and sizes[4] == n - 4 * (n // 5)
+    e = split_by_user(i, exact=True).select("user_id", "split").distinct()
+    assert e.filter("split = 'test'").count() == math.ceil(0.2 * n)
 
 
 def test_relevance_partition_invariant(spark):
