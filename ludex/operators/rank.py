@@ -226,37 +226,103 @@ def fit_gbt(df: DataFrame, features: list[str], target: str, max_iter: int = 100
 
 
 # R14 ------------------------------------------------------------------------
-def mlp_forward(weights: dict, x: np.ndarray) -> np.ndarray:
-    """Dense ReLU layers (BatchNorm folded in as an affine map in inference),
-    linear output.  ``weights`` holds lists of (W, b[, scale, shift])."""
-    h = x
-    for layer in weights["hidden"]:
-        h = np.maximum(h @ np.asarray(layer["W"]) + np.asarray(layer["b"]), 0.0)
-        if "scale" in layer:
-            h = h * np.asarray(layer["scale"]) + np.asarray(layer["shift"])
-    out = weights["out"]
-    return (h @ np.asarray(out["W"]) + np.asarray(out["b"])).reshape(-1)
-
-
-def score_mlp(df: DataFrame, features: list[str], weights: dict, out: str = "score") -> DataFrame:
-    """Batch scoring in ``mapInPandas`` (Arrow batches, weights shipped
-    with the closure; inference only, dropout off)."""
+# The reference's best MLP configuration (embedding width,
+# hidden sizes); normalisation epsilons of LayerNorm / BatchNorm.
+MLP_EMB_DIM = 30
+MLP_HIDDEN = [78, 95, 127]
+NORM_EPS = 1e-5
+
+ROLES = ("single", "multi", "num", "bool", "cf")
+
+
+def _layer_norm(x: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mu = x.mean(axis=-1, keepdims=True)
+    var = x.var(axis=-1, keepdims=True)
+    return (x - mu) / np.sqrt(var + NORM_EPS) * g + b
+
+
+def mlp_forward(w: dict, inputs: dict) -> np.ndarray:
+    """Inference of the pairwise-ranking MLP on one Arrow batch.
+
+    single-label ids -> embedding -> LayerNorm; padded label lists ->
+    embedding -> max over positions (padding rows are zero vectors) ->
+    LayerNorm; numeric, boolean and factor blocks -> dense + ReLU; all
+    concatenated -> [dense -> ReLU -> BatchNorm (running statistics)] per
+    hidden layer -> linear output.  Dropout is off in inference."""
+    parts = []
+    for i, idx in enumerate(inputs.get("single", [])):
+        e = w["single"][i]
+        parts.append(_layer_norm(np.asarray(e["E"])[idx], np.asarray(e["g"]), np.asarray(e["b"])))
+    for i, idx in enumerate(inputs.get("multi", [])):
+        e = w["multi"][i]
+        pooled = np.asarray(e["E"])[idx].max(axis=1)
+        parts.append(_layer_norm(pooled, np.asarray(e["g"]), np.asarray(e["b"])))
+    for role in ("num", "bool", "cf"):
+        if role in inputs and role in w:
+            parts.append(np.maximum(inputs[role] @ np.asarray(w[role]["W"]) + np.asarray(w[role]["b"]), 0.0))
+    x = np.concatenate(parts, axis=1)
+    for layer in w["hidden"]:
+        x = np.maximum(x @ np.asarray(layer["W"]) + np.asarray(layer["b"]), 0.0)
+        x = (x - np.asarray(layer["mean"])) / np.sqrt(np.asarray(layer["var"]) + NORM_EPS) \
+            * np.asarray(layer["gamma"]) + np.asarray(layer["beta"])
+    return (x @ np.asarray(w["out"]["W"]) + np.asarray(w["out"]["b"])).reshape(-1)
+
+
+def init_mlp(roles: dict, cardinalities: dict | None = None, emb_dim: int = MLP_EMB_DIM,
+             hidden: list[int] | None = None, seed: int = 42) -> dict:
+    """Seeded weights with the shapes of the model (no trained weights exist
+    here).  ``roles`` maps a role to its columns; ``cardinalities`` gives the
+    table size of each single / multi column (incl. the unseen and pad ids)."""
+    rng = np.random.default_rng(seed)
+    hidden = MLP_HIDDEN if hidden is None else hidden
+    cardinalities = cardinalities or {}
+    w: dict = {"single": [], "multi": []}
+    for role in ("single", "multi"):
+        for c in roles.get(role, []):
+            E = rng.normal(0, 1, (cardinalities[c], emb_dim))
+            if role == "multi":
+                E[0] = 0.0                                   # padding id
+            w[role].append({"E": E.tolist(), "g": np.ones(emb_dim).tolist(), "b": np.zeros(emb_dim).tolist()})
+    width = emb_dim * (len(w["single"]) + len(w["multi"]))
+    for role in ("num", "bool", "cf"):
+        d = len(roles.get(role, []))
+        if d:
+            w[role] = {"W": rng.normal(0, 1 / np.sqrt(d), (d, emb_dim)).tolist(), "b": np.zeros(emb_dim).tolist()}
+            width += emb_dim
+    w["hidden"] = []
+    for h in hidden:
+        w["hidden"].append({"W": rng.normal(0, 1 / np.sqrt(width), (width, h)).tolist(), "b": np.zeros(h).tolist(),
+                            "mean": np.zeros(h).tolist(), "var": np.ones(h).tolist(),
+                            "gamma": np.ones(h).tolist(), "beta": np.zeros(h).tolist()})
+        width = h
+    w["out"] = {"W": rng.normal(0, 1 / np.sqrt(width), (width, 1)).tolist(), "b": [0.0]}
+    return w
+
+
+def score_mlp(df: DataFrame, roles: dict, weights: dict, out: str = "score") -> DataFrame:
+    """Batch scoring in ``mapInPandas`` (Arrow batches); the weights
+    travel once per executor as a broadcast variable."""
     from pyspark.sql import types as T
     cols = df.columns
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
+    bc = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
+        w = bc.value
         for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            pdf[out] = mlp_forward(weights, x) if len(pdf) else np.zeros(0)
+            if pdf.empty:
+                pdf[out] = np.zeros(0)
+                yield pdf[cols + [out]]
+                continue
+            inputs = {}
+            if roles.get("single"):
+                inputs["single"] = [pdf[c].to_numpy(dtype="int64") for c in roles["single"]]
+            if roles.get("multi"):
+                inputs["multi"] = [np.stack(pdf[c].map(lambda v: np.asarray(v, dtype="int64")).to_numpy())
+                                   for c in roles["multi"]]
+            for role in ("num", "bool", "cf"):
+                if roles.get(role):
+                    inputs[role] = pdf[roles[role]].to_numpy(dtype=float)
+            pdf[out] = mlp_forward(w, inputs)
             yield pdf[cols + [out]]
     return df.mapInPandas(run, schema)
-
-
-def init_mlp(d_in: int, hidden: list[int], seed: int = 42) -> dict:
-    rng = np.random.default_rng(seed)
-    layers, prev = [], d_in
-    for h in hidden:
-        layers.append({"W": rng.normal(0, 1 / np.sqrt(prev), (prev, h)).tolist(), "b": np.zeros(h).tolist()})
-        prev = h
-    return {"hidden": layers, "out": {"W": rng.normal(0, 1 / np.sqrt(prev), (prev, 1)).tolist(), "b": [0.0]}}

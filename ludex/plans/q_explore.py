@@ -118,10 +118,11 @@ def q_shapley(spark, d):
     from ludex.operators import rank as rk
     from ludex.plans.q_model import RANK_FEATURES, ranker_frame
     f = ranker_frame(spark, d).withColumn("row_key", F.col("user_id") * 1_000_000 + F.col("app_id"))
-    w = rk.init_mlp(len(RANK_FEATURES), [8, 4], seed=42)
+    roles = {"num": RANK_FEATURES}
+    w = rk.init_mlp(roles, hidden=[8, 4], emb_dim=4, seed=42)
     rows = ex.sample_n(f.filter(F.col("user_id") % 5 == 0), 200, "row_key")
     background = f.filter(F.col("user_id") % 5 != 0)
-    sh = ex.shapley_sample(rows, background, RANK_FEATURES, lambda df: rk.score_mlp(df, RANK_FEATURES, w),
+    sh = ex.shapley_sample(rows, background, RANK_FEATURES, lambda df: rk.score_mlp(df, roles, w),
                            "row_key", m=20)
     return sh.groupBy("feature").agg(F.avg(F.abs("shapley")).alias("mean_abs_shapley"),
                                      F.count(F.lit(1)).alias("n_rows"))

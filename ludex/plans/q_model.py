@@ -242,12 +242,36 @@ def q_gbt(spark, d, max_iter: int = 100):
     return round_doubles(gbt.unionByName(base).withColumn("n_features", F.lit(len(num) + len(cat))))
 
 
-@register("mlp_batch_scoring", "R14 F5")
+@register("mlp_batch_scoring", "R14 F5 C3 C4 C6 P30")
 def q_mlp(spark, d):
-    f = ranker_frame(spark, d).filter(F.col("user_id") % M == 0)
-    w = rk.init_mlp(len(RANK_FEATURES), [8, 4], seed=42)
-    s = rk.score_mlp(f, RANK_FEATURES, w)
-    return s.agg(F.count(F.lit(1)).alias("n_scored"), F.count_if(F.isnan("score")).alias("n_nan"))
+    """Every test row scored by the MLP (seeded weights of the reference's shape)."""
+    from ludex.functions.clean import flatten_vector
+    from ludex.operators import encode as enc
+    f = tabular_frame(spark, d).join(ranker_frame(spark, d).select("user_id", "app_id", *RANK_FEATURES),
+                                     ["user_id", "app_id"])
+    train, test = f.filter(F.col("user_id") % M != 0), f.filter(F.col("user_id") % M == 0)
+    t_enc, d_enc = enc.LabelEncoder.fit(train, "game_type"), enc.LabelEncoder.fit(
+        train.select(F.col("game_developer")[0].alias("dev")), "dev")
+    g_enc = enc.ListEncoder.fit(train, "game_genres")
+    tags = enc.TopNLabels.fit(train, "game_genres", 5, "tag")
+    items = item_vectors(spark, d)
+    uvec = mean_vectors(train.select("user_id", "app_id"), items)
+    x = test.withColumn("dev", F.col("game_developer")[0])
+    x = d_enc.apply(t_enc.apply(x), "dev_encoded")
+    x = g_enc.apply(x)
+    x = tags.apply(x, keep=True)
+    tag_cols = [c for c in x.columns if c.startswith("tag_")]
+    x = x.join(items.withColumnRenamed("features", "g"), "app_id", "left") \
+        .join(uvec.withColumnRenamed("features", "u"), "user_id", "left")
+    x = x.select("user_id", "app_id", "game_type_encoded", "dev_encoded", "game_genres_encoded_padded",
+                 *RANK_FEATURES, *[F.col(c).cast("int").alias(c) for c in tag_cols],
+                 *flatten_vector("g", 2, "game_emb"), *flatten_vector("u", 2, "user_emb"))
+    roles = {"single": ["game_type_encoded", "dev_encoded"], "multi": ["game_genres_encoded_padded"],
+             "num": RANK_FEATURES, "bool": tag_cols, "cf": ["game_emb_0", "game_emb_1", "user_emb_0", "user_emb_1"]}
+    card = {"game_type_encoded": len(t_enc.state["labels"]) + 1, "dev_encoded": len(d_enc.state["labels"]) + 1,
+            "game_genres_encoded_padded": len(g_enc.state["labels"]) + 2}
+    w = rk.init_mlp(roles, card, seed=42)
+    return rk.score_mlp(x, roles, w).select("user_id", "app_id", "score")
 
 
 @register("new_user_recommendations", "R13 I7 R2 R9 R8 R11 R19 R10")

@@ -241,3 +241,19 @@ def test_metrics_partition_invariant(spark):
             got.append(sorted(tuple(r) for r in q[name](spark, SF_SMALL).collect()))
         assert got[0] == got[1], name
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_mlp_forward_shapes_and_pooling(spark):
+    roles = {"single": ["s"], "multi": ["m"], "num": ["x"], "bool": ["b"], "cf": ["c0", "c1"]}
+    w = rk.init_mlp(roles, {"s": 3, "m": 4}, emb_dim=5, hidden=[6, 3], seed=1)
+    df = spark.createDataFrame([(1, [1, 2, 0], 0.5, 1, 0.1, 0.2), (2, [0, 0, 0], -1.0, 0, 0.0, 0.0)],
+                               "s int, m array<int>, x double, b int, c0 double, c1 double")
+    got = [r["score"] for r in rk.score_mlp(df, roles, w).collect()]
+    import numpy as np
+    direct = rk.mlp_forward(w, {"single": [np.array([1, 2])], "multi": [np.array([[1, 2, 0], [0, 0, 0]])],
+                                "num": np.array([[0.5], [-1.0]]), "bool": np.array([[1.0], [0.0]]),
+                                "cf": np.array([[0.1, 0.2], [0.0, 0.0]])})
+    assert got == pytest.approx(direct.tolist())
+    # padding rows are zero vectors: an all-padding list pools to zeros before LayerNorm
+    E = np.asarray(w["multi"][0]["E"])
+    assert np.all(E[0] == 0)
