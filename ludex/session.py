@@ -87,3 +87,25 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "left",
     if known_rows is not None and known_rows <= max_rows:
         right = F.broadcast(right)
     return left.join(right, on, how)
+
+
+def cluster_conf(total_cores: int, shuffle_bytes_per_task: str = "256m") -> dict[str, str]:
+    """Settings for a large cluster run (pass to ``SparkSession.builder.config``).
+
+    Shuffle partitions start high (several per core) and AQE coalesces them
+    to ~``shuffle_bytes_per_task``; skewed partitions above 5x the median and
+    256 MB are split; scans read 256 MB splits.  ``spark.checkpoint.dir`` must
+    name the shared folder (e.g. the cluster's distributed file system)."""
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": shuffle_bytes_per_task,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.shuffle.partitions": str(max(200, 4 * total_cores)),
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.ui.enabled": "false",
+    }
