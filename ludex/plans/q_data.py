@@ -110,12 +110,17 @@ def q_gaps(spark, d):
     return ingest.missing_sequence(spark, nums, "page_number")
 
 
-@register("dedup_repeat_ingest", "S11", """
-SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT DISTINCT user_id FROM events WHERE event_type = 'view')""")
+@register("dedup_repeat_ingest", "S11 U1", """
+SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-12'""")
 def q_dedup(spark, d):
-    e = fx.table(spark, d, "events").select("user_id", "event_type")
-    done = e.filter(F.col("event_type") == "view").select("user_id")
-    return ingest.dedup_ingest(e.select("user_id"), done, "user_id")
+    """A re-fetched batch (days 10+ plus a repeated page of days 10-15) minus
+    the ids processed before (days < 12): every id once, nothing already done."""
+    e = fx.table(spark, d, "events").select("event_id", "user_id", "ts")
+    fetched = e.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp")).unionByName(
+        e.filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))
+                 & (F.col("ts") < F.lit("2024-01-16").cast("timestamp"))))
+    done = e.filter(F.col("ts") < F.lit("2024-01-12").cast("timestamp"))
+    return ingest.dedup_ingest(fetched, done, "event_id").select("event_id", "user_id")
 
 
 # ------------------------------------------------------------------ joins
