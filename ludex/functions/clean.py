@@ -79,11 +79,7 @@ def to_double(c) -> Column:
 
 def to_double_lenient(c) -> Column:
     """``to_numeric(errors='coerce')``: unparsable -> null."""
-    return F.expr(f"try_cast({_name(c)} AS double)") if isinstance(c, str) else c.try_cast("double")
-
-
-def _name(c) -> str:
-    return f"`{c}`" if isinstance(c, str) else str(c)
+    return _c(c).try_cast("double")
 
 
 # P9-P11 -----------------------------------------------------------------------

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ludex.session import cut_lineage
+
 
 def top_k(df: DataFrame, k: int, order: list[Column], per: str | list[str] | None = None) -> DataFrame:
     """Global top-k (TakeOrderedAndProject: each task keeps k, the driver
@@ -18,11 +22,6 @@ def top_k(df: DataFrame, k: int, order: list[Column], per: str | list[str] | Non
 
 
 # R11 R19 --------------------------------------------------------------------
-import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
-
-from ludex.session import cut_lineage  # noqa: E402
-
 # Item vectors are shipped to tasks in blocks of at most this many values
 # (items x dims); the catalogue size is counted first, so every broadcast is
 # bounded whatever the catalogue grows to.
