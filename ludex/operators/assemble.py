@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ludex.session import join_small
@@ -123,3 +123,42 @@ def game_catalog(df: DataFrame, item: str = "app_id", prefix: str = "game_") ->
     """One row per game with its ``game_*`` columns, first by those columns."""
     cols = [c for c in df.columns if c.startswith(prefix)]
     return first_per_key(df.select(item, *cols), item, cols[:1])
+
+
+# Largest group (rows) that a per-key window may hold in one task.
+WINDOW_GROUP_MAX_ROWS = 2_000_000
+
+
+def max_group_rows(df: DataFrame, key: str) -> int:
+    """Size of the largest ``key`` group (one aggregate, partial per partition)."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    return int(r or 0)
+
+
+def rank_within_group(df: DataFrame, key: str, order: list[Column], out: str = "pos",
+                      bounded: bool | None = None) -> DataFrame:
+    """1-based position of every row inside its ``key`` group under ``order``
+    (``row_number`` semantics; give ``order`` a unique tie-break for
+    deterministic positions).
+
+    When the largest group is proven small (``bounded``, or one count
+    aggregate against ``WINDOW_GROUP_MAX_ROWS``) a plain per-key window is
+    used.  Otherwise no window spans a whole group: the rows are
+    range-partitioned on (key, order) -- the sampled boundaries split a hot
+    key over several partitions -- and tagged with their partition id
+    (checkpointed, so both passes agree); per (partition, key) counts give
+    each key's offset in a partition (a window over that small table), and
+    the final ``row_number`` runs per (partition, key) chunk."""
+    if bounded is None:
+        bounded = max_group_rows(df, key) <= WINDOW_GROUP_MAX_ROWS
+    if bounded:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    from ludex.session import cut_lineage
+    ordered = df.repartitionByRange(F.col(key), *order)
+    part = cut_lineage(ordered.withColumn("_p", F.spark_partition_id()))
+    counts = part.groupBy("_p", key).agg(F.count(F.lit(1)).alias("_c"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    w = Window.partitionBy("_p", key).orderBy(*order)
+    return part.join(offs, ["_p", key]).withColumn(out, F.col("_off") + F.row_number().over(w)) \
+        .drop("_p", "_off")

@@ -4,9 +4,7 @@ Every per-key statistic here is a hash aggregate (partial per partition, then fi
 per key) rather than a window, so a key holding a third of the rows is
 combined map-side and never shipped whole to one task.  Where a per-row
 flag from a group statistic is needed, the small per-key result is joined
-back (sized by AQE; null-safe where pandas would match NaN keys).  The one
-window is the per-user profile (A1) on the (user, game) grain, where a
-user's rows are bounded by the catalogue size.
+back (sized by AQE; null-safe where pandas would match NaN keys).
 """
 
 from __future__ import annotations
@@ -16,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ludex.session import join_small
+
 
 def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -24,31 +24,36 @@ def _cols(x) -> list[str]:
 # A1 -------------------------------------------------------------------------
 def user_profile(df: DataFrame, user: str, cols: list[str], prefix: str = "user_preference_",
                  names: dict[str, str] | None = None, exclude_self: bool = False,
-                 loo: dict[str, str] | None = None) -> DataFrame:
+                 loo: dict[str, str] | None = None, known_users: int | None = None) -> DataFrame:
     """Per-user means of many columns attached to every row.
 
-    One window partitioned by user over the (user, game) grain: a single
-    shuffle of the fact rows and no second pass / join back.  A user's rows
-    are bounded by the catalogue size (rows are unique per (user, game)).
-    ``exclude_self`` (or ``loo={col: out}`` for extra columns) gives the
-    leave-one-out mean (sum - x) / (n - 1); no other row -> null.
+    ONE grouped aggregate of sums and counts for all columns (partial
+    aggregation, so a user holding a third of the rows is combined map-side),
+    joined back on the user (broadcast when ``known_users`` is within the
+    bound, else sized by AQE with skew splitting).  ``exclude_self`` (or
+    ``loo={col: out}`` for extra columns) gives the leave-one-out mean
+    (sum - x) / (n - 1); no other row -> null.
     """
     names = names or {}
     loo = loo or {}
-    w = Window.partitionBy(user)
-    sums = {c: F.sum(c).over(w) for c in set(cols) | set(loo)}
-    cnts = {c: F.count(c).over(w) for c in set(cols) | set(loo)}
+    allc = list(dict.fromkeys(list(cols) + list(loo)))
+    aggs = []
+    for c in allc:
+        aggs += [F.sum(c).alias(f"_s_{c}"), F.count(c).alias(f"_c_{c}")]
+    prof = df.groupBy(user).agg(*aggs)
+    j = join_small(df, prof, user, "left", known_rows=known_users)
 
     def mean(c, self_out):
+        s, n = F.col(f"_s_{c}"), F.col(f"_c_{c}")
         if self_out:
             own = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
             own_n = F.when(F.col(c).isNotNull(), 1).otherwise(0)
-            return F.try_divide(sums[c] - own, cnts[c] - own_n)      # no other rows -> null
-        return F.try_divide(sums[c], cnts[c])                        # no non-null value -> null
+            return F.try_divide(s - own, n - own_n)      # no other rows -> null
+        return F.try_divide(s, n)                        # no non-null value -> null
 
     sel = [mean(c, exclude_self).cast("double").alias(names.get(c, prefix + c)) for c in cols]
     sel += [mean(c, True).cast("double").alias(out) for c, out in loo.items()]
-    return df.select(*df.columns, *sel)
+    return j.select(*df.columns, *sel)
 
 
 def user_profile_table(df: DataFrame, user: str, cols: list[str], prefix: str = "user_preference_",

@@ -68,41 +68,45 @@ def recommend_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame |
     """R11 + R19: exact top-k unseen items per user by dot-product score.
 
     No candidate pairs are materialised (no cross join): the catalogue is
-    counted, split into blocks whose size is bounded by ``block_values``,
-    each block is broadcast to a ``mapInPandas`` pass over the users
-    (batched matrix product, seen items masked, exact top-k with ties broken
-    by item id), and the per-block winners (k per block per user) are merged
-    by a per-user ``row_number``.  A user's seen list is bounded by the
-    catalogue (rows are unique per (user, item)).
+    counted and split into hash blocks whose size is bounded by
+    ``block_values``; each block is broadcast to a ``mapInPandas`` pass over
+    the users (batched matrix product, seen items masked, exact top-k with
+    ties broken by item id).  Seen items are listed per (user, block), so a
+    list never exceeds one block's items, however many rows a user has.  The
+    per-block winners (k per block per user) are merged by a per-user
+    ``row_number`` over at most k x blocks rows.
     """
     spark = user_vecs.sparkSession
     n_items = item_vecs.count()
     first = item_vecs.select(F.size(vec)).first()
     dim = int(first[0]) if first else 1
     n_blocks = max(1, int(np.ceil(n_items * max(dim, 1) / block_values)))
+    blk = (lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))) if n_blocks > 1 else (lambda c: F.lit(0))
     users = user_vecs.select(F.col(user).cast("long").alias(user), F.col(vec).alias("_vec"))
-    if seen is not None:
-        lists = seen.select(F.col(user).cast("long").alias(user), F.col(item).cast("long").alias(item)) \
-            .groupBy(user).agg(F.collect_list(item).alias("_seen"))
-        users = users.join(lists, user, "left")
-    else:
-        users = users.withColumn("_seen", F.lit(None).cast("array<long>"))
     if n_blocks > 1:
         users = cut_lineage(users)   # read once per item block
+    lists = None
+    if seen is not None:
+        s = seen.select(F.col(user).cast("long").alias(user), F.col(item).cast("long").alias(item))
+        lists = s.groupBy(user, blk(F.col(item)).alias("_blk")).agg(F.collect_list(item).alias("_seen"))
     parts = []
     for b in range(n_blocks):
-        blk = item_vecs.filter(F.pmod(F.xxhash64(F.col(item)), F.lit(n_blocks)) == b) if n_blocks > 1 else item_vecs
-        rows = blk.select(F.col(item).cast("long"), F.col(vec)).collect()   # bounded by block_values
+        items_b = item_vecs.filter(blk(F.col(item)) == b) if n_blocks > 1 else item_vecs
+        rows = items_b.select(F.col(item).cast("long"), F.col(vec)).collect()   # bounded by block_values
         if not rows:
             continue
         ids = np.asarray([r[0] for r in rows], dtype="int64")
         mat = np.asarray([np.asarray(r[1], dtype=float) for r in rows], dtype=float)
         bc = spark.sparkContext.broadcast((ids, mat))
+        if lists is not None:
+            ub = users.join(lists.filter(F.col("_blk") == b).drop("_blk"), user, "left")
+        else:
+            ub = users.withColumn("_seen", F.lit(None).cast("array<long>"))
 
         def run(batches, bc=bc):
             ids_, mat_ = bc.value
             yield from _kernel_topk(ids_, mat_, k, user, item)(batches)
-        parts.append(users.mapInPandas(run, f"{user} long, {item} long, score double, rank long"))
+        parts.append(ub.mapInPandas(run, f"{user} long, {item} long, score double, rank long"))
     if len(parts) == 1:
         return parts[0]            # exact top-k already: no merge shuffle
     out = parts[0]

@@ -34,16 +34,21 @@ SELECT round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 6) AS mean_ndcg
 FROM u WHERE n >= 2"""
 
 
+def _catalogue(spark, d) -> int:
+    """Rows are unique per (user, game): a user's rows are bounded by the catalogue size."""
+    return fx.table(spark, d, "part").count()
+
+
 @register("ndcg_full_list", "E1 W5", _ndcg_sql("price", None))
 def q_ndcg(spark, d):
     r = relevance_table(spark, d)
-    return round_doubles(ev.ndcg(r, "user_id", "relevance_score", "price_mean"))
+    return round_doubles(ev.ndcg(r, "user_id", "relevance_score", "price_mean", group_bound=_catalogue(spark, d)))
 
 
 @register("ndcg_at_10_with_ties", "E1 W5", _ndcg_sql("floor(price / 20000)", 10))
 def q_ndcg_ties(spark, d):
     r = relevance_table(spark, d).withColumn("score", F.floor(F.col("price_mean") / 20000))
-    return round_doubles(ev.ndcg(r, "user_id", "relevance_score", "score", k=10))
+    return round_doubles(ev.ndcg(r, "user_id", "relevance_score", "score", k=10, group_bound=_catalogue(spark, d)))
 
 
 RANKNET_SQL = REL_B + f""",
@@ -92,7 +97,7 @@ f AS (SELECT fold, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS score F
 SELECT round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, count(*) AS n_folds FROM f""")
 def q_fold_summary(spark, d):
     r = relevance_table(spark, d)
-    per = ev.ndcg_per_user(r, "user_id", "relevance_score", "price_mean")
+    per = ev.ndcg_per_user(r, "user_id", "relevance_score", "price_mean", group_bound=_catalogue(spark, d))
     folds = per.withColumn("fold", F.col("user_id") % M).groupBy("fold").agg(F.avg("ndcg").alias("score"))
     return round_doubles(ev.fold_summary(folds, "score"))
 

@@ -257,3 +257,25 @@ def test_mlp_forward_shapes_and_pooling(spark):
     # padding rows are zero vectors: an all-padding list pools to zeros before LayerNorm
     E = np.asarray(w["multi"][0]["E"])
     assert np.all(E[0] == 0)
+
+
+def test_rank_within_group_hot_key(spark):
+    from pyspark.sql import Window
+    from ludex.operators.assemble import rank_within_group
+    rows = [(0, i, float(i % 37)) for i in range(3000)] + [(k, i, float(i)) for k in range(1, 20) for i in range(5)]
+    df = spark.createDataFrame(rows, "u long, i long, s double")
+    order = [F.desc("s"), F.asc("i")]
+    got = rank_within_group(df, "u", order, "pos", bounded=False)
+    assert got.select(F.spark_partition_id()).distinct().count() >= 1
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("u").orderBy(*order)))
+    assert sorted(map(tuple, got.select("u", "i", "pos").collect())) == sorted(map(tuple, want.select("u", "i", "pos").collect()))
+
+
+def test_ndcg_distributed_positions_equal_window(spark):
+    from ludex.operators.evaluate import _ndcg_users
+    from ludex.plans.q_relevance import relevance_table
+    r = relevance_table(spark, SF_SMALL)
+    a = sorted(tuple(x) for x in _ndcg_users(r, "user_id", "relevance_score", "price_mean", max_rows=True).collect())
+    b = sorted(tuple(x) for x in _ndcg_users(r, "user_id", "relevance_score", "price_mean", max_rows=False).collect())
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(a, b))
