@@ -166,16 +166,18 @@ def flatten_users(df: DataFrame, user: str, games: str, item_field: str = "appid
 # P19-P22 ----------------------------------------------------------------------
 def lookup_coordinates(users: DataFrame, countries: DataFrame, states: DataFrame, cities: DataFrame,
                        country: str = "country", state: str = "state", city: str = "city") -> DataFrame:
-    """City -> state -> country fallback.  The three geo tables are
-    dimensions with a fixed size (one row per place) and are broadcast."""
+    """City -> state -> country fallback (the city level is consulted only
+    when the state is known).  Each place table is counted and broadcast only
+    within the broadcast bound; otherwise AQE sizes the join."""
+    from ludex.session import join_small
     cc = countries.select(F.col(country).alias("_c1"), F.col("coordinates").alias("_cc"))
     sc = states.select(F.col(country).alias("_c2"), F.col(state).alias("_s2"), F.col("coordinates").alias("_sc"))
     ci = cities.select(F.col(country).alias("_c3"), F.col(state).alias("_s3"), F.col(city).alias("_i3"),
                        F.col("coordinates").alias("_ic"))
-    j = users.join(F.broadcast(cc), users[country] == F.col("_c1"), "left")
-    j = j.join(F.broadcast(sc), (j[country] == F.col("_c2")) & (j[state] == F.col("_s2")), "left")
-    j = j.join(F.broadcast(ci), (j[country] == F.col("_c3")) & (j[state] == F.col("_s3")) & (j[city] == F.col("_i3")), "left")
-    # the city level is only consulted when the state is known
+    j = join_small(users, cc, users[country] == F.col("_c1"), "left", known_rows=cc.count())
+    j = join_small(j, sc, (j[country] == F.col("_c2")) & (j[state] == F.col("_s2")), "left", known_rows=sc.count())
+    j = join_small(j, ci, (j[country] == F.col("_c3")) & (j[state] == F.col("_s3")) & (j[city] == F.col("_i3")),
+                   "left", known_rows=ci.count())
     coord = F.when(F.col("_sc").isNotNull(), F.coalesce(F.col("_ic"), F.col("_sc"))).otherwise(F.col("_cc"))
     return j.withColumn("coordinates", coord).drop("_c1", "_cc", "_c2", "_s2", "_sc", "_c3", "_s3", "_i3", "_ic")
 
