@@ -182,3 +182,13 @@ def test_group_median_fill_roundtrip(spark, tmpdir_path):
     test = spark.createDataFrame([("A", None), ("B", None), ("Z", None), ("A", 5.0)], "c string, x double")
     got = [r["x"] for r in back.apply(test).orderBy("c", "x").collect()]
     assert sorted(got) == sorted([2.0, 10.0, 5.0, 5.0])
+
+
+def test_profile_links(spark):
+    from ludex.sources.ingest import extract_profile_links
+    html = ('<a href="https://steamcommunity.com/id/gamer_1/">x</a> <a href="https://steamcommunity.com/profiles/'
+            '76561198000000001">y</a> <a href="https://steamcommunity.com/profiles/123">bad</a> '
+            '<a href="https://steamcommunity.com/id/gamer_1/">dup</a>')
+    pages = spark.createDataFrame([(html,), (html,)], "html string")
+    got = sorted((r["kind"], r["profile"]) for r in extract_profile_links(pages).collect())
+    assert got == [("id", "gamer_1"), ("profiles", "76561198000000001")]
