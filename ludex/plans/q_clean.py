@@ -30,7 +30,7 @@ COMPANY_SRC = "p_brand || ', ' || p_name || ' Inc., ' || p_type || ' Ltd.,  '"
 
 
 @register("company_names_normalized", "P4 F1", f"""
-SELECT p_partkey AS app_id, array_to_string(l, '|') AS developers, len(l) AS n_developers
+SELECT p_partkey AS app_id, array_to_string(l, '|') AS developers, CAST(len(l) AS INTEGER) AS n_developers
 FROM (SELECT p_partkey,
         list_filter(list_transform(string_split(
           replace(replace(replace(replace(lower({COMPANY_SRC}), '.', ''), 'inc', ''), 'llc', ''), 'ltd', ''),
@@ -160,8 +160,9 @@ FROM part"""
 
 @register("catalog_nested_fields", "P9 P12 P14 P15 P16 P17 P29 S10 F4", fx.cte(c=CATALOG_RAW_SQL) + """
 SELECT id AS app_id,
-  year(CAST(released AS DATE)) AS released_year, month(CAST(released AS DATE)) AS released_month,
-  day(CAST(released AS DATE)) AS released_day,
+  CAST(year(CAST(released AS DATE)) AS DOUBLE) AS released_year,
+  CAST(month(CAST(released AS DATE)) AS DOUBLE) AS released_month,
+  CAST(day(CAST(released AS DATE)) AS DOUBLE) AS released_day,
   round(coalesce(list_transform(list_filter(ratings, lambda x: x['id'] = 5), lambda x: x['percent'])[-1], 0.0), 6) AS rating_5_percent,
   round(coalesce(list_transform(list_filter(ratings, lambda x: x['id'] = 4), lambda x: x['percent'])[-1], 0.0), 6) AS rating_4_percent,
   round(coalesce(list_transform(list_filter(ratings, lambda x: x['id'] = 3), lambda x: x['percent'])[-1], 0.0), 6) AS rating_3_percent,
@@ -172,15 +173,17 @@ SELECT id AS app_id,
   coalesce(genre_names[1], 'Unknown') AS main_genre,
   coalesce(esrb_name, 'Missing') AS esrb_rating,
   in_store_1 AS sold_in_store_1,
-  n_achieved AS achievements,
-  CAST(regexp_extract(store_url_1, '/app/(\\d+)', 1) AS BIGINT) AS store_app_id
+  CAST(n_achieved AS DOUBLE) AS achievements,
+  CAST(CAST(regexp_extract(store_url_1, '/app/(\\d+)', 1) AS BIGINT) AS DOUBLE) AS store_app_id
 FROM c""")
 def q_catalog_nested(spark, d):
     from ludex.sources.ingest import extract_store_id
     c = catalog_raw(spark, d)
     c = cl.date_parts(c, "released", "released")
+    # nullable integers are reported as doubles (one representation on both engines)
     return round_doubles(c.select(
-        F.col("id").alias("app_id"), "released_year", "released_month", "released_day",
+        F.col("id").alias("app_id"), *[F.col(x).cast("double").alias(x)
+                                       for x in ("released_year", "released_month", "released_day")],
         *cl.pivot_array("ratings", "id", "percent", cl.RATING_KEYS,
                         names=[f"rating_{k}_percent" for k in cl.RATING_KEYS]),
         F.concat_ws("|", cl.names_of("platforms", ["platform", "name"], skip_missing="platform")).alias("platforms"),
@@ -188,8 +191,8 @@ def q_catalog_nested(spark, d):
         cl.first_or(cl.names_of("genres", ["name"])).alias("main_genre"),
         cl.field_or("esrb_rating", "name").alias("esrb_rating"),
         cl.exists_in("stores", lambda x: x["store"]["id"] == 1).alias("sold_in_store_1"),
-        cl.count_where("achievements", lambda x: x["achieved"] == 1).alias("achievements"),
-        extract_store_id("stores").alias("store_app_id")))
+        cl.count_where("achievements", lambda x: x["achieved"] == 1).cast("double").alias("achievements"),
+        extract_store_id("stores").cast("double").alias("store_app_id")))
 
 
 # ---------------------------------------------------------------- P13
@@ -273,7 +276,7 @@ def q_invalid_geo(spark, d):
 SELECT l_orderkey AS order_id, l_linenumber AS line,
        round(ln(1 + l_quantity), 6) AS log_quantity,
        round_even((p_retailprice - l_extendedprice / l_quantity) / (p_retailprice + 0.000001), 0) AS game_current_discount,
-       year(l_shipdate) - 1984 AS released_year_since_1984,
+       CAST(year(l_shipdate) - 1984 AS INTEGER) AS released_year_since_1984,
        CASE WHEN l_tax - 0.04 >= 0 THEN round((l_tax - 0.04) * 60.0, 6) END AS playtime_minutes,
        format('{:.4f}', l_discount) AS score_text,
        CASE WHEN l_discount > -0.00001 AND l_discount <= 0.00001 THEN 'None'

@@ -356,7 +356,7 @@ def q_min_rows(spark, d):
     return pf.min_rows(fx.interactions(spark, d).select("user_id", "app_id"), "user_id", 20)
 
 
-@register("max_list_length", "A22", fx.cte(g=G) + "SELECT max(len(game_genres)) AS pad_width FROM g")
+@register("max_list_length", "A22", fx.cte(g=G) + "SELECT CAST(max(len(game_genres)) AS INTEGER) AS pad_width FROM g")
 def q_max_len(spark, d):
     g = fx.games(spark, d)
     return g.agg(F.coalesce(F.max(F.size("game_genres")), F.lit(0)).alias("pad_width"))

@@ -207,8 +207,9 @@ def _mode_sql(c):
 
 
 @register("mode_fill_release_date", "I3 A3 P9", fx.cte(r=RELEASE_SQL, tr=f"SELECT * FROM r WHERE app_id % {M} <> 0") + f"""
-SELECT app_id, coalesce(ry, {_mode_sql('ry')}) AS released_year, coalesce(rm, {_mode_sql('rm')}) AS released_month,
-       coalesce(rd, {_mode_sql('rd')}) AS released_day FROM r""")
+SELECT app_id, CAST(coalesce(ry, {_mode_sql('ry')}) AS INTEGER) AS released_year,
+       CAST(coalesce(rm, {_mode_sql('rm')}) AS INTEGER) AS released_month,
+       CAST(coalesce(rd, {_mode_sql('rd')}) AS INTEGER) AS released_day FROM r""")
 def q_mode_fill(spark, d):
     from ludex.plans.q_clean import catalog_raw
     from ludex.functions.clean import date_parts
