@@ -241,9 +241,9 @@ p AS (SELECT *, string_split(coordinates, ',') AS parts FROM j)
 SELECT user_id, coalesce(CAST(country AS VARCHAR), 'Missing') AS user_country_code,
        coordinates IS NOT NULL AS user_has_coordinates,
        CASE WHEN len(parts) = 2 AND try_cast(parts[1] AS DOUBLE) IS NOT NULL AND try_cast(parts[2] AS DOUBLE) IS NOT NULL
-            THEN round(try_cast(parts[1] AS DOUBLE), 6) END AS user_latitude,
+            THEN round(try_cast(parts[1] AS DOUBLE), 6) + 0.0 END AS user_latitude,
        CASE WHEN len(parts) = 2 AND try_cast(parts[1] AS DOUBLE) IS NOT NULL AND try_cast(parts[2] AS DOUBLE) IS NOT NULL
-            THEN round(try_cast(parts[2] AS DOUBLE), 6) END AS user_longitude
+            THEN round(try_cast(parts[2] AS DOUBLE), 6) + 0.0 END AS user_longitude
 FROM p""")
 def q_coordinates(spark, d):
     countries, states, cities = geo_tables(spark, d)
@@ -275,7 +275,7 @@ def q_invalid_geo(spark, d):
 @register("price_discount_features", "P23 P26 P27 P34 P35 P31", """
 SELECT l_orderkey AS order_id, l_linenumber AS line,
        round(ln(1 + l_quantity), 6) AS log_quantity,
-       round_even((p_retailprice - l_extendedprice / l_quantity) / (p_retailprice + 0.000001), 0) AS game_current_discount,
+       round_even((p_retailprice - l_extendedprice / l_quantity) / (p_retailprice + 0.000001), 0) + 0.0 AS game_current_discount,
        CAST(year(l_shipdate) - 1984 AS INTEGER) AS released_year_since_1984,
        CASE WHEN l_tax - 0.04 >= 0 THEN round((l_tax - 0.04) * 60.0, 6) END AS playtime_minutes,
        format('{:.4f}', l_discount) AS score_text,

@@ -252,7 +252,7 @@ def _seq_sql():
         chain = f"coalesce({chain}, CASE WHEN {f} > 0 THEN (SELECT m FROM m{i}) END)"
     return fx.cte(**ctes) + f"""
 SELECT app_id, round({chain}, 6) AS game_current_price,
-       round_even((init - {chain}) / (init + 0.000001), 0) AS game_current_discount FROM b"""
+       round_even((init - {chain}) / (init + 0.000001), 0) + 0.0 AS game_current_discount FROM b"""
 
 
 @register("sequential_flag_median_price", "I4 I5 P26", _seq_sql())
