@@ -12,7 +12,7 @@ from ludex.operators import als as alsmod
 from ludex.operators import evaluate as ev
 from ludex.operators import rank as rk
 from ludex.plans import fixtures as fx
-from ludex.plans.q_relevance import relevance_table
+from ludex.plans.q_relevance import RELEVANCE_SQL_BODY, relevance_table
 from ludex.plans.registry import register, round_doubles
 
 M = fx.TRAIN_MOD
@@ -299,3 +299,70 @@ def q_new_users(spark, d):
     recs = rk.recommend_topk(uvec, itf, new.select("user_id", "app_id"), k=10)
     out = rk.format_recommendations(recs, games.select("app_id", "game_name"))
     return out.join(prefs, "user_id", "left")
+
+
+TAB_SQL = RELEVANCE_SQL_BODY.rstrip() + f""",
+u AS ({fx.USERS_SQL}),
+f AS (SELECT r.user_id, r.app_id, r.relevance_score, p_type AS game_type, p_size AS game_size,
+             p_retailprice AS game_initial_price, string_split(p_name, ' ') AS game_genres, p_brand AS dev0,
+             CASE WHEN r.user_id % 13 = 0 THEN NULL ELSE u.user_country_code END AS country,
+             u.user_latitude, u.user_longitude, year(u.user_created) AS created_year
+      FROM rel r JOIN part ON r.app_id = p_partkey LEFT JOIN u ON r.user_id = u.user_id),
+tr AS (SELECT * FROM f WHERE user_id % {M} <> 0),
+te AS (SELECT * FROM f WHERE user_id % {M} = 0),
+devtop AS (SELECT dev0 AS d FROM tr GROUP BY dev0 ORDER BY count(*) DESC, dev0 LIMIT 10),
+tagtop AS (SELECT w FROM (SELECT unnest(game_genres) AS w FROM tr) GROUP BY w ORDER BY count(*) DESC, w LIMIT 5),
+words AS (SELECT DISTINCT unnest(game_genres) AS w FROM tr),
+med AS (SELECT median(user_latitude) AS mlat, median(user_longitude) AS mlon, min(created_year) AS y0 FROM tr),
+trc AS (SELECT DISTINCT coalesce(country, 'Missing') AS cc,
+               CASE WHEN dev0 IN (SELECT d FROM devtop) THEN dev0 ELSE 'Other' END AS dev, game_type FROM tr),
+iv AS (SELECT p_partkey AS app_id, CAST(e.embedding[1] AS DOUBLE) AS e0, CAST(e.embedding[2] AS DOUBLE) AS e1
+       FROM part JOIN embeddings e ON e.vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+x AS (SELECT te.*, coalesce(te.country, 'Missing') AS cc0,
+             CASE WHEN dev0 IN (SELECT d FROM devtop) THEN dev0 ELSE 'Other' END AS dev1,
+             coalesce(user_latitude, mlat) AS lat, coalesce(user_longitude, mlon) AS lon, created_year - y0 AS yrs,
+             coalesce(iv.e0, 0.0) AS e0, coalesce(iv.e1, 0.0) AS e1
+      FROM te LEFT JOIN iv USING (app_id), med),
+y AS (SELECT x.*,
+        CASE WHEN cc0 IN (SELECT cc FROM trc) THEN cc0 WHEN 'Other' IN (SELECT cc FROM trc) THEN 'Other'
+             WHEN 'Missing' IN (SELECT cc FROM trc) THEN 'Missing' END AS cc1,
+        CASE WHEN dev1 IN (SELECT dev FROM trc) THEN dev1 WHEN 'Other' IN (SELECT dev FROM trc) THEN 'Other'
+             WHEN 'Missing' IN (SELECT dev FROM trc) THEN 'Missing' END AS dev2,
+        CASE WHEN game_type IN (SELECT game_type FROM trc) THEN game_type
+             WHEN 'Other' IN (SELECT game_type FROM trc) THEN 'Other'
+             WHEN 'Missing' IN (SELECT game_type FROM trc) THEN 'Missing' END AS gt1
+      FROM x)
+SELECT user_id, app_id, feature, round(num_value, 6) AS num_value, str_value FROM (
+  SELECT user_id, app_id, 'relevance_score' AS feature, relevance_score AS num_value, NULL AS str_value FROM y
+  UNION ALL SELECT user_id, app_id, 'game_size', CAST(game_size AS DOUBLE), NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'game_initial_price', game_initial_price, NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'user_latitude', lat, NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'user_longitude', lon, NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'game_emb_0', e0, NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'game_emb_1', e1, NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'created_years_since', CAST(yrs AS DOUBLE), NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'tag_' || w, CAST(list_contains(game_genres, w) AS DOUBLE), NULL FROM y, tagtop
+  UNION ALL SELECT user_id, app_id, 'genre_' || w, CAST(list_contains(game_genres, w) AS DOUBLE), NULL FROM y, words
+  UNION ALL SELECT user_id, app_id, 'game_type', NULL, gt1 FROM y
+  UNION ALL SELECT user_id, app_id, 'user_country_code', NULL, cc1 FROM y
+  UNION ALL SELECT user_id, app_id, 'developer', NULL, dev2 FROM y)"""
+
+
+@register("tabular_feature_chain", "R18 C6 C7 C8 C9 C10 P2 P21 P27 P29 P30 J3 I1", TAB_SQL)
+def q_tabular(spark, d):
+    """The tree model's feature table for the test rows, fitted on train, in long form."""
+    from pyspark.sql import types as T
+    from ludex.operators.features import TabularFeatures
+    f = tabular_frame(spark, d)
+    train, test = f.filter(F.col("user_id") % M != 0), f.filter(F.col("user_id") % M == 0)
+    emb = item_vectors(spark, d).select("app_id", F.slice("features", 1, 2).cast("array<float>").alias("game_emb"))
+    tf = TabularFeatures(drop=["price_mean"]).fit(train, emb)
+    out = tf.apply(test)
+    keys = ["user_id", "app_id"]
+    num = [c.name for c in out.schema.fields if c.name not in keys and not isinstance(c.dataType, T.StringType)]
+    txt = [c.name for c in out.schema.fields if c.name not in keys and isinstance(c.dataType, T.StringType)]
+    a = out.select(*keys, *[F.col(c).cast("double").alias(c) for c in num]).unpivot(keys, num, "feature", "num_value") \
+        .withColumn("str_value", F.lit(None).cast("string"))
+    b = out.select(*keys, *txt).unpivot(keys, txt, "feature", "str_value") \
+        .withColumn("num_value", F.lit(None).cast("double"))
+    return round_doubles(a.unionByName(b).select(*keys, "feature", "num_value", "str_value"))
