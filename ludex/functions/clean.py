@@ -8,6 +8,7 @@ DataFrame return a DataFrame.
 
 from __future__ import annotations
 
+import calendar
 import datetime as _dt
 
 from pyspark.sql import Column, DataFrame
@@ -91,14 +92,25 @@ def date_parts(df: DataFrame, col: str, prefix: str) -> DataFrame:
 
 
 def epoch_to_timestamp(c) -> Column:
-    """P10: epoch seconds (any type) -> timestamp; bad -> null."""
+    """P10: epoch seconds (any type) -> timestamp (an instant); bad -> null."""
     return F.timestamp_seconds(_c(c).try_cast("long"))
 
 
-def age_months(c, as_of: _dt.datetime) -> Column:
-    """(as_of - created) / 30.44 days, as double."""
-    secs = F.lit(as_of).cast("timestamp").cast("double") - _c(c).cast("timestamp").cast("double")
-    return secs / (DAYS_PER_MONTH * 86400.0)
+def epoch_seconds(c, ntz: bool = True) -> Column:
+    """Seconds since 1970-01-01 00:00 UTC, independent of the session time zone:
+    a TIMESTAMP_NTZ is read as a UTC wall clock (field arithmetic), a
+    TIMESTAMP is an instant."""
+    x = _c(c)
+    if not ntz:
+        return F.unix_seconds(x)
+    return (F.unix_date(F.to_date(x)).cast("long") * 86400 + F.hour(x) * 3600 + F.minute(x) * 60
+            + F.second(x))
+
+
+def age_months(c, as_of: _dt.datetime, ntz: bool = True) -> Column:
+    """(as_of - created) / 30.44 days, as double (``as_of`` read as UTC)."""
+    as_of_s = calendar.timegm(as_of.utctimetuple()) if as_of.tzinfo else calendar.timegm(as_of.timetuple())
+    return (F.lit(float(as_of_s)) - epoch_seconds(c, ntz).cast("double")) / (DAYS_PER_MONTH * 86400.0)
 
 
 # P12-P17 ----------------------------------------------------------------------

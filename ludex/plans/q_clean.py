@@ -98,12 +98,12 @@ def q_casts_age(spark, d):
     j = c.join(o, c.c_custkey == o.o_custkey, "left")
     raw = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("x"), F.col("c_name"))) \
         .otherwise(F.col("c_acctbal").cast("string"))
-    epoch_str = F.unix_timestamp("created").cast("string")          # the raw form: epoch seconds as text
-    created = cl.epoch_to_timestamp(epoch_str)
-    age_s = F.lit(fx.AS_OF).cast("timestamp").cast("double") - created.cast("double")
+    epoch_str = cl.epoch_seconds("created").cast("string")          # the raw form: epoch seconds as text
+    created = cl.epoch_to_timestamp(epoch_str)                     # an instant
+    age_s = cl.age_months(created, fx.AS_OF, ntz=False) * (cl.DAYS_PER_MONTH * 86400.0)
     return round_doubles(j.select(F.col("c_custkey").alias("user_id"), cl.to_double_lenient(raw).alias("acct"),
                                   age_s.alias("age_seconds"),
-                                  cl.age_months(created, fx.AS_OF).alias("user_account_age_months")))
+                                  cl.age_months(created, fx.AS_OF, ntz=False).alias("user_account_age_months")))
 
 
 # ---------------------------------------------------------------- nested catalog

@@ -116,10 +116,10 @@ def q_dedup(spark, d):
     """A re-fetched batch (days 10+ plus a repeated page of days 10-15) minus
     the ids processed before (days < 12): every id once, nothing already done."""
     e = fx.table(spark, d, "events").select("event_id", "user_id", "ts")
-    fetched = e.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp")).unionByName(
-        e.filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))
-                 & (F.col("ts") < F.lit("2024-01-16").cast("timestamp"))))
-    done = e.filter(F.col("ts") < F.lit("2024-01-12").cast("timestamp"))
+    fetched = e.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).unionByName(
+        e.filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))
+                 & (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))))
+    done = e.filter(F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz"))
     return ingest.dedup_ingest(fetched, done, "event_id").select("event_id", "user_id")
 
 
