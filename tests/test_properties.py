@@ -279,3 +279,40 @@ def test_ndcg_distributed_positions_equal_window(spark):
     b = sorted(tuple(x) for x in _ndcg_users(r, "user_id", "relevance_score", "price_mean", max_rows=False).collect())
     assert [x[:2] for x in a] == [x[:2] for x in b]
     assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(a, b))
+
+
+def test_survey_properties(spark):
+    """SURVEY 5.3: winsorized values inside the group's [q05, q95] (repeating the
+    clip is NOT a no-op with interpolated quantiles, as in pandas), min-max
+    monotone, one-hot row sum 1, padded length constant."""
+    from ludex.operators import encode as enc
+    from ludex.operators import relevance as rel
+    i = fx.interactions(spark, SF_SMALL).withColumn("x", F.log1p("playtime_forever"))
+    q = {r["app_id"]: r["q"] for r in i.groupBy("app_id").agg(F.percentile("x", [0.05, 0.95]).alias("q")).collect()}
+    for r in rel.winsorize(i, "x", "app_id").collect():
+        lo, hi = q[r["app_id"]]
+        assert lo - 1e-12 <= r["x"] <= hi + 1e-12
+    m = rel.minmax_in_group(i, "x", "app_id", 5, out="mm").collect()
+    by_game = {}
+    for r in m:
+        by_game.setdefault(r["app_id"], []).append((r["x"], r["mm"]))
+    for rows in by_game.values():
+        rows.sort()
+        assert all(p[1] <= q[1] + 1e-12 for p, q in zip(rows, rows[1:]))
+    g = fx.games(spark, SF_SMALL)
+    oh = enc.OneHot.fit(g.filter("app_id % 5 <> 0"), "game_type").apply(g.select("app_id", "game_type"))
+    cols = [c for c in oh.columns if c.startswith("game_type_")]
+    assert oh.select(sum(F.col(c) for c in cols).alias("s")).distinct().collect()[0]["s"] == 1
+    le = enc.ListEncoder.fit(g.filter("app_id % 5 <> 0"), "game_genres")
+    lens = le.apply(g).select(F.size("game_genres_encoded_padded").alias("n")).distinct().collect()
+    assert [r["n"] for r in lens] == [le.state["width"]]
+
+
+def test_ndcg_monotone_invariance_and_perfect(spark):
+    from ludex.plans.q_relevance import relevance_table
+    r = relevance_table(spark, SF_SMALL)
+    perfect = ev.ndcg(r, "user_id", "relevance_score", "relevance_score").first()["mean_ndcg"]
+    assert perfect == pytest.approx(1.0)
+    a = ev.ndcg(r, "user_id", "relevance_score", "price_mean").first()["mean_ndcg"]
+    b = ev.ndcg(r.withColumn("p2", F.exp(F.col("price_mean") / 1e5)), "user_id", "relevance_score", "p2").first()["mean_ndcg"]
+    assert a == pytest.approx(b, abs=1e-12)
