@@ -28,37 +28,84 @@ def top_k(df: DataFrame, k: int, order: list[Column], per: str | list[str] | Non
 ITEM_BLOCK_VALUES = 8_000_000
 
 
+SCORE_CHUNK_VALUES = 4_000_000   # users x items scores held at once inside a task (32 MB of doubles)
+
+
+def _topk_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact top-k per row of ``scores`` whose columns are in ascending item-id
+    order: larger score first, ties by smaller id.  Returns (row index, column)
+    pairs in rank order; rows with fewer finite scores give fewer pairs.
+
+    ``argpartition`` picks k columns per row; only rows where equal scores
+    straddle the k-th place are re-selected exactly (smallest ids first)."""
+    finite = np.isfinite(scores)
+    m = finite.sum(axis=1)
+    out_r, out_c = [], []
+    full = m >= k
+    if full.any() and k > 0:
+        s = scores[full]
+        cols = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        vals = np.take_along_axis(s, cols, axis=1)
+        t = vals.min(axis=1)
+        split = (s == t[:, None]).sum(axis=1) != (vals == t[:, None]).sum(axis=1)
+        for r in np.nonzero(split)[0]:                                   # boundary ties: ids decide
+            gt = np.nonzero(s[r] > t[r])[0]
+            eq = np.nonzero(s[r] == t[r])[0][:k - len(gt)]
+            cols[r] = np.concatenate([gt, eq])
+        vals = np.take_along_axis(s, cols, axis=1)
+        order = np.lexsort((cols, -vals), axis=1)
+        cols = np.take_along_axis(cols, order, axis=1)
+        out_r.append(np.repeat(np.nonzero(full)[0], k))
+        out_c.append(cols.reshape(-1))
+    for r in np.nonzero(~full & (m > 0))[0]:                             # rows with < k finite scores
+        c = np.nonzero(finite[r])[0]
+        c = c[np.lexsort((c, -scores[r, c]))]
+        out_r.append(np.full(len(c), r))
+        out_c.append(c)
+    if not out_r:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    return np.concatenate(out_r), np.concatenate(out_c)
+
+
 def _kernel_topk(item_ids: np.ndarray, item_mat: np.ndarray, k: int, user: str, item: str):
     order_ids = np.argsort(item_ids, kind="stable")
-    sorted_ids = item_ids[order_ids]
+    ids = item_ids[order_ids]                 # columns in ascending id order (tie-break)
+    mat = item_mat[order_ids]
+    n = len(ids)
+    chunk = max(1, SCORE_CHUNK_VALUES // max(n, 1))
 
     def run(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            u = np.stack(pdf["_vec"].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
-            scores = u @ item_mat.T
-            out_u, out_i, out_s, out_r = [], [], [], []
-            for r, (uid, seen) in enumerate(zip(pdf[user].to_numpy(), pdf["_seen"])):
-                s = scores[r].copy()
-                if seen is not None and len(seen):
-                    seen = np.asarray(seen, dtype=item_ids.dtype)
-                    pos = np.clip(np.searchsorted(sorted_ids, seen), 0, len(sorted_ids) - 1)
-                    s[order_ids[pos[sorted_ids[pos] == seen]]] = -np.inf
-                finite = np.isfinite(s)
-                m = int(finite.sum())
-                if m == 0:
+            uid_all = pdf[user].to_numpy()
+            vec_all = pdf["_vec"].to_numpy()
+            seen_all = pdf["_seen"].to_numpy()
+            for lo in range(0, len(pdf), chunk):
+                hi = min(lo + chunk, len(pdf))
+                u = np.stack([np.asarray(v, dtype=float) for v in vec_all[lo:hi]])
+                scores = u @ mat.T
+                rr, cc = [], []
+                for r, seen in enumerate(seen_all[lo:hi]):              # mask seen items
+                    if seen is not None and len(seen):
+                        sv = np.asarray(seen, dtype=ids.dtype)
+                        pos = np.clip(np.searchsorted(ids, sv), 0, n - 1)
+                        pos = pos[ids[pos] == sv]
+                        rr.append(np.full(len(pos), r))
+                        cc.append(pos)
+                if rr:
+                    scores[np.concatenate(rr), np.concatenate(cc)] = -np.inf
+                r_idx, c_idx = _topk_rows(scores, k)
+                if not len(r_idx):
                     continue
-                kk = min(k, m)
-                kth = np.partition(s[finite], m - kk)[m - kk]
-                cand = np.nonzero(finite & (s >= kth))[0]
-                cand = cand[np.lexsort((item_ids[cand], -s[cand]))][:kk]
-                out_u.extend([uid] * len(cand))
-                out_i.extend(item_ids[cand].tolist())
-                out_s.extend(s[cand].tolist())
-                out_r.extend(range(1, len(cand) + 1))
-            yield pd.DataFrame({user: np.asarray(out_u, dtype="int64"), item: np.asarray(out_i, dtype="int64"),
-                                "score": np.asarray(out_s, dtype=float), "rank": np.asarray(out_r, dtype="int64")})
+                rank = np.ones(len(r_idx), dtype="int64")
+                if len(r_idx) > 1:
+                    same = r_idx[1:] == r_idx[:-1]
+                    run_id = np.cumsum(np.concatenate([[0], ~same]))
+                    starts = np.concatenate([[0], np.nonzero(~same)[0] + 1])
+                    rank = np.arange(len(r_idx)) - starts[run_id] + 1
+                yield pd.DataFrame({user: uid_all[lo:hi][r_idx].astype("int64"), item: ids[c_idx].astype("int64"),
+                                    "score": scores[r_idx, c_idx].astype(float), "rank": rank.astype("int64")})
     return run
 
 

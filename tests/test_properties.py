@@ -50,12 +50,13 @@ def test_recommend_topk_equals_brute_force(spark):
     idf = spark.createDataFrame(items, "app_id long, features array<double>")
     udf = spark.createDataFrame(users, "user_id long, features array<double>")
     sdf = spark.createDataFrame(seen, "user_id long, app_id long")
-    for bv in (10_000, 30):   # one block / several broadcast blocks
-        got = rk.recommend_topk(udf, idf, sdf, k=5, block_values=bv).orderBy("user_id", "rank").collect()
+    for bv, k in ((10_000, 5), (30, 5), (10_000, 40)):   # one block / several blocks / fewer than k unseen
+        got = rk.recommend_topk(udf, idf, sdf, k=k, block_values=bv).orderBy("user_id", "rank").collect()
         for u, vec in users:
             s = {i: float(np.dot(vec, v)) for i, v in items if (u, i) not in set(seen)}
-            want = sorted(s, key=lambda i: (-s[i], i))[:5]
+            want = sorted(s, key=lambda i: (-s[i], i))[:k]
             assert [r["app_id"] for r in got if r["user_id"] == u] == want
+            assert [r["rank"] for r in got if r["user_id"] == u] == list(range(1, len(want) + 1))
 
 
 def test_fold_in_reproduces_training_factors(spark):
