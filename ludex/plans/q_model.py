@@ -203,7 +203,7 @@ def ranker_frame(spark, d):
 def q_ranker(spark, d):
     f = ranker_frame(spark, d)
     train = f.filter(F.col("user_id") % M != 0)
-    pr = rk.PairwiseRanker(iters=15, lr=1.0).fit(train, "user_id", RANK_FEATURES, "relevance_score", key="app_id")
+    pr = rk.PairwiseRanker(iters=10).fit(train, "user_id", RANK_FEATURES, "relevance_score", key="app_id")
     test = pr.score(f.filter(F.col("user_id") % M == 0))
     loss = ev.ranknet_loss(test, "user_id", "score", "relevance_score", key="app_id").first()
     rows = [(i, float(v), None) for i, v in enumerate(pr.history)]
