@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Profile link forms and the 17-digit numeric id.
-PROFILE_LINK_RE = r"https?://steamcommunity\.com/(?:id|profiles)/[^/\"'<>\s]+"
+# Profile link forms (/id/<name>, /profiles/<number>) and the 17-digit numeric id.
+PROFILE_PATH_RE = r"/(?:id|profiles)/[^/\"'<>\s]+"
 PROFILE_PARTS_RE = r"/(id|profiles)/([^/\"'<>\s]+)"
 NUMERIC_ID_RE = r"^[0-9]{17}$"
 STORE_APP_RE = r"/app/(\d+)"
@@ -20,9 +20,10 @@ def extract_links(df: DataFrame, text: str, pattern: str, out: str = "link") ->
     return df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias(out)).distinct()
 
 
-def extract_profile_links(pages: DataFrame, text: str = "html") -> DataFrame:
-    """Unique profile URLs -> (kind, id); numeric ids kept only when 17 digits."""
-    links = extract_links(pages, text, PROFILE_LINK_RE)
+def extract_profile_links(pages: DataFrame, host: str, text: str = "html") -> DataFrame:
+    """Unique profile URLs on ``host`` -> (kind, id); numeric ids kept only when 17 digits."""
+    import re as _re
+    links = extract_links(pages, text, r"https?://" + _re.escape(host) + PROFILE_PATH_RE)
     kind = F.regexp_extract("link", PROFILE_PARTS_RE, 1)
     ident = F.regexp_extract("link", PROFILE_PARTS_RE, 2)
     out = links.select("link", kind.alias("kind"), ident.alias("profile"))

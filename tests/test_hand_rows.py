@@ -186,9 +186,9 @@ def test_group_median_fill_roundtrip(spark, tmpdir_path):
 
 def test_profile_links(spark):
     from ludex.sources.ingest import extract_profile_links
-    html = ('<a href="https://steamcommunity.com/id/gamer_1/">x</a> <a href="https://steamcommunity.com/profiles/'
-            '76561198000000001">y</a> <a href="https://steamcommunity.com/profiles/123">bad</a> '
-            '<a href="https://steamcommunity.com/id/gamer_1/">dup</a>')
+    html = ('<a href="https://community.example.com/id/gamer_1/">x</a> <a href="https://community.example.com/profiles/'
+            '76561198000000001">y</a> <a href="https://community.example.com/profiles/123">bad</a> '
+            '<a href="https://community.example.com/id/gamer_1/">dup</a>')
     pages = spark.createDataFrame([(html,), (html,)], "html string")
-    got = sorted((r["kind"], r["profile"]) for r in extract_profile_links(pages).collect())
+    got = sorted((r["kind"], r["profile"]) for r in extract_profile_links(pages, "community.example.com").collect())
     assert got == [("id", "gamer_1"), ("profiles", "76561198000000001")]
