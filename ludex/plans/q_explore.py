@@ -163,3 +163,21 @@ def q_ingest(spark, d):
     ingest_incremental(spark, land, out, ckpt, EVENT_SCHEMA, key="event_id")        # picks up the rest
     got = read_ingested(spark, out, EVENT_SCHEMA)
     return got.groupBy("day").agg(F.count(F.lit(1)).alias("n_events"), F.sum("user_id").alias("user_sum"))
+
+
+@register("incremental_latest_snapshot", "S7 W4", """
+SELECT user_id, event_id, event_type FROM (
+  SELECT user_id, event_id, event_type,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_snapshot(spark, d):
+    """Resumable ingest in two landings with an upsert of the latest event per user."""
+    from ludex.streaming.landing import ingest_incremental, land_by_day, read_snapshot
+    e = fx.table(spark, d, "events")
+    land, out, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "ingested"), scratch_path(spark, "ckpt")
+    snap = scratch_path(spark, "snapshot")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    land_by_day(e.filter(F.col("ts") < cut), "ts", land)
+    ingest_incremental(spark, land, out, ckpt, EVENT_SCHEMA, key="event_id", snapshot=(snap, "user_id", ["ts", "event_id"]))
+    land_by_day(e.filter(F.col("ts") >= cut), "ts", land)
+    ingest_incremental(spark, land, out, ckpt, EVENT_SCHEMA, key="event_id", snapshot=(snap, "user_id", ["ts", "event_id"]))
+    return read_snapshot(spark, snap).select("user_id", "event_id", "event_type")

@@ -23,10 +23,41 @@ def land_by_day(df: DataFrame, ts: str, path: str, mode: str = "append") -> None
     df.withColumn("day", F.to_date(ts).cast("string")).write.mode(mode).partitionBy("day").json(path)
 
 
+def upsert_latest(batch: DataFrame, snapshot: str, key: str, order: list[str], buckets: int = 64) -> None:
+    """Merge a batch into a snapshot that keeps the latest row per ``key``
+    (largest ``order``).  The snapshot is bucketed by a hash of the key; only
+    the buckets the batch touches are read (partition pruning), merged with
+    one ``max(struct(order, ...))`` aggregate per key, materialised in the
+    checkpoint folder and written back with dynamic partition overwrite.
+    Re-applying the same batch gives the same snapshot (idempotent)."""
+    from pyspark.errors import AnalysisException
+    from ludex.session import cut_lineage
+    spark = batch.sparkSession
+    b = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in b.select("_bucket").distinct().collect()]          # at most ``buckets`` values
+    try:
+        old = spark.read.parquet(snapshot).filter(F.col("_bucket").isin(touched))
+        merged = old.unionByName(b)
+    except AnalysisException:
+        merged = b
+    rest = [c for c in merged.columns if c not in [key, *order]]
+    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in rest])
+    latest = merged.groupBy(key).agg(F.max(packed).alias("_m")).select(
+        key, *[F.col(f"_m._o{i}").alias(c) for i, c in enumerate(order)], *[F.col(f"_m.{c}").alias(c) for c in rest])
+    latest = cut_lineage(latest)
+    latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(snapshot)
+
+
+def read_snapshot(spark: SparkSession, snapshot: str) -> DataFrame:
+    return spark.read.parquet(snapshot).drop("_bucket")
+
+
 def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str, schema: T.StructType,
-                       key: str | None = None, max_files_per_trigger: int | None = None) -> int:
+                       key: str | None = None, max_files_per_trigger: int | None = None,
+                       snapshot: tuple[str, str, list[str]] | None = None) -> int:
     """Process every landed file not yet in the checkpoint; returns the
-    number of micro-batches run.  ``key`` de-duplicates rows inside a batch."""
+    number of micro-batches run.  ``key`` de-duplicates rows inside a batch;
+    ``snapshot=(path, key, order)`` also upserts the latest row per key."""
     reader = spark.readStream.schema(schema).option("basePath", src)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -36,6 +67,8 @@ def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str,
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         out = batch.dropDuplicates([key]) if key else batch
         out.write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
+        if snapshot is not None:
+            upsert_latest(out, snapshot[0], snapshot[1], snapshot[2])
         runs.append(batch_id)
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
