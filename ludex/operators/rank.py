@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludex.session import cut_lineage
+from ludex.session import cut_lineage, ship_package
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], per: str | list[str] | None = None) -> DataFrame:
@@ -124,6 +124,7 @@ def recommend_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame |
     ``row_number`` over at most k x blocks rows.
     """
     spark = user_vecs.sparkSession
+    ship_package(spark)
     n_items = item_vecs.count()
     first = item_vecs.select(F.size(vec)).first()
     dim = int(first[0]) if first else 1
@@ -246,6 +247,7 @@ class PairwiseRanker:
 
     def fit(self, df: DataFrame, user: str, features: list[str], target: str, key: str) -> "PairwiseRanker":
         from ludex.operators.evaluate import pair_blocks
+        ship_package(df.sparkSession)
         base = df.select(F.col(user).cast("long").alias(user), key,
                          F.array(*[F.col(c).cast("double") for c in features]).alias("_x"),
                          F.col(target).cast("double").alias("_y"))
@@ -383,6 +385,7 @@ def score_mlp(df: DataFrame, roles: dict, weights: dict, out: str = "score") ->
     from pyspark.sql import types as T
     cols = df.columns
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
+    ship_package(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ludex.session import ship_package
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 OPERATORS: dict[str, str] = {}   # query name -> SURVEY ids it exercises
@@ -19,7 +22,12 @@ def register(name: str, ops: str, sql: str | None = None):
     def deco(fn: Callable) -> Callable:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir, *a, **k):
+            ship_package(spark)              # Python workers must import ludex
+            return fn(spark, sf_dir, *a, **k)
+        QUERIES[name] = run
         OPERATORS[name] = ops
         if sql is not None:
             ORACLE[name] = sql

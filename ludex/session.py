@@ -109,3 +109,30 @@ def cluster_conf(total_cores: int, shuffle_bytes_per_task: str = "256m") -> dict
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         "spark.ui.enabled": "false",
     }
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ludex`` importable in the Python workers (mapInPandas kernels).
+
+    The package is zipped once per SparkContext and added with ``addPyFile``,
+    which distributes it to every executor (the in-code equivalent of
+    ``spark-submit --py-files``)."""
+    import zipfile
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import ludex
+    pkg = os.path.dirname(os.path.abspath(ludex.__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="ludex-pkg-"), "ludex.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
