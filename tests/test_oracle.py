@@ -5,10 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from scripts.oracle_check import TABLES, rows
-
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from ludex.plans.catalog import OPERATORS, ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +17,9 @@ def con():
 
 
 def test_every_query_documents_its_operators():
-    from ludex.plans.registry import OPERATORS
-    assert set(OPERATORS) == set(QUERIES)
+    assert set(OPERATORS) == set(QUERIES) <= set(E.queries())
     assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
