@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludex.llm import decontam, langid, packing, pii, simhash, toxicity
-from ludex.session import ship_package
+from ludex.llm import decontam, embed_dedup, langid, packing, pii, simhash, suffix_dedup, token_rollup, toxicity, warc
+from ludex.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +75,26 @@ def op6(spark, sf_dir):
 
     return got.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
                       pii.listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@register("op1_warc")
+def op1(spark, sf_dir):
+    got = warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
+    return got.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@register("op4_token_counts")
+def op4(spark, sf_dir):
+    return token_rollup.corpus_totals(table(spark, sf_dir, "documents"), scratch_path(spark, "token-rollup"),
+                                      public_tokenizers.path(TOKENIZER), TOKENIZER.partition(".")[0])
+
+
+@register("op9_embedding_dedup")
+def op9(spark, sf_dir):
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
