@@ -24,7 +24,10 @@ their own, repeated ids are packed one by one, an empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,36 +41,103 @@ from ludex.llm.common import col, stage
 SIZE = 4096
 END_ID = 2                # fixed value: id after each document
 SCALE = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
+
+
+# Bytes as the printable characters that byte-level vocabularies use: printable Latin-1 stands for itself, the rest from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = "".join(chr(b) if b in _PRINTABLE else chr(0x100 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256))
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+
+
+# Below U+0250: 1 full stop and comma, 0 letters, digits and blanks, 2 the rest.
+_KIND = np.array([1 if chr(c) in ".," else 0 if (chr(c).isalpha() and c != 0x130) or chr(c) in "0123456789 \n" else 2 for c in range(0x250)], np.uint8)
+
+
+class _Pieces(dict):
+    """Blank-separated pieces -> ids, filled on demand; the last two generations of ``CACHE_WORDS`` are kept."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.make(piece)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = got
+        return got
 
 
 class WordTokenizer:
-    """``Tokenizer.encode(text, add_special_tokens=False)`` for a tokenizer that drops white space.
+    """``Tokenizer.encode(text, add_special_tokens=False)`` for a lower-casing BPE with word ends that drops white space.
 
-    The tokenizer works inside blank-separated pieces, so pieces are encoded once
-    (in batches) and remembered; the memory is emptied at ``CACHE_WORDS`` pieces."""
+    The tokenizer works inside blank-separated pieces, so pieces are remembered.  A
+    piece of Latin letters with ASCII marks around them is two or three of its
+    words, known in advance; the letters go straight to the BPE model.  All other
+    pieces go through the whole tokenizer.  Where each full stop and comma of a text
+    stands alone between letters, digits and blanks it is a word of its own, so
+    blanks may be put around it; there, and below U+0250, the text may also be
+    lower-cased first.  Both make fewer different pieces."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as 16 bits")
+        self.model = self.tok.model
+        self.words, self.marks, self.pieces = _Pieces(self._word), _Pieces(self._whole), _Pieces(self._piece)
+
+    def _whole(self, piece: str) -> bytes:
+        return array("H", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, low: str) -> bytes:
+        text = low if low.isascii() else "".join([_BYTE_CHARS[b] for b in low.encode()])
+        return array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        core = piece.strip(_MARKS)
+        if not core.isalpha() or "<|" in piece:
+            return self._whole(piece)
+        low = core.lower()
+        if not core.isascii() and (max(core) >= "\u0250" or len(low) != len(core) or not unicodedata.is_normalized("NFC", core)):
+            return self._whole(piece)
+        if low == piece:
+            return self._word(low)
+        if len(core) == len(piece):
+            return self.words[low]
+        at = piece.index(core)
+        head, tail = piece[:at], piece[at + len(core):]
+        return (self.marks[head] if head else b"") + self.words[low] + (self.marks[tail] if tail else b"")
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Latin letters, and full stops and commas that touch no other mark."""
+        if "<|" in text:                                    # may be a special token
+            return False
+        c = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not text.isascii() and c.max() >= len(_KIND):
+            return False
+        kind = _KIND[c]
+        pair = kind[1:] * kind[:-1]
+        return not ((pair == 1) | (pair == 2)).any()
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 16-bit integers."""
+        """Ids as 16-bit integers."""
         if not text:
             return b""
-        pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, np.uint16).tobytes()
-        return b"".join([known[p] for p in pieces])
+        if self._plain(text):
+            text = text.lower().replace(",", " , ").replace(".", " . ")
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker, so that its memory outlives a task."""
+    return WordTokenizer(path)
 
 
 def tokens_of(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -78,7 +148,7 @@ def tokens_of(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer_pa
     schema = "doc_id string, queue string, part long, before long, n long, ids binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, part, sent = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), {}
+        tok, part, sent = tokenizer(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], np.uint16).tobytes()
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
@@ -97,14 +167,19 @@ def mixture_plan(totals: list[int], weights: list[float] | None, size: int = SIZ
     """Segments ``(first window, windows, position of each queue, prefix weights or grants)``.
 
     ``windows`` > 0: that many full windows at the prefix weights (closed form);
-    0: one window with explicit grants per queue."""
+    0: one window with explicit grants per queue.  A queue that takes part gets at
+    least two tokens a window on average (else rounding could take tokens back), so
+    at most ``size // 4`` queues take part at a time; others wait for their turn."""
     ask = [float(t) for t in totals] if weights is None else [float(w) for w in weights]
     if any(w < 0 for w in ask):
         raise ValueError("weights must not be negative")
-    base = [max(1, round(SCALE * w / (sum(ask) or 1))) if t else 0 for w, t in zip(ask, totals)]
+    base = [max(1, round(SCALE * w / (sum(ask) or 1))) for w in ask]
     at, window, plan = [0] * len(totals), 0, []
     while any(t > x for t, x in zip(totals, at)):
-        live = [w if t > x else 0 for w, t, x in zip(base, totals, at)]
+        turn = [k for k, (t, x) in enumerate(zip(totals, at)) if t > x][:max(1, size // 4)]
+        live = [base[k] if k in turn else 0 for k in range(len(totals))]
+        while (least := -(-2 * sum(live) // size)) > min(live[k] for k in turn):
+            live = [max(w, least) if w else 0 for w in live]
         prefix = np.cumsum(live).tolist()
         whole = min((t - x) * prefix[-1] // (w * size) for w, t, x in zip(live, totals, at) if w)
         if whole:
@@ -116,10 +191,10 @@ def mixture_plan(totals: list[int], weights: list[float] | None, size: int = SIZ
             break
         grant, room = [0] * len(totals), min(size, sum(left))      # the window in which a queue runs dry
         while room:
-            open_ = [k for k in range(len(totals)) if left[k] > grant[k]]
-            total, give = sum(base[k] for k in open_), room
+            open_ = [k for k in range(len(totals)) if left[k] > grant[k] and (live[k] or not any(left[q] > grant[q] for q in turn))]
+            total, give = sum(live[k] or base[k] for k in open_), room
             for k in open_:
-                more = min(left[k] - grant[k], max(1, give * base[k] // total), room)
+                more = min(left[k] - grant[k], max(1, give * (live[k] or base[k]) // total), room)
                 grant[k] += more
                 room -= more
         plan.append((window, 0, list(at), grant))
@@ -129,30 +204,23 @@ def mixture_plan(totals: list[int], weights: list[float] | None, size: int = SIZ
 
 def _pieces(plan: list, queue: int, first: int, n: int, size: int) -> tuple[np.ndarray, ...]:
     """Window, offset and start of the pieces of queue positions ``first .. first + n - 1``."""
-    js, offs, froms, k = [], [], [], 0
-    starts = [p[2][queue] for p in plan]
-    k = int(np.searchsorted(starts, first, "right")) - 1
+    js, offs, froms = [], [], []
+    k = int(np.searchsorted([p[2][queue] for p in plan], first, "right")) - 1
     x, stop = first, first + n
     while x < stop:
         window, many, at, split = plan[k]
         top = plan[k + 1][2][queue] if k + 1 < len(plan) else stop
+        k += 1
         if top <= x:
-            k += 1
             continue
         upto = min(stop, top)
         if many:
             lo, hi, total = split[queue - 1] if queue else 0, split[queue], split[-1]
             sent = lambda j: j * size * hi // total - j * size * lo // total
-            a, b = x - at[queue], upto - at[queue]
-            j0 = min(max(a * total // ((hi - lo) * size), 0), many - 1)
-            while j0 > 0 and sent(j0) > a:
-                j0 -= 1
-            while sent(j0 + 1) <= a:
-                j0 += 1
-            j1 = min(max(j0, b * total // ((hi - lo) * size)) + 1 + total // ((hi - lo) * size), many)
-            j = np.arange(j0, max(j1, j0 + 1))
+            a, b, per = x - at[queue], upto - at[queue], (hi - lo) * size
+            j = np.arange(max(0, a * total // per - 1), min(many, b * total // per + 2))      # within one token of the quota
             begin, end = sent(j), sent(j + 1)
-            keep = (end > begin) & (begin < b)
+            keep = (end > a) & (begin < b)
             j, begin = j[keep], begin[keep]
             cut = np.maximum(begin, a)
             js.append(window + j)
@@ -162,10 +230,19 @@ def _pieces(plan: list, queue: int, first: int, n: int, size: int) -> tuple[np.n
             js.append(np.array([window]))
             offs.append(np.array([sum(split[:queue]) + x - at[queue]]))
             froms.append(np.array([x]))
-        x, k = upto, k + 1
+        x = upto
     return np.concatenate(js), np.concatenate(offs), np.concatenate(froms) - first
 
 
+def _runs(queue: np.ndarray, begin: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in runs that follow one another in a queue."""
+    order = np.lexsort((begin, queue))
+    q, x, e = queue[order], begin[order], (begin + n)[order]
+    cut = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (x[1:] != e[:-1]), True])
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield order[a:b]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", source: str = "source",
          weights: dict[str | None, float] | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Pieces: ``doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
@@ -183,24 +260,33 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     schema = ("doc_id string, source string, start long, length long, ids_crc32 long, doc_tokens long, "
               "sequence_id long, offset long")
 
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        queue = rows["queue"].map(lambda q: at[q]).to_numpy()
+        begin, n = (rows["base"] + rows["before"]).to_numpy(), rows["n"].to_numpy()
+        pick, start, crc, seq, off, length = [], [], [], [], [], []
+        for own in _runs(queue, begin, n):
+            first, total = int(begin[own[0]]), int(n[own].sum())
+            js, offs, froms = _pieces(plan, int(queue[own[0]]), first, total, size)
+            heads = np.cumsum(n[own]) - n[own]
+            edge = np.union1d(froms, heads)                         # window ends and document ends
+            w, d = np.searchsorted(froms, edge, "right") - 1, np.searchsorted(heads, edge, "right") - 1
+            wide = memoryview(np.frombuffer(b"".join(rows["ids"].iloc[own]), np.uint16).astype("<u4").tobytes())
+            stops = np.r_[edge[1:], total]
+            crc += [zlib.crc32(wide[a:b]) for a, b in zip((4 * edge).tolist(), (4 * stops).tolist())]
+            pick.append(own[d])
+            start.append(edge - heads[d])
+            length.append(stops - edge)
+            seq.append(js[w])
+            off.append(offs[w] + edge - froms[w])
+        pick = np.concatenate(pick)
+        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[pick], "source": rows["queue"].to_numpy()[pick], "start": np.concatenate(start),
+                             "length": np.concatenate(length), "ids_crc32": crc, "doc_tokens": n[pick], "sequence_id": np.concatenate(seq),
+                             "offset": np.concatenate(off)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for d, q, base, before, n, ids in pdf.itertuples(index=False, name=None):
-                seq, off, start = _pieces(plan, at[q], base + before, n, size)
-                wide = memoryview(np.frombuffer(ids, np.uint16).astype("<u4").tobytes())
-                edge = np.r_[start, n].tolist()
-                for k in range(len(seq)):
-                    out[4].append(zlib.crc32(wide[4 * edge[k]:4 * edge[k + 1]]))
-                m = len(seq)
-                out[0] += [d] * m
-                out[1] += [q] * m
-                out[2] += edge[:-1]
-                out[3] += np.diff(edge).tolist()
-                out[5] += [n] * m
-                out[6] += seq.tolist()
-                out[7] += off.tolist()
-            yield pd.DataFrame(dict(zip(("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), out)))
+            for lo in range(0, len(pdf), 2000):
+                yield cut(pdf.iloc[lo:lo + 2000].reset_index(drop=True))
 
     same = F.col("t.queue").eqNullSafe(F.col("p.queue")) & (F.col("t.part") == F.col("p.part"))
     rows = tokens.alias("t").join(parts.alias("p"), same).select("t.doc_id", "t.queue", "p.base", "t.before", "t.n", "t.ids")

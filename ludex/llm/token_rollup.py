@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludex.llm.common import col
-from ludex.llm.packing import WordTokenizer
+from ludex.llm.packing import tokenizer as load
 
 _CHANGE = "change string, doc_id string, tokenizer string, source string, lang string, n_tokens long, seq long"
 _LEDGER = "doc_id string, tokenizer string, source string, lang string, n_docs long, n_tokens long"
@@ -39,7 +39,7 @@ _ROLLUP = "source string, lang string, tokenizer string, n_docs long, n_tokens l
 def count_tokens(text: Column, tokenizer_path: str) -> Column:
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = load(tokenizer_path)
         for texts in batches:
             yield pd.Series([len(tok.encode(t)) // 2 for t in texts], dtype="int64")
     return run(text.cast("string"))
