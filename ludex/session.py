@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest fitted / dimension table (rows) that is ever broadcast on a
-# driver-known row count.  Anything larger, or of unknown size, is left to
-# AQE, which measures the shuffled side at runtime and either turns the
-# join into a broadcast join (below spark.sql.adaptive.autoBroadcastJoinThreshold)
-# or keeps a sort-merge join with skew-partition splitting.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest fitted / dimension table (estimated bytes: driver-known rows times the
+# width of its schema) that is ever broadcast by hint.  Anything larger, or of
+# unknown size, is left to AQE, which measures the shuffled side at runtime and
+# either turns the join into a broadcast join (below
+# spark.sql.adaptive.autoBroadcastJoinThreshold) or keeps a sort-merge join with
+# skew-partition splitting.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -23,10 +26,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    if shuffle_partitions is None:
-        shuffle_partitions = int(os.environ.get("LUDEX_SHUFFLE_PARTITIONS", "8"))
-    conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+    wanted = shuffle_partitions or os.environ.get("LUDEX_SHUFFLE_PARTITIONS")
+    conf = {} if is_local(master) else cluster_conf(int(os.environ.get("LUDEX_TOTAL_CORES", "50")))
+    conf |= {"spark.sql.shuffle.partitions": str(wanted or conf.get("spark.sql.shuffle.partitions", "8"))}
+    conf |= {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -43,6 +46,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def is_local(master: str | None) -> bool:
+    """Driver and executors are one process (``local``, ``local[n]``; not ``local-cluster``).
+
+    No master given: the one that spark-submit set, else local."""
+    master = master or os.environ.get("MASTER") or "local[*]"
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -57,7 +68,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
-    if not sc.master.startswith("local"):
+    if not is_local(sc.master):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="ludex-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()
@@ -69,22 +80,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on ITS file system (not the driver's disk)."""
+    fs, p = _hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch stage that nothing reads any more."""
+    fs, p = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame once as parquet under the shared checkpoint folder and read it back.
+
+    Survives executor loss (never a local checkpoint), is computed once, and
+    later reads prune columns and push filters."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _row_bytes(schema: T.StructType) -> int:
+    return 16 + sum(f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else
+                    8 * 64 if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else
+                    64 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in schema.fields)
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "left",
                known_rows: int | None = None,
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Join ``right`` (a fitted or dimension table) onto ``left``.
 
-    ``right`` is broadcast only when the caller knows its row count and it is
-    within ``max_rows``; otherwise the strategy is left to AQE's runtime size
-    check, with sort-merge + skew splitting beyond it.
+    ``right`` is broadcast only when the caller knows its row count and rows
+    times row width is within ``max_bytes``; otherwise the strategy is left to
+    AQE's runtime size check, with sort-merge + skew splitting beyond it.
     """
-    if known_rows is not None and known_rows <= max_rows:
+    if known_rows is not None and known_rows * _row_bytes(right.schema) <= max_bytes:
         right = F.broadcast(right)
     return left.join(right, on, how)
 
@@ -111,7 +150,7 @@ def cluster_conf(total_cores: int, shuffle_bytes_per_task: str = "256m") -> dict
     }
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -122,7 +161,7 @@ def ship_package(spark: SparkSession) -> None:
     ``spark-submit --py-files``)."""
     import zipfile
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import ludex
     pkg = os.path.dirname(os.path.abspath(ludex.__file__))
@@ -135,4 +174,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ludex.operators.assemble import first_per_key
+
 # Profile link forms (/id/<name>, /profiles/<number>) and the 17-digit numeric id.
 PROFILE_PATH_RE = r"/(?:id|profiles)/[^/\"'<>\s]+"
 PROFILE_PARTS_RE = r"/(id|profiles)/([^/\"'<>\s]+)"
@@ -52,8 +54,9 @@ def extract_store_id(stores, store_id: int = 1) -> Column:
 
 
 def dedup_ingest(new: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
-    """Drop ids already processed and repeated ids within the new batch."""
-    fresh = new.dropDuplicates([key])
+    """Drop ids already processed and repeated ids within the new batch
+    (of repeated ids the first row by the other columns stays)."""
+    fresh = first_per_key(new, key, [c for c in new.columns if c != key])
     if done is not None:
         fresh = fresh.join(done.select(key), key, "left_anti")
     return fresh

@@ -1,4 +1,4 @@
-"""Resumable incremental ingest of landed files.
+"""Resumable incremental ingest of landed files.
 
 The reference pulls pages from web APIs, saves a progress marker and a
 partial output periodically, and continues where it stopped after a
@@ -6,17 +6,24 @@ restart.  On Spark the same contract is a Structured Streaming file source
 with a checkpoint: ``trigger(availableNow=True)`` processes every file not
 yet recorded in the checkpoint's source log and stops; a rerun after a crash
 or with new files picks up exactly the unprocessed ones.  The sink is
-``foreachBatch`` writing each micro-batch to its own ``batch=<id>`` folder
-with overwrite, so a replayed batch replaces its own output (idempotent,
-no duplicates).
+``foreachBatch`` writing each micro-batch to its own folder
+``run=<checkpoint>/batch=<id>`` with overwrite: a replayed batch replaces its
+own output, and another checkpoint (whose ids start at 0 again) never touches
+it.  A ``key`` is unique over the whole ingested table: rows of a batch whose
+key was landed by an earlier batch or run are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ludex.operators.assemble import first_per_key
+from ludex.session import drop_path, path_exists, scratch_path
+
 
 def land_by_day(df: DataFrame, ts: str, path: str, mode: str = "append") -> None:
     """Write NDJSON files partitioned by the day of ``ts`` (the landing zone)."""
@@ -25,50 +32,69 @@ def land_by_day(df: DataFrame, ts: str, path: str, mode: str = "append") -> None
 
 def upsert_latest(batch: DataFrame, snapshot: str, key: str, order: list[str], buckets: int = 64) -> None:
     """Merge a batch into a snapshot that keeps the latest row per ``key``
-    (largest ``order``).  The snapshot is bucketed by a hash of the key; only
-    the buckets the batch touches are read (partition pruning), merged with
-    one ``max(struct(order, ...))`` aggregate per key, materialised in the
-    checkpoint folder and written back with dynamic partition overwrite.
-    Re-applying the same batch gives the same snapshot (idempotent)."""
-    from pyspark.errors import AnalysisException
-    from ludex.session import cut_lineage
+    (largest ``order``).  The snapshot is bucketed by a hash of the key
+    (``buckets``: choose it so that a bucket is a few hundred MB); only the
+    buckets the batch touches are read (partition pruning), merged with one
+    ``max(struct(order, ...))`` aggregate per key, written to the shared
+    scratch folder and from there back with dynamic partition overwrite.
+    Re-applying the same batch gives the same snapshot (idempotent).  Columns
+    must be those of the snapshot: a batch with others is refused."""
     spark = batch.sparkSession
     b = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
-    touched = [r[0] for r in b.select("_bucket").distinct().collect()]          # at most ``buckets`` values
-    try:
-        old = spark.read.parquet(snapshot).filter(F.col("_bucket").isin(touched))
-        merged = old.unionByName(b)
-    except AnalysisException:
-        merged = b
+    merged = b
+    if path_exists(spark, snapshot):
+        old = spark.read.parquet(snapshot)
+        if set(old.columns) != set(b.columns):
+            raise ValueError(f"columns differ from the snapshot's: {sorted(set(old.columns) ^ set(b.columns))}")
+        touched = [r[0] for r in b.select("_bucket").distinct().collect()]      # at most ``buckets`` values
+        merged = old.filter(F.col("_bucket").isin(touched)).unionByName(b)
     rest = [c for c in merged.columns if c not in [key, *order]]
     packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in rest])
     latest = merged.groupBy(key).agg(F.max(packed).alias("_m")).select(
         key, *[F.col(f"_m._o{i}").alias(c) for i, c in enumerate(order)], *[F.col(f"_m.{c}").alias(c) for c in rest])
-    latest = cut_lineage(latest)
-    latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(snapshot)
+    tmp = scratch_path(spark, "upsert")
+    latest.write.parquet(tmp)
+    (spark.read.schema(latest.schema).parquet(tmp)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(snapshot))
+    drop_path(spark, tmp)
 
 
 def read_snapshot(spark: SparkSession, snapshot: str) -> DataFrame:
     return spark.read.parquet(snapshot).drop("_bucket")
 
 
+def _run_name(checkpoint: str) -> str:
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+
 def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str, schema: T.StructType,
                        key: str | None = None, max_files_per_trigger: int | None = None,
-                       snapshot: tuple[str, str, list[str]] | None = None) -> int:
+                       snapshot: tuple[str, str, list[str]] | None = None, buckets: int = 64) -> int:
     """Process every landed file not yet in the checkpoint; returns the
-    number of micro-batches run.  ``key`` de-duplicates rows inside a batch;
-    ``snapshot=(path, key, order)`` also upserts the latest row per key."""
+    number of micro-batches run.  ``key`` keeps one row per key in the whole
+    table (the first landed; within a batch the first by the other columns);
+    ``snapshot=(path, key, order)`` also upserts the latest row per key.
+
+    Each batch is evaluated once, into its own folder; snapshot and later
+    batches read that folder."""
     reader = spark.readStream.schema(schema).option("basePath", src)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(src)
-    runs = []
+    run, runs = _run_name(checkpoint), []
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = batch.dropDuplicates([key]) if key else batch
-        out.write.mode("overwrite").parquet(f"{dst}/batch={batch_id}")
+        out = batch
+        if key:
+            out = first_per_key(batch, key, [c for c in batch.columns if c != key])
+            if path_exists(spark, dst):
+                done = spark.read.schema(_landed(schema)).parquet(dst)
+                mine = (F.col("run") == run) & (F.col("batch") == batch_id)          # a replay does not see itself
+                out = out.join(done.filter(~mine).select(key), key, "left_anti").select(*batch.columns)
+        path = f"{dst}/run={run}/batch={batch_id}"
+        out.write.mode("overwrite").parquet(path)
         if snapshot is not None:
-            upsert_latest(out, snapshot[0], snapshot[1], snapshot[2])
+            upsert_latest(spark.read.schema(batch.schema).parquet(path), *snapshot, buckets=buckets)
         runs.append(batch_id)
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
@@ -77,10 +103,13 @@ def ingest_incremental(spark: SparkSession, src: str, dst: str, checkpoint: str,
     return len(runs)
 
 
+def _landed(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.IntegerType())])
+
+
 def read_ingested(spark: SparkSession, dst: str, schema: T.StructType, key: str | None = None) -> DataFrame:
-    """The ingested table (all batches); a key keeps one row per key."""
-    import os
-    if dst.startswith("/") and not os.path.exists(dst):
+    """The ingested table (all runs and batches), empty if nothing was landed; a key keeps one row per key."""
+    if not path_exists(spark, dst):
         return spark.createDataFrame([], schema)
-    df = spark.read.parquet(dst).drop("batch")
-    return df.dropDuplicates([key]) if key else df
+    df = spark.read.schema(_landed(schema)).parquet(dst).drop("run", "batch")
+    return first_per_key(df, key, [c for c in df.columns if c != key]) if key else df
