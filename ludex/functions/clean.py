@@ -222,9 +222,9 @@ def infer_bool(train: DataFrame, cols: list[str]) -> list[str]:
     """Numeric columns whose train value set is exactly {0, 1} (one aggregate)."""
     aggs = []
     for c in cols:
-        aggs += [F.count_distinct(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi")]
+        aggs += [F.bool_and(F.col(c).isin(0, 1)).alias(f"{c}__b"), F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi")]
     r = train.agg(*aggs).first()
-    return [c for c in cols if r[f"{c}__n"] == 2 and r[f"{c}__lo"] == 0 and r[f"{c}__hi"] == 1]
+    return [c for c in cols if r[f"{c}__b"] and r[f"{c}__lo"] == 0 and r[f"{c}__hi"] == 1]
 
 
 def first_or(c, default: str | None = UNKNOWN) -> Column:

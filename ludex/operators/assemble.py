@@ -13,9 +13,10 @@ from ludex.session import join_small
 def first_per_key(df: DataFrame, key, order: list[str]) -> DataFrame:
     """Keep the first row per key under an explicit order.
 
-    Implemented as ``min(struct(order..., rest...))`` per key: a hash
-    aggregate with map-side partial combining (no window over a hot key);
-    later columns break ties, so the result is deterministic."""
+    Implemented as ``min(struct(order..., rest...))`` per key: partial
+    aggregates per task, then one per key (no window over a hot key; Spark
+    sorts for a struct minimum); later columns break ties, so the result is
+    deterministic.  Map columns cannot be ordered and must be cast before."""
     keys = [key] if isinstance(key, str) else list(key)
     order = [c for c in order if c not in keys]
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -58,8 +59,8 @@ def attach_embeddings(df: DataFrame, emb: DataFrame, keys: list[str], col: str,
 
 def join_embeddings(df: DataFrame, emb: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on (user, game) after de-duplicating both sides."""
-    left = df.dropDuplicates(keys)
-    right = emb.dropDuplicates(keys)
+    left = first_per_key(df, keys, [c for c in df.columns if c not in keys])
+    right = first_per_key(emb, keys, [c for c in emb.columns if c not in keys])
     return left.join(right, keys, "inner")
 
 
@@ -139,16 +140,15 @@ def rank_within_group(df: DataFrame, key: str, order: list[Column], out: str = "
                       bounded: bool | None = None) -> DataFrame:
     """1-based position of every row inside its ``key`` group under ``order``
     (``row_number`` semantics; give ``order`` a unique tie-break for
-    deterministic positions).
-
-    When the largest group is proven small (``bounded``, or one count
-    aggregate against ``WINDOW_GROUP_MAX_ROWS``) a plain per-key window is
-    used.  Otherwise no window spans a whole group: the rows are
-    range-partitioned on (key, order) -- the sampled boundaries split a hot
-    key over several partitions -- and tagged with their partition id
-    (checkpointed, so both passes agree); per (partition, key) counts give
-    each key's offset in a partition (a window over that small table), and
-    the final ``row_number`` runs per (partition, key) chunk."""
+    deterministic positions; null keys form a group).
+
+    Two plans of one function of the data.  When the largest group is proven
+    small (``bounded``, or one count aggregate against
+    ``WINDOW_GROUP_MAX_ROWS``) a plain per-key window is used.  Otherwise no
+    window spans a whole group: the rows are range-partitioned on (key, order)
+    and written with their partition id (so both passes agree); per
+    (partition, key) counts give each key's offset in a partition, and the
+    final ``row_number`` runs per (partition, key)."""
     if bounded is None:
         bounded = max_group_rows(df, key) <= WINDOW_GROUP_MAX_ROWS
     if bounded:
@@ -156,9 +156,10 @@ def rank_within_group(df: DataFrame, key: str, order: list[Column], out: str = "
     from ludex.session import cut_lineage
     ordered = df.repartitionByRange(F.col(key), *order)
     part = cut_lineage(ordered.withColumn("_p", F.spark_partition_id()))
-    counts = part.groupBy("_p", key).agg(F.count(F.lit(1)).alias("_c"))
+    counts = part.groupBy(F.col("_p").alias("_op"), F.col(key).alias("_ok")).agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+        Window.partitionBy("_ok").orderBy("_op").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     w = Window.partitionBy("_p", key).orderBy(*order)
-    return part.join(offs, ["_p", key]).withColumn(out, F.col("_off") + F.row_number().over(w)) \
-        .drop("_p", "_off")
+    same = (F.col("_p") == F.col("_op")) & F.col(key).eqNullSafe(F.col("_ok"))
+    return part.join(offs, same).withColumn(out, F.col("_off") + F.row_number().over(w)) \
+        .drop("_p", "_op", "_ok", "_off")

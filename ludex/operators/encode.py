@@ -3,15 +3,14 @@
 Fitting is one distributed aggregate (distinct / counts per label) whose
 small result -- the category list -- is the fitted state, saved as parquet.
 Applying is a projection: one ``when`` / ``array_contains`` column per
-category built in a single ``select`` (never a loop of ``withColumn``),
-or a broadcast join of the fitted (label, index) table when the label set
-is large.
+category built in a single ``select`` (never a loop of ``withColumn``), or,
+where labels map to indices, a join of the fitted (label, index) table
+(broadcast below a byte bound, else sized by AQE).
 """
 
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +20,6 @@ from ludex.functions.clean import UNKNOWN
 from ludex.session import join_small
 
 OTHER = "Other"
-MAP_LITERAL_MAX = 50_000   # label sets up to this size are inlined as a map literal
 
 
 class Fitted:
@@ -161,15 +159,27 @@ class LabelEncoder(Fitted):
         col, labels = self.state["col"], self.state["labels"]
         out = out or f"{col}_encoded"
         n = len(labels)
-        if n <= MAP_LITERAL_MAX:
-            m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))]) if labels \
-                else F.create_map().cast("map<string,int>")
-            return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(col).cast("string")), F.lit(n)))
         t = self.table(df.sparkSession)
         j = join_small(df, t, df[col].cast("string") == t["_lbl"], "left", known_rows=n)
         return j.withColumn(out, F.coalesce(F.col("_idx"), F.lit(n))).drop("_lbl", "_idx")
 
 
+def map_lists(df: DataFrame, col: str, table: DataFrame, value: str, default, out: str, known_rows: int | None = None) -> DataFrame:
+    """``df`` with ``out``: every entry of the list column ``col`` looked up in ``table`` (``_lbl``, ``value``),
+    in place; entries without a match (null ones too) become ``default``, a null list becomes an empty one.
+
+    Each DISTINCT list is exploded, joined with the fitted table and put together
+    again (a hot list is one row), then joined back on the list."""
+    lists = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_list")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    entries = lists.select("_list", F.posexplode("_list").alias("_pos", "_lbl"))
+    entries = join_small(entries, table.select("_lbl", F.col(value).alias("_val")), "_lbl", "left", known_rows=known_rows)
+    done = entries.groupBy("_list").agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_val", F.lit(default)).alias("v")))).alias("_s"))
+    done = done.select("_list", F.transform("_s", lambda x: x["v"]).alias("_mapped"))
+    kind = done.schema["_mapped"].dataType
+    return (df.join(done, F.col(col) == F.col("_list"), "left")
+            .withColumn(out, F.coalesce("_mapped", F.array().cast(kind))).drop("_list", "_mapped"))
+
+
 class ListEncoder(Fitted):
     """C4: list labels -> 1..n (sorted), unseen -> n+1, padded with 0 to the
     fitted max length (longer lists are cut to it)."""
@@ -187,34 +197,12 @@ class ListEncoder(Fitted):
         col, labels, width = s["col"], s["labels"], int(s["width"])
         out = out or f"{col}_encoded_padded"
         n = len(labels)
-        arr = F.coalesce(F.col(col), F.array().cast(T.ArrayType(T.StringType())))
-        if n <= MAP_LITERAL_MAX:
-            m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i + 1))]) if labels \
-                else F.create_map().cast("map<string,int>")
-            enc = F.transform(arr, lambda v: F.coalesce(F.try_element_at(m, v), F.lit(n + 1)))
-        else:
-            enc = self._encode_by_join(df, col, n)
-            df = enc
-            enc = F.col("_enc")
+        t = df.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(labels)], "_lbl string, _idx int")
+        res = map_lists(df, col, t, "_idx", n + 1, "_enc", known_rows=n)
+        enc = F.col("_enc")
         padded = F.slice(F.concat(enc, F.array_repeat(F.lit(0), F.greatest(F.lit(width) - F.size(enc), F.lit(0)))),
                          1, max(width, 1)) if width > 0 else F.array().cast("array<int>")
-        res = df.withColumn(out, padded)
-        return res.drop("_enc") if "_enc" in res.columns else res
-
-    def _encode_by_join(self, df: DataFrame, col: str, n: int) -> DataFrame:
-        """Large label sets: explode with positions, join the fitted table,
-        regroup per row in position order (row key from the row's own id)."""
-        spark = df.sparkSession
-        t = spark.createDataFrame([(x, i + 1) for i, x in enumerate(self.state["labels"])], "_lbl string, _idx int")
-        from ludex.session import cut_lineage
-        # the row key is materialised once so both uses see the same ids
-        keyed = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
-        ex = keyed.select("_rid", F.posexplode_outer(col).alias("_pos", "_lbl"))
-        ex = join_small(ex, t, "_lbl", "left", known_rows=n)
-        enc = ex.groupBy("_rid").agg(F.sort_array(F.collect_list(
-            F.when(F.col("_lbl").isNotNull(), F.struct("_pos", F.coalesce("_idx", F.lit(n + 1)).alias("v"))))).alias("_s"))
-        enc = enc.select("_rid", F.transform("_s", lambda x: x["v"]).alias("_enc"))
-        return keyed.join(enc, "_rid", "left").drop("_rid")
+        return res.withColumn(out, padded).drop("_enc")
 
 
 def build_index(df: DataFrame, col: str, out: str = "idx", order: Column | None = None) -> DataFrame:
@@ -255,9 +243,9 @@ class CoverageCap(Fitted):
     def apply(self, df: DataFrame, out: str | None = None) -> DataFrame:
         col, kept = self.state["col"], self.state["kept"]
         out = out or col
-        keep = F.array(*[F.lit(k) for k in kept]) if kept else F.array().cast("array<string>")
-        mapped = F.transform(F.col(col), lambda x: F.when(F.array_contains(keep, x), x).otherwise(F.lit(OTHER)))
-        return df.withColumn(out, F.array_distinct(mapped))
+        t = df.sparkSession.createDataFrame([(k, k) for k in kept], "_lbl string, _kept string")
+        res = map_lists(df, col, t, "_kept", OTHER, "_enc", known_rows=len(kept))
+        return res.withColumn(out, F.when(F.col(col).isNotNull(), F.array_distinct("_enc"))).drop("_enc")
 
 
 class TopN(Fitted):
@@ -310,7 +298,3 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
         else:
             cols.append(F.lit(0).cast(f.dataType).alias(f.name))
     return df.select(*cols)
-
-
-def save_fitted(obj: Fitted, spark: SparkSession, path: str) -> None:
-    obj.save(spark, os.path.join(path))

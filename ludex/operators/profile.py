@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludex.session import join_small
+from ludex.operators.ordered import exact_quantiles, modes, quantiles_of_counts, running_total, value_table
+from ludex.session import cut_lineage, join_small
 
 
 def _cols(x) -> list[str]:
@@ -66,22 +67,21 @@ def user_profile_table(df: DataFrame, user: str, cols: list[str], prefix: str =
 # A2-A4 ----------------------------------------------------------------------
 def median(df: DataFrame, col: str, by=None) -> DataFrame:
     """A2: exact median with linear interpolation, global or per key."""
-    agg = F.median(col).alias(f"{col}_median")
-    return df.groupBy(*_cols(by)).agg(agg) if by else df.agg(agg)
+    keys = _cols(by) if by else None
+    return exact_quantiles(df, [col], [0.5], keys).select(*(keys or []), F.col(col)[0].alias(f"{col}_median"))
 
 
 def mode_min(df: DataFrame, col: str, by=None) -> DataFrame:
     """A3: most frequent value, ties -> smallest (nulls ignored)."""
-    agg = F.mode(col, deterministic=True).alias(f"{col}_mode")
-    return df.groupBy(*_cols(by)).agg(agg) if by else df.agg(agg)
+    return modes(df, col, _cols(by) if by else None).withColumnRenamed("_mode", f"{col}_mode")
 
 
 def quantiles(df: DataFrame, col: str, qs: list[float], by=None) -> DataFrame:
     """A4: exact percentiles (linear interpolation) per group."""
-    agg = F.percentile(col, qs).alias("_q")
-    base = df.groupBy(*_cols(by)).agg(agg) if by else df.agg(agg)
-    return base.select(*(_cols(by) if by else []),
-                       *[F.col("_q")[i].alias(f"{col}_q{int(round(q * 100)):02d}") for i, q in enumerate(qs)])
+    keys = _cols(by) if by else None
+    base = exact_quantiles(df, [col], qs, keys)
+    return base.select(*(keys or []),
+                       *[F.col(col)[i].alias(f"{col}_q{int(round(q * 100)):02d}") for i, q in enumerate(qs)])
 
 
 # A5-A8 ----------------------------------------------------------------------
@@ -127,14 +127,15 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(c).cast("double").alias(f"{c}__max")]
-    wide = df.agg(*aggs)
+                 F.max(c).cast("double").alias(f"{c}__max")]
+    wide = df.agg(*aggs).withColumn("_g", F.lit(0))
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(F.lit(0).alias("_g"), *[F.col(c).alias(f"{c}__q") for c in cols])
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
                      F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
                      F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("q25"),
                      F.col(f"{c}__q")[1].alias("q50"), F.col(f"{c}__q")[2].alias("q75"),
                      F.col(f"{c}__max").alias("max")) for c in cols]
-    return wide.select(F.inline(F.array(*rows)))
+    return wide.join(q, "_g").select(F.inline(F.array(*rows)))
 
 
 # A10-A15 --------------------------------------------------------------------
@@ -172,11 +173,10 @@ def mean_std(df: DataFrame, cols: list[str]) -> DataFrame:
 def cumulative_share(counts: DataFrame, label: str, n: str = "n") -> DataFrame:
     """Running fraction of label counts, largest first (label tie-break).
 
-    The input is an aggregated label-count table (one row per label: the
-    label domain, not the data), so the un-partitioned window is bounded."""
-    w = Window.orderBy(F.desc(n), F.asc(label)).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.withColumn("cum_share", F.sum(n).over(w) / F.sum(n).over(tot))
+    Range-partitioned running sum; the total is one scalar."""
+    total = counts.agg(F.sum(n)).first()[0]
+    run = running_total(counts, [F.desc(n), F.asc(label)], n, "cum_share")
+    return run.withColumn("cum_share", F.col("cum_share") / F.lit(total))
 
 
 def quality_report(df: DataFrame, conds: dict[str, Column]) -> DataFrame:
@@ -193,23 +193,28 @@ def game_means(df: DataFrame, item: str, cols: list[str]) -> DataFrame:
 def box_stats(df: DataFrame, col: str, by=None) -> DataFrame:
     """Five-number summary, IQR fences and outlier count per group.
 
-    Pass 1 is a grouped aggregate; pass 2 joins the per-group fences back
-    (an equi-join on the group key, a constant key when ungrouped)."""
-    keys = _cols(by) if by else []
-    base = df.select(*keys, F.col(col).cast("double").alias("_x")) if keys else \
-        df.select(F.lit(0).alias("_g"), F.col(col).cast("double").alias("_x"))
-    gk = keys or ["_g"]
-    st = base.groupBy(*gk).agg(F.count("_x").alias("n"), F.min("_x").alias("min"),
-                               F.percentile("_x", [0.25, 0.5, 0.75]).alias("_q"), F.max("_x").alias("max"))
-    st = st.select(*gk, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                   F.col("_q")[2].alias("q3"), "max")
+    The rows are read once, into counts per (group, value); summary, quartiles
+    and outliers are aggregates of those counts."""
+    keys = _cols(by) if by else ["_g"]
+    base = df if by else df.withColumn("_g", F.lit(0))
+    counts = cut_lineage(value_table(base, [col], keys))
+    st = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    q = quantiles_of_counts(counts, [col], [0.25, 0.5, 0.75], keys)
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys])
+    st = st.alias("s").join(q.alias("q"), same).select(
+        *[F.col(f"s.{k}").alias(k) for k in keys], "n", "min", F.col(f"q.{col}")[0].alias("q1"), F.col(f"q.{col}")[1].alias("median"),
+        F.col(f"q.{col}")[2].alias("q3"), "max")
     st = st.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    out = base.join(st.select(*gk, "lo_fence", "hi_fence"), gk, "inner") \
-        .groupBy(*gk).agg(F.count_if((F.col("_x") < F.col("lo_fence")) | (F.col("_x") > F.col("hi_fence")))
-                          .alias("n_outliers"))
-    res = st.join(out, gk, "left")
-    return res.drop("_g") if not keys else res
+    st = cut_lineage(st)
+    fences = st.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)], "lo_fence", "hi_fence")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f{i}")) for i, k in enumerate(keys)])
+    far = counts.join(fences, same).filter((F.col("_v") < F.col("lo_fence")) | (F.col("_v") > F.col("hi_fence"))) \
+        .groupBy(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("n_outliers"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)])
+    res = st.join(far, same, "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0))) \
+        .drop(*[f"_o{i}" for i in range(len(keys))])
+    return res if by else res.drop("_g")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:

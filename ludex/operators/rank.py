@@ -287,7 +287,7 @@ class PairwiseRanker:
 # R17 ------------------------------------------------------------------------
 def fit_gbt(df: DataFrame, features: list[str], target: str, max_iter: int = 100, depth: int = 7,
             step: float = 0.1, subsample: float = 0.8, col_frac: str = "0.8", seed: int = 42,
-            categorical: list[str] | None = None, max_bins: int = 64):
+            categorical: list[str] | None = None, min_bins: int = 64):
     """Boosted regression trees (squared error) with the reference's
     configuration; string columns go through ``StringIndexer(handleInvalid=
     'keep')`` so unseen test categories get their own bucket.  Returns the
@@ -296,7 +296,8 @@ def fit_gbt(df: DataFrame, features: list[str], target: str, max_iter: int = 100
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
     categorical = categorical or []
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in categorical]
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep").fit(df) for c in categorical]
+    max_bins = max([min_bins, *(len(s.labels) + 2 for s in stages)])
     inputs = list(features) + [f"{c}__idx" for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
     stages.append(GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="prediction",

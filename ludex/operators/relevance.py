@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludex.session import join_small
+from ludex.operators.ordered import exact_quantiles
+from ludex.session import cut_lineage, join_small
 
 EPS = 1e-6  # fixed value: denominator guard of the min-max scaling
 
@@ -27,13 +28,18 @@ def group_flag(df: DataFrame, col: str, by: str, out: str) -> DataFrame:
     return df.join(flags, by, "left")
 
 
+def _clip(x: Column, lo: Column, hi: Column) -> Column:
+    """``x`` within [lo, hi]; null stays null (``least`` and ``greatest`` skip nulls)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
+
+
 def winsorize(df: DataFrame, col: str, by: str, lo: float = 0.05, hi: float = 0.95,
               out: str | None = None) -> DataFrame:
-    """Clip ``col`` to the per-group [lo, hi] percentiles (linear interpolation)."""
+    """Clip ``col`` to the per-group [lo, hi] percentiles (linear interpolation); null stays null."""
     out = out or col
-    q = df.groupBy(by).agg(F.percentile(col, [lo, hi]).alias("_q"))
+    q = exact_quantiles(df, [col], [lo, hi], [by]).withColumnRenamed(col, "_q")
     j = df.join(q, by, "left")
-    clipped = F.least(F.greatest(F.col(col), F.col("_q")[0]), F.col("_q")[1])
+    clipped = _clip(F.col(col), F.col("_q")[0], F.col("_q")[1])
     return j.withColumn(out, clipped).drop("_q")
 
 
@@ -49,7 +55,7 @@ def minmax_in_group(df: DataFrame, col: str, by: str, min_rows: int = 5,
 
 
 def _scaled(x: Column, lo: Column, hi: Column, n: Column, min_users: int, clip: bool) -> Column:
-    v = F.least(F.greatest(x, lo), hi) if clip else x
+    v = _clip(x, lo, hi) if clip else x
     return F.when(n >= min_users, (v - lo) / (hi - lo + EPS)).otherwise(F.lit(0.0))
 
 
@@ -68,17 +74,20 @@ def relevance(df: DataFrame, item: str = "app_id", playtime: str = "playtime_for
     statistics table has one row per game: with ``item_count`` (e.g. the
     catalogue size) within the broadcast bound it is broadcast, so the fact
     rows are never shuffled by game (no hot-game task); otherwise AQE sizes
-    the join at runtime.  Both branches read the same fact-grain aggregate,
-    so its shuffle is reused, not recomputed.
+    the join at runtime.  The fact-grain rows are staged once; percentiles are
+    exact and distributed (no game's values in one task).  A null playtime
+    keeps a null score where the game is scaled (0 below the gate).
     """
     ach = F.coalesce(F.col(achievements).cast("double"), F.lit(0.0))
     lp, la = F.log1p(F.col(playtime)), F.log1p(ach)
     base = df.filter(F.col(item).isNotNull()).withColumn("_lp", lp).withColumn("_la", la)
     if winsor is not None:
         lo, hi = winsor
+        base = cut_lineage(base)
+        q = exact_quantiles(base, ["_lp", "_la"], [lo, hi], [item])
         stats = base.groupBy(item).agg(
-            F.count(F.lit(1)).alias("_n"), (F.max("_la") > 0).alias("_has_ach"),
-            F.percentile("_lp", [lo, hi]).alias("_qp"), F.percentile("_la", [lo, hi]).alias("_qa"))
+            F.count(F.lit(1)).alias("_n"), (F.max("_la") > 0).alias("_has_ach"))
+        stats = stats.join(q.select(item, F.col("_lp").alias("_qp"), F.col("_la").alias("_qa")), item)
         p_lo, p_hi, a_lo, a_hi = F.col("_qp")[0], F.col("_qp")[1], F.col("_qa")[0], F.col("_qa")[1]
     else:
         stats = base.groupBy(item).agg(

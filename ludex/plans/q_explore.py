@@ -151,6 +151,8 @@ EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructFi
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n_events, CAST(sum(user_id) AS BIGINT) AS user_sum
 FROM events GROUP BY 1""")
 def q_ingest(spark, d):
+    """Three landings; the second overlaps the first (its ids land again), the third
+    goes into the same table from another folder under a checkpoint of its own."""
     from ludex.streaming.landing import ingest_incremental, land_by_day, read_ingested
     e = fx.table(spark, d, "events")
     land, out, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "ingested"), scratch_path(spark, "ckpt")
@@ -159,8 +161,13 @@ def q_ingest(spark, d):
     land_by_day(e.filter(F.to_date("ts") < F.lit(half)), "ts", land)
     ingest_incremental(spark, land, out, ckpt, EVENT_SCHEMA, key="event_id")        # first run
     ingest_incremental(spark, land, out, ckpt, EVENT_SCHEMA, key="event_id")        # restart: nothing new
-    land_by_day(e.filter(F.to_date("ts") >= F.lit(half)), "ts", land)                # new files land
+    later = e.filter(F.to_date("ts") >= F.lit(half))
+    again = e.filter((F.to_date("ts") < F.lit(half)) & (F.col("event_id") % 3 == 0))
+    land_by_day(later.filter("event_id % 2 = 0").unionByName(again), "ts", land)     # new files, some ids again
     ingest_incremental(spark, land, out, ckpt, EVENT_SCHEMA, key="event_id")        # picks up the rest
+    other = scratch_path(spark, "landing")
+    land_by_day(later, "ts", other)                                                  # a second source, half of it known
+    ingest_incremental(spark, other, out, scratch_path(spark, "ckpt"), EVENT_SCHEMA, key="event_id")
     got = read_ingested(spark, out, EVENT_SCHEMA)
     return got.groupBy("day").agg(F.count(F.lit(1)).alias("n_events"), F.sum("user_id").alias("user_sum"))
 

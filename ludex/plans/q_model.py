@@ -191,6 +191,9 @@ def q_search(spark, d, trials: int = 3, folds: int = 2):
 RANK_FEATURES = ["f_price", "f_size", "f_retail"]
 
 
+VECTOR_DIM = 64             # fixed value: width of the fixture's item vectors
+
+
 def ranker_frame(spark, d):
     r = relevance_table(spark, d).select("user_id", "app_id", "relevance_score", "price_mean")
     g = fx.games(spark, d).select("app_id", "game_size", "game_initial_price")
@@ -255,7 +258,7 @@ def q_mlp(spark, d):
     g_enc = enc.ListEncoder.fit(train, "game_genres")
     tags = enc.TopNLabels.fit(train, "game_genres", 5, "tag")
     items = item_vectors(spark, d)
-    uvec = mean_vectors(train.select("user_id", "app_id"), items)
+    uvec = mean_vectors(test.select("user_id", "app_id"), items)      # test users are unseen: vectors from their own rows
     x = test.withColumn("dev", F.col("game_developer")[0])
     x = d_enc.apply(t_enc.apply(x), "dev_encoded")
     x = g_enc.apply(x)
@@ -265,9 +268,9 @@ def q_mlp(spark, d):
         .join(uvec.withColumnRenamed("features", "u"), "user_id", "left")
     x = x.select("user_id", "app_id", "game_type_encoded", "dev_encoded", "game_genres_encoded_padded",
                  *RANK_FEATURES, *[F.col(c).cast("int").alias(c) for c in tag_cols],
-                 *flatten_vector("g", 2, "game_emb"), *flatten_vector("u", 2, "user_emb"))
+                 *flatten_vector("g", VECTOR_DIM, "game_emb"), *flatten_vector("u", VECTOR_DIM, "user_emb"))
     roles = {"single": ["game_type_encoded", "dev_encoded"], "multi": ["game_genres_encoded_padded"],
-             "num": RANK_FEATURES, "bool": tag_cols, "cf": ["game_emb_0", "game_emb_1", "user_emb_0", "user_emb_1"]}
+             "num": RANK_FEATURES, "bool": tag_cols, "cf": [f"{v}_{i}" for v in ("game_emb", "user_emb") for i in range(VECTOR_DIM)]}
     card = {"game_type_encoded": len(t_enc.state["labels"]) + 1, "dev_encoded": len(d_enc.state["labels"]) + 1,
             "game_genres_encoded_padded": len(g_enc.state["labels"]) + 2}
     w = rk.init_mlp(roles, card, seed=42)

@@ -86,19 +86,54 @@ def q_winsorize(spark, d):
     return round_doubles(rel.winsorize(i, "log_playtime_w", "app_id").select("user_id", "app_id", "log_playtime_w"))
 
 
-@register("minmax_gated_small_groups", "W3 P3", fx.cte(inter=fx.interactions_sql(45.0)) + """
+@register("minmax_gated_small_groups", "W3", fx.cte(inter=I) + """
 SELECT user_id, app_id,
   round(CASE WHEN count(*) OVER w >= 5
         THEN (ln(1 + playtime_forever) - min(ln(1 + playtime_forever)) OVER w)
              / (max(ln(1 + playtime_forever)) OVER w - min(ln(1 + playtime_forever)) OVER w + 1e-6)
         ELSE 0 END, 6) AS minmax_playtime
-FROM inter WINDOW w AS (PARTITION BY app_id)""")
+FROM inter WINDOW w AS (PARTITION BY app_id, user_id % 7)""")
 def q_minmax(spark, d):
-    i = fx.interactions(spark, d, min_quantity=45.0).withColumn("minmax_playtime", F.log1p("playtime_forever"))
-    return round_doubles(rel.minmax_in_group(i, "minmax_playtime", "app_id", 5)
+    """Groups of a game and a seventh of its users: some above, some below the gate."""
+    i = fx.interactions(spark, d).withColumn("minmax_playtime", F.log1p("playtime_forever"))
+    i = i.withColumn("part", F.col("app_id") * 7 + F.col("user_id") % 7)
+    return round_doubles(rel.minmax_in_group(i, "minmax_playtime", "part", 5)
                          .select("user_id", "app_id", "minmax_playtime"))
 
 
+# Rows whose playtime is unknown: a null stays a null score where the game is scaled.
+NULL_PLAYTIME_SQL = f"""
+SELECT user_id, app_id, CASE WHEN (user_id + app_id) % 11 = 0 THEN NULL ELSE playtime_forever END AS playtime_forever,
+       achievements FROM ({I})"""
+
+
+def null_playtime(spark, d):
+    gone = (F.col("user_id") + F.col("app_id")) % 11 == 0
+    return fx.interactions(spark, d).withColumn("playtime_forever", F.when(~gone, F.col("playtime_forever")))
+
+
+@register("relevance_score_null_playtime", "R1 W2 P24", fx.cte(inter=NULL_PLAYTIME_SQL, st=_stats_sql("inter")) + """,
+x AS (SELECT i.user_id, i.app_id, s.*, ln(1 + i.playtime_forever) AS lp, ln(1 + coalesce(i.achievements, 0)) AS la
+      FROM inter i JOIN st s USING (app_id)),
+c AS (SELECT *, CASE WHEN lp IS NULL THEN NULL WHEN lp < p_lo THEN p_lo WHEN lp > p_hi THEN p_hi ELSE lp END AS cp,
+             CASE WHEN la < a_lo THEN a_lo WHEN la > a_hi THEN a_hi ELSE la END AS ca FROM x),
+s AS (SELECT user_id, app_id, has_ach, CASE WHEN n >= 5 THEN (cp - p_lo) / (p_hi - p_lo + 1e-6) ELSE 0 END AS mp,
+             CASE WHEN n >= 5 THEN (ca - a_lo) / (a_hi - a_lo + 1e-6) ELSE 0 END AS ma FROM c)
+SELECT user_id, app_id, round(CASE WHEN has_ach THEN 0.7 * mp + 0.3 * ma ELSE mp END, 6) AS relevance_score FROM s""")
+def q_relevance_null(spark, d):
+    r = rel.relevance(null_playtime(spark, d), item_count=fx.table(spark, d, "part").count())
+    return round_doubles(r.select("user_id", "app_id", "relevance_score"))
+
+
+@register("winsorize_null_playtime", "W2", fx.cte(inter=NULL_PLAYTIME_SQL) + """
+SELECT user_id, app_id, round(CASE WHEN x IS NULL THEN NULL WHEN x < q05 THEN q05 WHEN x > q95 THEN q95 ELSE x END, 6) AS w
+FROM (SELECT user_id, app_id, ln(1 + playtime_forever) AS x, quantile_cont(ln(1 + playtime_forever), 0.05) OVER (PARTITION BY app_id) AS q05,
+             quantile_cont(ln(1 + playtime_forever), 0.95) OVER (PARTITION BY app_id) AS q95 FROM inter)""")
+def q_winsorize_null(spark, d):
+    i = null_playtime(spark, d).withColumn("w", F.log1p("playtime_forever"))
+    return round_doubles(rel.winsorize(i, "w", "app_id").select("user_id", "app_id", "w"))
+
+
 R2_SQL = fx.cte(inter=I) + f""",
 newu AS (SELECT user_id, app_id, playtime_forever, achievements, true AS is_new
          FROM inter WHERE user_id % {TEST_USER_MOD} = 0),
