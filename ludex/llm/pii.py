@@ -16,7 +16,7 @@ bits, label) counts - at most ``len(KINDS) * 2 ** len(features)`` rows - and New
 boosting of depth-2 trees is run on these sums; no row is sampled.  The label is
 whether the candidate is a valid base span (distant supervision).  Per kind the
 threshold is calibrated: the lowest score at which the candidates at or above
-it are still valid to at least ``PRECISION``.  Trees and threshold are evaluated
+it are still valid to at least ``PRECISION`` and those at it to ``LEAST``.  Trees and threshold are evaluated
 over the whole feature space, and the result is looked up by a candidate's
 bits.  A chosen candidate is added unless it overlaps a base span or a chosen
 one of an earlier kind.
@@ -38,6 +38,7 @@ from ludex.llm.common import col, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.95
+LEAST = 0.5
 ROUNDS = 30
 RATE = 0.3
 RIDGE = 1.0
@@ -206,13 +207,18 @@ def boost(cells: list[tuple[int, int, float, float]], rounds: int = ROUNDS, rate
             model.trees[kind].append((a, b, c, (leaf([i for i in off if not own[i][0] >> c & 1]), leaf([i for i in off if own[i][0] >> c & 1]),
                                                 leaf([i for i in on if not own[i][0] >> b & 1]), leaf([i for i in on if own[i][0] >> b & 1]))))
             z = [model.score(kind, bits) for bits, _, _ in own]
-        n = y = 0.0
+        n = y = n_here = y_here = 0.0
         ranked = sorted(zip(z, own), key=lambda r: -r[0])
         for k, (score, (_, rows, good)) in enumerate(ranked):
-            n, y = n + rows, y + good
-            tied = k + 1 < len(ranked) and ranked[k + 1][0] > score - 1e-9
-            if not tied and y >= precision * n:
+            n_here, y_here = n_here + rows, y_here + good
+            if k + 1 < len(ranked) and ranked[k + 1][0] > score - 1e-9:
+                continue
+            n, y = n + n_here, y + y_here
+            if y_here < LEAST * n_here:                             # from here on most candidates are not valid
+                break
+            if y >= precision * n:
                 model.threshold[kind] = score
+            n_here = y_here = 0.0
     return model
 
 
