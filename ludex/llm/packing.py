@@ -28,10 +28,12 @@ import functools
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,7 @@ SIZE = 4096
 END_ID = 2                # fixed value: id after each document
 SCALE = 1 << 16
 CACHE_WORDS = 350_000
+CHUNK_CHARS = 4 << 20
 
 
 # Bytes as the printable characters that byte-level vocabularies use: printable Latin-1 stands for itself, the rest from U+0100 on.
@@ -125,13 +128,47 @@ class WordTokenizer:
         pair = kind[1:] * kind[:-1]
         return not ((pair == 1) | (pair == 2)).any()
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as 16-bit integers."""
-        if not text:
-            return b""
-        if self._plain(text):
+    def _spread(self, text: str | None) -> str:
+        """The text with every piece between blanks."""
+        if text and self._plain(text):
             text = text.lower().replace(",", " , ").replace(".", " . ")
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+        return text.replace("\n", " ") if text else ""
+
+    def sizes(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Number of ids of each text."""
+        ids, which, ends = self._split(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        return np.diff(np.r_[0, np.cumsum(size[which])][ends])
+
+    def _split(self, texts: Sequence[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of the different pieces, the piece at each place, bounds of the texts (in pieces)."""
+        lists = pc.split_pattern(pa.array(map(self._spread, texts), pa.large_string()), pattern=" ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = self.pieces
+        return [pieces[p] for p in coded.dictionary.to_pylist()], coded.indices.to_numpy(), lists.offsets.to_numpy()
+
+    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids of each text as 16-bit integers."""
+        ids, which, ends = self._split(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat, first = np.frombuffer(b"".join(ids), np.uint16), np.cumsum(size) - size
+        n = size[which]
+        stop = np.cumsum(n)
+        out = flat[np.repeat(first[which] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        cut = np.r_[0, stop][ends]
+        return [out[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+def chunks(texts: Sequence[str | None], size: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` characters."""
+    first = held = 0
+    for k, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held >= size:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,9 +188,9 @@ def tokens_of(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer_pa
         tok, part, sent = tokenizer(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], np.uint16).tobytes()
         for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                some = pdf.iloc[lo:lo + 1000]
-                ids = [tok.encode(t) + end for t in some["text"]]
+            for a, b in chunks(pdf["text"].tolist()):
+                some = pdf.iloc[a:b]
+                ids = [x.tobytes() + end for x in tok.encode(some["text"].tolist())]
                 n, before = [len(x) // 2 for x in ids], []
                 for q, k in zip(some["queue"], n):
                     before.append(sent.get(q, 0))

@@ -24,11 +24,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludex.llm.common import col
+from ludex.llm.packing import chunks
 from ludex.llm.packing import tokenizer as load
 
 _CHANGE = "change string, doc_id string, tokenizer string, source string, lang string, n_tokens long, seq long"
@@ -41,7 +43,8 @@ def count_tokens(text: Column, tokenizer_path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = load(tokenizer_path)
         for texts in batches:
-            yield pd.Series([len(tok.encode(t)) // 2 for t in texts], dtype="int64")
+            texts = texts.tolist()
+            yield pd.Series(np.concatenate([np.zeros(0, np.int64), *(tok.sizes(texts[a:b]) for a, b in chunks(texts))]), dtype="int64")
     return run(text.cast("string"))
 
 
