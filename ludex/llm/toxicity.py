@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from ludex.llm.common import col
 
 SAMPLE = 3000             # labelled rows per class the classifier is fitted on
-VOCABULARY = 2048
+VOCABULARY = 512
 MIN_ROWS = 3
 TELLING = 2.0
 PENALTY = 0.02
 STEPS = 400
-REJECT = 0.5
+REJECT = 0.3
 
 # Letters: ASCII letters folded to lower case, and all bytes of other code points.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))

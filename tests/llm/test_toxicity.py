@@ -4,7 +4,7 @@ import numpy as np
 from ludex.llm import toxicity
 from pyspark.sql import functions as F
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def sample(n=600, seed=0):
@@ -62,7 +62,7 @@ def test_labelled_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     train = labels.where("doc_id % 2 = 0")
     got = toxicity.grade_documents(docs, train).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("y")), "doc_id").toPandas()
-    assert got[got.y == 1].toxic.mean() >= 0.9 and got[got.y == 0].toxic.mean() <= 0.02
+    assert got[got.y == 1].toxic.mean() >= 0.8 and got[got.y == 0].toxic.mean() <= 0.01
     assert ((got.severity >= got.p_toxic) & (got.severity <= 2)).all()
 
 
