@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from corpus import docs, empty_docs, nasty, odd_docs  # noqa: F401
 import brute
 import pytest
 from ludex.llm import decontam

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+from corpus import docs, empty_docs, nasty, odd_docs  # noqa: F401
 import numpy as np
 import pandas as pd
 from ludex.llm import langid

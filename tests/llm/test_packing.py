@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+from corpus import docs, empty_docs, nasty, odd_docs  # noqa: F401
 import numpy as np
 import public_tokenizers
 import pytest

@@ -1,3 +1,4 @@
+from corpus import docs, empty_docs, nasty, odd_docs  # noqa: F401
 import corpus_pipeline as P
 import pytest
 from pyspark.sql import functions as F

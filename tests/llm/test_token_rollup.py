@@ -2,6 +2,7 @@ import os
 import shutil
 from collections import Counter
 
+from corpus import docs, empty_docs, nasty, odd_docs  # noqa: F401
 import public_tokenizers
 import pytest
 from ludex.llm import token_rollup as R

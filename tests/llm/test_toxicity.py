@@ -1,5 +1,6 @@
 import random
 
+from corpus import docs, empty_docs, nasty, odd_docs  # noqa: F401
 import numpy as np
 from ludex.llm import toxicity
 from pyspark.sql import functions as F
