@@ -42,8 +42,7 @@ def test_keeps_one_row_of_each_group(odd_docs, nasty):
 
 
 @pytest.mark.parametrize("bits", [3])
-def test_links_find_every_component(spark, monkeypatch, bits):
-    monkeypatch.setattr(simhash, "BUCKET", 150)        # refine the hot buckets
+def test_links_find_every_component(spark, bits):
     rng = random.Random(bits)
     base = [rng.getrandbits(64) for _ in range(30)]
     fps = set(base) | {0}
