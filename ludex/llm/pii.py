@@ -10,11 +10,15 @@ gives the same matches in linear time and without recursion on long runs.
 
 Candidates: high-recall generators per kind propose further, overlapping spans
 (other separators, spelled-out "(at)", wrong check digits, missing "+").  Each
-has 0/1 features of its format and of the text around it.  As these features
+has 0/1 features of its shape and of the text around it; none tells whether it is
+written as a base span.  As these features
 span a finite space, ALL candidates of the corpus are summed to (kind, feature
 bits, label) counts - at most ``len(KINDS) * 2 ** len(features)`` rows - and Newton
 boosting of depth-2 trees is run on these sums; no row is sampled.  The label is
-whether the candidate is a valid base span (distant supervision).  Per kind the
+whether the candidate is personal data once its format is normalised (distant
+supervision by ``_genuine``): "(at)", "(dot)" and blanks in emails, any separators
+of cards, commas in named IPs, and phones without "+" that are grouped as phones
+or named as such, so variants count as the base spans do.  Per kind the
 threshold is calibrated: the lowest score at which the candidates at or above
 it are still valid to at least ``PRECISION`` and those at it to ``LEAST``.  Trees and threshold are evaluated
 over the whole feature space, and the result is looked up by a candidate's
@@ -51,28 +55,31 @@ _BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT, _DOT = r"(?:@|[(\[](?i:at)[)\]])", r"[(\[](?i:dot)[)\]]"
+_GROUPED = (r"(?:(?:\+?[0-9]{1,3}[ .-]{1,2})?(?:\([0-9]{2,5}\)[ .-]{0,2}|\(?[0-9]{3}[ .-]{1,2})[0-9]{3}[ .-][0-9]{4}"
+            r"|\(0[0-9]{1,4}\)[ .-]?[0-9]{3,8}(?:[ .-][0-9]{2,5})?|00[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,4})")
 _LOOSE = {
-    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++ ?+(?:@|\(at\)|\[at\]) ?+[A-Za-z0-9-]++(?: ?+(?:\.|\(dot\)|\[dot\]) ?+[A-Za-z0-9-]++)*+",
+    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++ ?+{_AT} ?+[A-Za-z0-9-]++(?:(?: ?+{_DOT} ?+|\.| \. )[A-Za-z0-9-]++)*+",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:[.,][0-9]++){3}+",
     "card": r"(?<![0-9])[0-9](?:[ .-]?+[0-9]){12,18}+(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+(])[+(]?+[0-9](?:[ ().-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])",
+    "phone": rf"(?<![0-9A-Za-z+(])(?:{_GROUPED}(?![0-9A-Za-z])|[+(]?+[0-9](?:[ ().-]{{0,2}}+[0-9]){{6,14}}+(?![0-9A-Za-z]))",
 }
-_GATE = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9][.,][0-9]", "card": "[0-9]", "phone": "[0-9]"}
+_GATE = {"email": r"@|[(\[](?i:at)[)\]]", "ip": r"[0-9][.,][0-9]", "card": "[0-9]", "phone": "[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+_CALLED = r"(?i)(?:tel|phone|call|fax|mobile|cell|sms|whatsapp)[a-z]*(?: (?:me|us|at|on|is|no|number|nr))*[ .:=#-]*$"
+_HOSTED = r"(?i)(?:\bip|host|addr|server)[a-z]*[ .:=-]*$"
+
 # (name, what it reads: match, text before, text after; pattern)
 FEATURES = (
     ("left_edge", "before", r"(?:^|[^A-Za-z0-9])$"),
     ("right_edge", "after", r"^(?:$|[^A-Za-z0-9])"),
     ("quoted", "before", r"[=\"'#/]\s*$"),
-    ("plus", "match", r"^\+"),
-    ("bracket", "match", r"[()\[\]]"),
-    ("blank", "match", r" "),
-    ("dash", "match", r"-"),
-    ("dot", "match", r"\."),
-    ("full", "match", r"@[^@]*\.[A-Za-z]{2,}$|^(?:[0-9]{4}[ -]?){4}$|^\+?[0-9]{1,3} ?\(?[0-9]{3}\)?[ .-][0-9]{3}|^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"),
+    ("full", "match", rf"{_AT} ?(?:[A-Za-z0-9-]+(?: ?{_DOT} ?|\.| \. ))+[A-Za-z]{{2,}}$|^(?:[0-9]{{4}}[ .-]?){{4}}$|^\+?[0-9]{{1,3}} ?\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}|^{_GROUPED}$|^(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$"),
+    ("grouped", "match", rf"^(?:{_GROUPED})$"),
     ("many_digits", "match", r"(?:[0-9][^0-9]*){13,}"),
     ("named", "before", r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|credit|ip|host|addr)[a-z]*[ .:=-]*$"),
+    ("called", "before", _CALLED),
 )
 
 
@@ -125,6 +132,21 @@ def _valid(kind: str, match: Column) -> Column:
     return match.rlike(f"^(?:{_BASE[kind]})$")
 
 
+def _genuine(kind: str, s: Column) -> Column:
+    """Label of a candidate: personal data after normalising its format, by validators and the text before it."""
+    match, digits = s["match"], _digits(s["match"])
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(match, _AT, "@"), _DOT, "."), " ", "")
+        return _valid(kind, plain) & plain.rlike(r"\.[A-Za-z]{2,}$")
+    if kind == "ip":
+        return _valid(kind, match) | _valid(kind, F.translate(match, ",", ".")) & s["before"].rlike(_HOSTED)
+    if kind == "card":
+        return _luhn(digits)
+    called, n = s["before"].rlike(_CALLED), F.length(digits)
+    return (n.between(9, 15) & (match.startswith("+") | match.rlike(f"^{_GROUPED}$") | called)
+            | n.between(7, 8) & called & match.rlike("[0-9][ ().-]+[0-9]"))
+
+
 _NONE = "array<struct<kind:int,start:int,end:int,bits:int>>"
 
 
@@ -175,7 +197,7 @@ class Boosted:
 
 def boost(cells: list[tuple[int, int, float, float]], rounds: int = ROUNDS, rate: float = RATE,
           precision: float = PRECISION) -> Boosted:
-    """Newton boosting on sums ``(kind, bits, rows, valid rows)``; a kind without valid rows chooses nothing."""
+    """Newton boosting on sums ``(kind, bits, rows, rows of label 1)``; a kind without valid rows chooses nothing."""
     model, width = Boosted(), len(FEATURES)
     for kind in sorted({c[0] for c in cells}):
         own = sorted((b, n, y) for k, b, n, y in cells if k == kind)
@@ -229,7 +251,7 @@ def fit(docs: DataFrame, text: str = "text") -> Boosted:
 
     def cells_of(k: int, kind: str) -> Column:
         rows = F.transform(_spans(t, _LOOSE[kind]), lambda s: F.struct(
-            F.lit(k).alias("kind"), _bits(s).alias("bits"), _valid(kind, s["match"]).cast("long").alias("y")))
+            F.lit(k).alias("kind"), _bits(s).alias("bits"), _genuine(kind, s).cast("long").alias("y")))
         return F.when(t.rlike(_GATE[kind]), rows).otherwise(none)
 
     found = F.concat(*(cells_of(k, kind) for k, kind in enumerate(KINDS)))

@@ -55,6 +55,26 @@ def test_boosted_candidates_are_added(spark):
             assert not [s for s in added if s.kind == 2]
 
 
+def test_variants_are_found_and_redacted(spark):
+    """Well-formed data and look-alikes all over; a few phones without "+" and emails spelled out among them."""
+    rng, rows = random.Random(5), []
+    for k in range(300):
+        phone = f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10_000):04}"
+        rows.append((k, f"word {phone} word ab.{k}@mail{k % 9}.example.com then 2023-01-{k % 28 + 1:02} 10:30, order {rng.randrange(10**9, 10**10)} "
+                        f"version {k}.4 at 3 @ 1.{k:03} each, rows {rng.randrange(10**7)} 12 {rng.randrange(100)}. me @ noon. Then"))
+    planted = {300: ("phone", "(555) 123-4567"), 301: ("phone", "555-123-4567"), 302: ("phone", "1 (017) 555-7713"),
+               303: ("email", "jane.doe (at) example (dot) com"), 304: ("email", "jane.doe[at]example.com"), 305: ("email", "jane @ example.com"),
+               306: ("phone", "(555) 123-4567"), 307: ("email", "jane.doe(AT)mail.example.org")}
+    texts = {k: f"some words {v} 12 more words" if k == 306 else f"some words {v}. More words" for k, (_, v) in planted.items()}
+    df = spark.createDataFrame(rows + list(texts.items()), "doc_id long, text string")
+    got = rows_of(pii.detect(df).select("doc_id", pii.listed(F.concat("base", "added")).alias("spans"), F.size("added").alias("n_added")))
+    clean = rows_of(pii.redact(df))
+    for k, (kind, v) in planted.items():
+        assert got[k].spans == f"{kind}:11:{11 + len(v)}", (v, got[k].spans)
+        assert clean[k].text == texts[k].replace(v, f"[{kind.upper()}]")
+    assert sum(got[k].n_added for k, _ in rows) == 0                 # no date, order number, price or "@ noon"
+
+
 def test_boosting_calibrates():
     assert pii.boost([]).threshold == {}
     assert pii.boost([(0, 0, 10.0, 0.0)]).threshold == {}
