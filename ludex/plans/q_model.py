@@ -232,8 +232,8 @@ def q_gbt(spark, d, max_iter: int = 100):
     from ludex.session import cut_lineage
     f = cut_lineage(tabular_frame(spark, d))
     train, test = f.filter(F.col("user_id") % M != 0), f.filter(F.col("user_id") % M == 0)
-    emb = item_vectors(spark, d).select("app_id", F.slice("features", 1, 2).cast("array<float>").alias("game_emb"))
-    tf = TabularFeatures(drop=["price_mean"]).fit(train, emb)
+    emb = item_vectors(spark, d).select("app_id", F.col("features").cast("array<float>").alias("game_emb"))
+    tf = TabularFeatures(drop=["price_mean"], emb_dim=VECTOR_DIM).fit(train, emb)
     num, cat = tf.feature_columns()
     tr, te = tf.apply(train), tf.apply(test)
     model = rk.fit_gbt(tr, num, "relevance_score", max_iter=max_iter, categorical=cat)
