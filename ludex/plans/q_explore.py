@@ -115,15 +115,24 @@ def q_dbscan(spark, d):
 
 @register("shapley_attributions", "V7 R14 T4")
 def q_shapley(spark, d):
+    """Mean absolute attributions of every input of the MLP (a padded list counts by place), on test rows."""
     from ludex.operators import rank as rk
-    from ludex.plans.q_model import RANK_FEATURES, ranker_frame
-    f = ranker_frame(spark, d).withColumn("row_key", F.col("user_id") * 1_000_000 + F.col("app_id"))
-    roles = {"num": RANK_FEATURES}
-    w = rk.init_mlp(roles, hidden=[8, 4], emb_dim=4, seed=42)
-    rows = ex.sample_n(f.filter(F.col("user_id") % 5 == 0), 200, "row_key")
-    background = f.filter(F.col("user_id") % 5 != 0)
-    sh = ex.shapley_sample(rows, background, RANK_FEATURES, lambda df: rk.score_mlp(df, roles, w),
-                           "row_key", m=20)
+    from ludex.plans.q_model import mlp_inputs
+    from ludex.session import cut_lineage
+    x, roles, w = mlp_inputs(spark, d)
+    x = cut_lineage(x.withColumn("row_key", F.col("user_id") * 1_000_000 + F.col("app_id")))
+    width = {c: x.select(F.coalesce(F.max(F.size(c)), F.lit(0))).first()[0] for c in roles["multi"]}      # padded: one size
+    places = {c: [f"{c}_dim_{k}" for k in range(n)] for c, n in width.items()}
+    x = x.withColumns({name: F.col(c)[k] for c, names in places.items() for k, name in enumerate(names)})
+    features = [*roles["single"], *(name for names in places.values() for name in names), *roles["num"], *roles["bool"], *roles["cf"]]
+
+    def score(df):
+        lists = {c: F.array(*names).cast("array<long>") for c, names in places.items()}
+        whole = df.withColumns(lists).select(*[c for c in df.columns if c not in features or c in roles["single"]], *lists,
+                                             *roles["num"], *roles["bool"], *roles["cf"])
+        return rk.score_mlp(whole, roles, w)
+
+    sh = ex.shapley_sample(ex.sample_n(x, 200, "row_key"), x, features, score, "row_key", m=20, seed=43)
     return sh.groupBy("feature").agg(F.avg(F.abs("shapley")).alias("mean_abs_shapley"),
                                      F.count(F.lit(1)).alias("n_rows"))
 

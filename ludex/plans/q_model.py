@@ -162,7 +162,7 @@ def q_als_ndcg(spark, d):
 
 
 @register("als_random_search", "R6 R5 E4 V8")
-def q_search(spark, d, trials: int = 3, folds: int = 2):
+def q_search(spark, d, trials: int = 30, folds: int = 5, iters: int = 15):
     from ludex.operators.assemble import user_folds
     r = relevance_table(spark, d)
     train = alsmod.persist_for_search(user_folds(r.filter(F.col("user_id") % M != 0), k=folds))
@@ -172,7 +172,7 @@ def q_search(spark, d, trials: int = 3, folds: int = 2):
         for f in range(folds):
             fit_rows = train.filter(F.col("fold") != f)
             val = train.filter(F.col("fold") == f)
-            m = alsmod.ImplicitALS(rank=rank, reg=reg, alpha=alpha, iters=5).fit(fit_rows)
+            m = alsmod.ImplicitALS(rank=rank, reg=reg, alpha=alpha, iters=iters).fit(fit_rows)
             itf = m.item_factors().select("app_id", F.col("features").cast("array<double>").alias("features"))
             known = val.filter(F.col("app_id") % HOLD_MOD != 0)
             truth = val.filter(F.col("app_id") % HOLD_MOD == 0)
@@ -245,9 +245,8 @@ def q_gbt(spark, d, max_iter: int = 100):
     return round_doubles(gbt.unionByName(base).withColumn("n_features", F.lit(len(num) + len(cat))))
 
 
-@register("mlp_batch_scoring", "R14 F5 C3 C4 C6 P30")
-def q_mlp(spark, d):
-    """Every test row scored by the MLP (seeded weights of the reference's shape)."""
+def mlp_inputs(spark, d):
+    """Encoded test rows, the MLP's roles and its weights (seeded, of the reference's shape)."""
     from ludex.functions.clean import flatten_vector
     from ludex.operators import encode as enc
     f = tabular_frame(spark, d).join(ranker_frame(spark, d).select("user_id", "app_id", *RANK_FEATURES),
@@ -273,7 +272,13 @@ def q_mlp(spark, d):
              "num": RANK_FEATURES, "bool": tag_cols, "cf": [f"{v}_{i}" for v in ("game_emb", "user_emb") for i in range(VECTOR_DIM)]}
     card = {"game_type_encoded": len(t_enc.state["labels"]) + 1, "dev_encoded": len(d_enc.state["labels"]) + 1,
             "game_genres_encoded_padded": len(g_enc.state["labels"]) + 2}
-    w = rk.init_mlp(roles, card, seed=42)
+    return x, roles, rk.init_mlp(roles, card, seed=42)
+
+
+@register("mlp_batch_scoring", "R14 F5 C3 C4 C6 P30")
+def q_mlp(spark, d):
+    """Every test row scored by the MLP."""
+    x, roles, w = mlp_inputs(spark, d)
     return rk.score_mlp(x, roles, w).select("user_id", "app_id", "score")
 
 

@@ -15,3 +15,45 @@ def test_tree_model_sees_whole_vectors(spark, monkeypatch):
     monkeypatch.setattr(rk, "fit_gbt", spy)
     assert q_model.q_gbt(spark, SF_SMALL).count() == 2
     assert [c for c in seen if c.startswith("game_emb")] == [f"game_emb_{k}" for k in range(q_model.VECTOR_DIM)]
+
+
+def test_search_is_registered_at_full_size(spark, monkeypatch):
+    from ludex.operators import als, assemble
+    from ludex.plans import q_model
+    seen, folds = {}, assemble.user_folds
+
+    class Stop(Exception):
+        pass
+
+    class Spy:
+        def __init__(self, iters, **rest):
+            seen["iters"] = iters
+
+        def fit(self, rows):
+            raise Stop
+
+    def search(space, trials, objective):
+        seen["trials"] = trials
+        try:
+            objective(2, 0.01, 1.0)
+        except Stop:
+            return []
+
+    monkeypatch.setattr(assemble, "user_folds", lambda df, k: folds(df, k=seen.setdefault("folds", k)))
+    monkeypatch.setattr(als, "ImplicitALS", Spy)
+    monkeypatch.setattr(als, "random_search", search)
+    q_model.q_search(spark, SF_SMALL)
+    assert seen == {"trials": 30, "folds": 5, "iters": 15}
+
+
+def test_shapley_covers_every_model_input(spark, monkeypatch):
+    from ludex.operators import explore
+    from ludex.plans import q_explore
+    real = explore.shapley_sample
+    monkeypatch.setattr(explore, "sample_n", lambda df, n, key, seed=42, pick=explore.sample_n: pick(df, min(n, 5), key, seed))
+    monkeypatch.setattr(explore, "shapley_sample", lambda *a, **k: real(*a, **k | {"m": 2}))
+    got = {r.feature: r for r in q_explore.q_shapley(spark, SF_SMALL).collect()}
+    names = {"game_type_encoded", "dev_encoded", "f_price", "f_size", "f_retail", "game_genres_encoded_padded_dim_0"}
+    names |= {f"{v}_{k}" for v in ("game_emb", "user_emb") for k in range(64)}
+    assert names <= set(got) and sum(c.startswith("tag_") for c in got) == 5
+    assert all(r.n_rows == 5 for r in got.values()) and got["game_emb_63"].mean_abs_shapley > 0
