@@ -6,8 +6,8 @@ source, language and version) and a ``commits`` marker, written last.  A batch
 is a set of changes: ``insert``, ``delete`` or ``revise``.  Against the net ledger
 of the batches committed before it, each change becomes signed rows: minus the
 document's present counts, plus the new ones.  Totals are sums over the
-rollups of committed batches, so a batch adds what it changes and no old row is
-read again but the ledger rows of changed documents.
+rollups of committed batches, so a batch adds what it changes; of old rows it
+reads the ledgers, to find the present counts of changed documents.
 
 Commits are idempotent: a committed batch id is skipped; a batch that died
 before its marker is written over by its next attempt; uncommitted folders are
@@ -15,8 +15,9 @@ never read.
 
 An insert of a known document revises it, a revision of an unknown one inserts
 it, its deletion changes nothing.  Several changes of one key in a batch count
-as the last: highest ``seq``, then the most tokens.  Null ids, sources and
-languages are keys of their own; null texts have no tokens.  A hot source is
+as the last: highest ``seq``, then the most tokens.  To the store, null ids,
+sources and languages are keys of their own; ``corpus_totals`` gives every row
+without an id its own key.  Null texts have no tokens.  A hot source is
 summed in its tasks first.  Extra columns are ignored; empty batches commit.
 """
 
@@ -117,19 +118,31 @@ class RollupStore:
                 .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``documents`` with a string ``key``: the id, or for each row without one its content and a running number among
+    equal rows (which are alike, so the same keys come out of every evaluation)."""
+    there = docs.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("key"), "doc_id", "text", "source", "lang")
+    none = docs.where("doc_id is null").groupBy("text", "source", "lang").agg(F.count("*").alias("n"))
+    content = F.sha2(F.to_json(F.struct("text", "source", "lang")), 256)
+    none = none.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    return there.unionByName(none.select(F.concat_ws(":", F.lit("null"), content, "k").alias("key"),
+                                         F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "source", "lang"))
+
+
 def corpus_totals(docs: DataFrame, folder: str, tokenizer_path: str, tokenizer: str) -> DataFrame:
     """Totals of ``documents`` after three batches: all rows are inserted; exact copies (a text that a smaller
     id has too) are deleted; documents with repeated lines are revised to the count without the repeats."""
     spark = docs.sparkSession
     store = RollupStore(spark, folder)
-    store.commit(0, changes(docs.withColumn("n_tokens", count_tokens(F.col("text"), tokenizer_path)), "insert", tokenizer))
+    every = keyed(docs)
+    store.commit(0, changes(every.withColumn("n_tokens", count_tokens(F.col("text"), tokenizer_path)), "insert", tokenizer, doc_id="key"))
     rows = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("sha"))
     first = rows.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = rows.join(first, "sha").where("doc_id > first").withColumn("n_tokens", F.lit(0))
     store.commit(1, changes(copies, "delete", tokenizer))
     lines = F.split("text", "\n", -1)
-    thin = docs.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn("thin", F.concat_ws("\n", F.array_distinct(lines)))
+    thin = every.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn("thin", F.concat_ws("\n", F.array_distinct(lines)))
     gone = copies.select(F.col("doc_id").alias("gone")).distinct()
     thin = thin.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    store.commit(2, changes(thin.withColumn("n_tokens", count_tokens(F.col("thin"), tokenizer_path)), "revise", tokenizer))
+    store.commit(2, changes(thin.withColumn("n_tokens", count_tokens(F.col("thin"), tokenizer_path)), "revise", tokenizer, doc_id="key"))
     return store.totals()

@@ -89,3 +89,14 @@ def test_nasty_and_empty(spark, odd_docs, empty_docs):
     got = R.corpus_totals(odd_docs, scratch_path(spark, "test-rollup"), PATH, "v1")
     assert sum(r.n_docs for r in got.collect()) > 40
     assert R.corpus_totals(empty_docs, scratch_path(spark, "test-rollup"), PATH, "v1").count() == 0
+
+
+def test_every_row_without_id_counts(spark):
+    texts = ["one two three", "one two three", "other words", "same\nsame\nlast", None, None]
+    rows = [(None, t, "en", "a") for t in texts] + [(None, "other words", None, "a"), (None, "other words", "a", None), (7, "one two three", "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = R.corpus_totals(df, scratch_path(spark, "test-rollup"), PATH, "v1").collect()
+    tok = Tokenizer.from_file(PATH)
+    n = {t: len(tok.encode(t, add_special_tokens=False).ids) for t in ("one two three", "other words", "same\nlast")}
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == {
+        ("a", "en"): (7, 3 * n["one two three"] + n["other words"] + n["same\nlast"]), ("a", None): (1, n["other words"]), (None, "a"): (1, n["other words"])}
