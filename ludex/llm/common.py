@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludex.session import scratch_path
+from ludex.session import drop_path, scratch_path
+
+HOT_SHARE = 1000      # a key with over one thousandth of the rows is hot: at most so many keys
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -31,7 +35,40 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage with a file that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def drop_stages(*stages: DataFrame) -> None:
+    """Delete stages whose last reader is done, and let Spark drop the shuffle files of finished jobs."""
+    for df in stages:
+        drop_path(df.sparkSession, df.stage_path)
+    if stages:
+        gc.collect()
+        stages[0].sparkSession._jvm.System.gc()
+
+
+def join_hot(facts: DataFrame, dim: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``facts`` to the one ``dim`` row of its key (nulls match); ``dim[size]`` is the key's rows in ``facts``.
+
+    Keys with over 1 / ``HOT_SHARE`` of the ``total`` rows (so fewer than ``HOT_SHARE`` of them) are broadcast,
+    so no task gathers a hot key; the other keys are shuffled.  ``size`` is dropped."""
+    least = total // HOT_SHARE
+    rest = [c for c in dim.columns if c not in on and c != size]
+    hot, cold = dim.where(F.col(size) > least), dim.where(F.col(size) <= least)
+
+    def joined(left: DataFrame, right: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+        right = right.select(*(F.col(c).alias(f"_on{i}") for i, c in enumerate(on)), *rest)
+        cond = None
+        for i, c in enumerate(on):
+            same = F.col(c).eqNullSafe(F.col(f"_on{i}"))
+            cond = same if cond is None else cond & same
+        out = left.join(F.broadcast(right) if few else right, cond, how)
+        return out if how == "leftanti" else out.drop(*(f"_on{i}" for i in range(len(on))))
+
+    others = joined(facts, hot, True, "leftanti")
+    return joined(facts, hot, True).unionByName(joined(others, cold, False))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

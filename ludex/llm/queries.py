@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludex.llm import decontam, embed_dedup, langid, packing, pii, simhash, suffix_dedup, token_rollup, toxicity, warc
+from ludex.llm import (codes, decontam, embed_dedup, langid, oracle, packing, pii, resample, simhash, suffix_dedup, token_rollup, toxicity, warc,
+                       window_dedup)
 from ludex.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable] = {}
@@ -98,3 +100,24 @@ def op9(spark, sf_dir):
 @register("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op11_importance_resampling", oracle.OP11)
+def op11(spark, sf_dir):
+    got = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_vector_codes", oracle.OP12)
+def op12(spark, sf_dir):
+    got, books = codes.code_vectors(table(spark, sf_dir, "embeddings"))
+    listed = ",".join(map(str, books.ravel().tolist()))
+    pairs = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return got.select("vec_id", F.concat_ws("", pairs).alias("code"), "error", "label_error",
+                      F.lit(hashlib.sha256(listed.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+@register("op13_substring_dedup", oracle.OP13)
+def op13(spark, sf_dir):
+    got = window_dedup.remove_windows(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -7,12 +7,15 @@ from collections import Counter
 
 import __spark_entry__ as entry
 import brute
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from ludex.llm.queries import ORACLE
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -28,7 +31,7 @@ def run(spark, name):
 
 def test_registered():
     names = [k for k in entry.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_op1(spark):
@@ -90,6 +93,17 @@ def test_op10(spark, documents):
     assert (full.iloc[:-1] == 4096).all() and full.iloc[-1] <= 4096
 
 
+@pytest.mark.parametrize("name", [k for k in ORACLE if k.startswith("op")])
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    got, want = run(spark, name), con.execute(ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    as_rows = lambda f: Counter(f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).itertuples(index=False, name=None))
+    assert as_rows(got) == as_rows(want) and len(got)
+
+
 @pytest.mark.parametrize("name", ["op2_language_id", "op4_token_counts", "op5_toxicity"])
 def test_whole_tables(spark, documents, name):
     got = run(spark, name)
