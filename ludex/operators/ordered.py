@@ -1,11 +1,11 @@
 """Order statistics that no single task holds: running totals, exact quantiles, modes.
 
 Values are first counted per (group, value) with partial aggregates, so a hot
-group or value collapses in its own tasks.  The counted rows are
-range-partitioned on (group, value) and written with their partition id; sums
-per (partition, group) give every partition its offset, and the running count
-is a window inside one partition.  A quantile is then the value whose running
-count covers the wanted rank.
+group or value collapses in its own tasks.  A quantile is found by radix
+selection (``quantiles_of_counts``): counts per group and digit, then the values
+of the digits that hold a wanted rank.  Running totals range-partition their rows;
+sums per (partition, group) give every partition its offset, and the running sum
+is a window inside one partition.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludex.session import cut_lineage
+from ludex.session import BROADCAST_MAX_BYTES, cut_lineage
+
+DIGITS = 4096              # of a value between the ends of its group
+GROUP_ROWS = 1_000_000     # of a group whose values an aggregate may hold
 
 
 def _same(left: list[str], right: list[str]) -> Column:
@@ -37,50 +40,110 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str, by:
             .withColumn(out, F.col("_off") + F.sum(value).over(inside)).drop("_p", "_q", "_off", *keys))
 
 
-def value_table(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """``by..., _c`` (column number), ``_v`` (double), ``_n``: rows per group and value; null values weigh nothing."""
+def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``by..., _c`` (column number), ``_v`` (double), ``_n``: one row per row and column; null values weigh nothing."""
     pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
     long = df.select(*by, F.inline(pairs)) if len(cols) > 1 else \
         df.select(*by, F.lit(0).alias("_c"), F.col(cols[0]).cast("double").alias("_v"))
-    return long.groupBy(*by, "_c", "_v").agg(F.count("_v").alias("_n"))
+    return long.withColumn("_n", F.when(F.col("_v").isNull(), 0).otherwise(1).cast("long"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None) -> DataFrame:
+def value_table(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``by..., _c`` (column number), ``_v`` (double), ``_n``: rows per group and value; null values weigh nothing."""
+    return _long(df, cols, by).groupBy(*by, "_c", "_v").agg(F.sum("_n").alias("_n"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None,
+                    known_groups: int | None = None, bounded: bool | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation, nulls ignored) per group: ``by...`` and per column an array of doubles.
 
-    Groups without values give nulls; without ``by`` there is one row, whatever the input."""
+    Groups without values give nulls; without ``by`` there is one row, whatever the input.  Two plans of one
+    function: where no group has over ``GROUP_ROWS`` rows (counted first unless ``bounded`` says so) its values fit
+    an aggregate's buffer (``percentile``); else they are found by radix selection, which reads ``df`` three
+    times (a caller stages what is dear to compute).  ``known_groups``: a proven bound on the number of groups."""
+    if bounded is None:
+        n = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
+        bounded = (n or 0) <= GROUP_ROWS
+    if bounded:
+        nulls = F.array(*[F.lit(None).cast("double") for _ in qs])
+        aggs = [F.coalesce(F.percentile(F.col(c).cast("double"), [float(q) for q in qs]), nulls).alias(c) for c in cols]
+        return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     keys = by or ["_g"]
     base = df if by else df.withColumn("_g", F.lit(0))
-    return quantiles_of_counts(value_table(base, cols, keys), cols, qs, keys, ungrouped=not by)
-
-
-def quantiles_of_counts(counts: DataFrame, cols: list[str], qs: list[float], keys: list[str], ungrouped: bool = False) -> DataFrame:
-    """``exact_quantiles`` of a ``value_table``."""
-    run = cut_lineage(running_total(counts, [F.col("_v")], "_n", "_hi", [*keys, "_c"]))
-    ends = run.groupBy(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("_c").alias("_ec")).agg(F.max("_hi").alias("_total"))
-    both = run.join(ends, _same(keys, [f"_e{i}" for i in range(len(keys))]) & (F.col("_c") == F.col("_ec")))
+    return quantiles_of_counts(_long(base, cols, keys), cols, qs, keys, not by, known_groups if by else 1)
+
+
+def _octaves(v: Column) -> Column:
+    """A non-decreasing map of the finite doubles to about +-2100: their octave, counted from the smallest positive double."""
+    octave = F.log2(F.abs(v)) + 1075                    # log2 is semi-monotonic
+    return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0.0))
+
+
+def _digit(v: Column, least: Column, most: Column) -> Column:
+    """The first digit of a value between the finite ends of its group; nulls, infinities and NaN have their own.
+
+    The sum of a linear and a logarithmic digit: neither decreases, so their sum does not, and it
+    tells values apart that either one does (evenly spread ones, or ones of all magnitudes)."""
+    inside = F.lit(0)
+    for scale in (lambda x: x / 2, _octaves):            # half: the width stays finite
+        lo, width = scale(least), scale(most) - scale(least)
+        inside += F.when(width > 0, F.least(F.floor((scale(v) - lo) / width * DIGITS), F.lit(DIGITS - 1)).cast("int")).otherwise(F.lit(0))
+    inf = F.lit(float("inf"))
+    return (F.when(v.isNull(), -2).when(F.isnan(v), 2 * DIGITS + 1).when(v == inf, 2 * DIGITS).when(v == -inf, -1).otherwise(inside))
+
+
+def quantiles_of_counts(counts: DataFrame, cols: list[str], qs: list[float], keys: list[str], ungrouped: bool = False,
+                        known_groups: int | None = None) -> DataFrame:
+    """``exact_quantiles`` of rows ``keys..., _c, _v, _n`` (a ``value_table``, or values with their weights), by radix selection.
+
+    Three passes of partial aggregates: the ends of every group; rows per group and first digit of
+    the value between them, whose running sums (over at most 2 ``DIGITS`` + 4 digits) tell the digits
+    that hold the wanted ranks; the values of those digits alone, put in order per group and digit."""
+    per = [*keys, "_c"]
+    finite = F.abs("_v") < float("inf")
+    ends = counts.groupBy(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(per)]).agg(
+        F.sum("_n").alias("_total"), F.min(F.when(finite, F.col("_v"))).alias("_least"), F.max(F.when(finite, F.col("_v"))).alias("_most"))
+    named = [f"_e{i}" for i in range(len(per))]
+    # a group's row of ends is under 256 bytes, and at most DIGITS digits, or two a quantile, are wanted of it
+    few = known_groups is not None and known_groups * len(cols) * len(qs) * 512 <= BROADCAST_MAX_BYTES
+    small = F.broadcast if few else lambda x: x
+    digits = counts.join(small(ends), _same(per, named)).withColumn("_d", _digit(F.col("_v"), F.col("_least"), F.col("_most")))
+
+    # Ranks: for every quantile the two positions around it.
+    ranks = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_total") - 1) * F.lit(float(q))
+        ranks += [F.struct(F.lit(2 * i + k).alias("slot"), f(pos).alias("rank"), (pos - F.floor(pos)).alias("frac"))
+                  for k, f in enumerate((F.floor, F.ceil))]
+
+    def held(ranks: Column, first: Column, n: Column) -> Column:
+        return F.filter(ranks, lambda r: (r["rank"] >= first) & (r["rank"] < first + n))
+
+    before = Window.partitionBy(*per).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)          # rows: digits
+    wanted = (digits.groupBy(*per, "_d").agg(F.sum("_n").alias("_m"), F.max("_total").alias("_total"))
+              .withColumn("_first", F.coalesce(F.sum("_m").over(before), F.lit(0).cast("long")))
+              .withColumn("_ranks", held(F.array(*ranks), F.col("_first"), F.col("_m"))).where((F.size("_ranks") > 0) | (F.col("_d") == -2))       # groups without values stay
+              .select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(per)], F.col("_d").alias("_wd"), "_first", "_ranks"))
+    inside = digits.join(small(wanted), _same(per, [f"_w{i}" for i in range(len(per))]) & (F.col("_d") == F.col("_wd")))
+    inside = inside.groupBy(*per, "_d", "_v").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.min("_ranks").alias("_ranks"))
+    before = Window.partitionBy(*per, "_d").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)    # rows: values of a digit
+    at = F.col("_first") + F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))
+    found = inside.withColumn("_at", at).withColumn("_ranks", held(F.col("_ranks"), F.col("_at"), F.col("_n"))).select(
+        *per, "_v", F.inline_outer("_ranks"))
     aggs = []
-    for i in range(len(cols)):
+    for i, c in enumerate(cols):
         out = []
-        for q in qs:
-            pos = (F.col("_total") - 1) * F.lit(float(q))
-            lo, hi = F.floor(pos), F.ceil(pos)
-
-            def at(rank: Column) -> Column:
-                hit = (F.col("_c") == i) & (F.col("_hi") - F.col("_n") <= rank) & (rank < F.col("_hi"))
-                return F.max(F.when(hit, F.col("_v")))
-
-            # the fraction is the same for all rows of a group and column
-            frac = F.max(F.when(F.col("_c") == i, pos - lo))
-            a, b = at(lo), at(hi)
+        for k in range(len(qs)):
+            a, b, frac = (F.max(F.when((F.col("_c") == i) & (F.col("slot") == slot), F.col(x)))
+                          for slot, x in ((2 * k, "_v"), (2 * k + 1, "_v"), (2 * k, "frac")))
             out.append(F.when(a == b, a).otherwise(a * (1 - frac) + b * frac))
-        aggs.append(F.array(*out).alias(cols[i]))
-    got = both.groupBy(*keys).agg(*aggs)
+        aggs.append(F.array(*out).alias(c))
+    got = found.groupBy(*keys).agg(*aggs)
     if not ungrouped:
         return got
-    one = counts.sparkSession.range(1).select(F.col("id").cast("int").alias(keys[0]))
+    one = counts.sparkSession.range(1).select(F.col("id").cast("int").alias("_one"))
     nulls = F.array(*[F.lit(None).cast("double") for _ in qs])
-    return one.join(got, keys[0], "left").select(*[F.coalesce(F.col(c), nulls).alias(c) for c in cols])
+    return one.join(got, F.col(keys[0]) == F.col("_one"), "left").select(*[F.coalesce(F.col(c), nulls).alias(c) for c in cols])
 
 
 def modes(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
