@@ -53,17 +53,20 @@ def value_table(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     return _long(df, cols, by).groupBy(*by, "_c", "_v").agg(F.sum("_n").alias("_n"))
 
 
+def small_groups(df: DataFrame, by: list[str] | None = None) -> bool:
+    """Whether no group has over ``GROUP_ROWS`` rows (one aggregate)."""
+    n = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
+    return (n or 0) <= GROUP_ROWS
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None,
-                    known_groups: int | None = None, bounded: bool | None = None) -> DataFrame:
+                    known_groups: int | None = None, bounded: bool = False) -> DataFrame:
     """Exact quantiles (linear interpolation, nulls ignored) per group: ``by...`` and per column an array of doubles.
 
     Groups without values give nulls; without ``by`` there is one row, whatever the input.  Two plans of one
-    function: where no group has over ``GROUP_ROWS`` rows (counted first unless ``bounded`` says so) its values fit
-    an aggregate's buffer (``percentile``); else they are found by radix selection, which reads ``df`` three
-    times (a caller stages what is dear to compute).  ``known_groups``: a proven bound on the number of groups."""
-    if bounded is None:
-        n = df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()
-        bounded = (n or 0) <= GROUP_ROWS
+    function: radix selection, which reads ``df`` three times (a caller stages what is dear to compute), or,
+    where groups are ``bounded`` (see ``small_groups``), one aggregate that holds the values of a group.
+    ``known_groups``: a proven bound on the number of groups."""
     if bounded:
         nulls = F.array(*[F.lit(None).cast("double") for _ in qs])
         aggs = [F.coalesce(F.percentile(F.col(c).cast("double"), [float(q) for q in qs]), nulls).alias(c) for c in cols]
@@ -100,36 +103,39 @@ def quantiles_of_counts(counts: DataFrame, cols: list[str], qs: list[float], key
     the value between them, whose running sums (over at most 2 ``DIGITS`` + 4 digits) tell the digits
     that hold the wanted ranks; the values of those digits alone, put in order per group and digit."""
     per = [*keys, "_c"]
+
+    def slots() -> list[tuple[Column, Column]]:
+        """For every quantile the two positions around it and the share of the second."""
+        return [(f((F.col("_total") - 1) * F.lit(float(q))).cast("long"), (F.col("_total") - 1) * F.lit(float(q)))
+                for q in qs for f in (F.floor, F.ceil)]
+
+    def holding(rows: DataFrame, first: str, n: str) -> DataFrame:
+        """Rows that hold a wanted rank (or no value at all), with ``_ranks``."""
+        inside = [(r >= F.col(first)) & (r < F.col(first) + F.col(n)) for r, _ in slots()]
+        ranks = F.array(*[F.when(hit, F.struct(F.lit(k).alias("slot"), r.alias("rank"), (pos - F.floor(pos)).alias("frac")))
+                          for k, ((r, pos), hit) in enumerate(zip(slots(), inside))])
+        kept = rows.where(reduce(lambda a, b: a | b, inside) | (F.col(n) == 0))
+        return kept.withColumn("_ranks", F.filter(ranks, lambda r: r.isNotNull()))
+
+    def before(order: str, n: str, *group: str) -> Column:
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(n).over(w), F.lit(0).cast("long"))
+
     finite = F.abs("_v") < float("inf")
     ends = counts.groupBy(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(per)]).agg(
         F.sum("_n").alias("_total"), F.min(F.when(finite, F.col("_v"))).alias("_least"), F.max(F.when(finite, F.col("_v"))).alias("_most"))
-    named = [f"_e{i}" for i in range(len(per))]
-    # a group's row of ends is under 256 bytes, and at most DIGITS digits, or two a quantile, are wanted of it
+    # a group's row of ends is under 256 bytes, and at most two digits a quantile are wanted of it
     few = known_groups is not None and known_groups * len(cols) * len(qs) * 512 <= BROADCAST_MAX_BYTES
     small = F.broadcast if few else lambda x: x
-    digits = counts.join(small(ends), _same(per, named)).withColumn("_d", _digit(F.col("_v"), F.col("_least"), F.col("_most")))
-
-    # Ranks: for every quantile the two positions around it.
-    ranks = []
-    for i, q in enumerate(qs):
-        pos = (F.col("_total") - 1) * F.lit(float(q))
-        ranks += [F.struct(F.lit(2 * i + k).alias("slot"), f(pos).alias("rank"), (pos - F.floor(pos)).alias("frac"))
-                  for k, f in enumerate((F.floor, F.ceil))]
-
-    def held(ranks: Column, first: Column, n: Column) -> Column:
-        return F.filter(ranks, lambda r: (r["rank"] >= first) & (r["rank"] < first + n))
-
-    before = Window.partitionBy(*per).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)          # rows: digits
-    wanted = (digits.groupBy(*per, "_d").agg(F.sum("_n").alias("_m"), F.max("_total").alias("_total"))
-              .withColumn("_first", F.coalesce(F.sum("_m").over(before), F.lit(0).cast("long")))
-              .withColumn("_ranks", held(F.array(*ranks), F.col("_first"), F.col("_m"))).where((F.size("_ranks") > 0) | (F.col("_d") == -2))       # groups without values stay
-              .select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(per)], F.col("_d").alias("_wd"), "_first", "_ranks"))
-    inside = digits.join(small(wanted), _same(per, [f"_w{i}" for i in range(len(per))]) & (F.col("_d") == F.col("_wd")))
-    inside = inside.groupBy(*per, "_d", "_v").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.min("_ranks").alias("_ranks"))
-    before = Window.partitionBy(*per, "_d").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)    # rows: values of a digit
-    at = F.col("_first") + F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))
-    found = inside.withColumn("_at", at).withColumn("_ranks", held(F.col("_ranks"), F.col("_at"), F.col("_n"))).select(
-        *per, "_v", F.inline_outer("_ranks"))
+    digits = counts.join(small(ends), _same(per, [f"_e{i}" for i in range(len(per))])) \
+        .withColumn("_d", _digit(F.col("_v"), F.col("_least"), F.col("_most")))
+    sums = digits.groupBy(*per, "_d").agg(F.sum("_n").alias("_m"), F.max("_total").alias("_total"))
+    wanted = holding(sums.withColumn("_first", before("_d", "_m", *per)), "_first", "_m").select(      # in order: digits
+        *[F.col(k).alias(f"_w{i}") for i, k in enumerate(per)], F.col("_d").alias("_wd"), "_first")
+    rows = digits.join(small(wanted), _same(per, [f"_w{i}" for i in range(len(per))]) & (F.col("_d") == F.col("_wd")))
+    rows = rows.groupBy(*per, "_d", "_v").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.min("_total").alias("_total"))
+    rows = rows.withColumn("_at", F.col("_first") + before("_v", "_n", *per, "_d"))                       # in order: a digit's values
+    found = holding(rows, "_at", "_n").select(*per, "_v", F.inline_outer("_ranks"))
     aggs = []
     for i, c in enumerate(cols):
         out = []

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludex.operators.ordered import exact_quantiles, modes, quantiles_of_counts, running_total, value_table
+from ludex.operators.ordered import exact_quantiles, modes, quantiles_of_counts, running_total, small_groups, value_table
 from ludex.session import cut_lineage, join_small
 
 
@@ -68,7 +68,7 @@ def user_profile_table(df: DataFrame, user: str, cols: list[str], prefix: str =
 def median(df: DataFrame, col: str, by=None) -> DataFrame:
     """A2: exact median with linear interpolation, global or per key."""
     keys = _cols(by) if by else None
-    return exact_quantiles(df, [col], [0.5], keys).select(*(keys or []), F.col(col)[0].alias(f"{col}_median"))
+    return exact_quantiles(df, [col], [0.5], keys, bounded=small_groups(df, keys)).select(*(keys or []), F.col(col)[0].alias(f"{col}_median"))
 
 
 def mode_min(df: DataFrame, col: str, by=None) -> DataFrame:
@@ -79,7 +79,7 @@ def mode_min(df: DataFrame, col: str, by=None) -> DataFrame:
 def quantiles(df: DataFrame, col: str, qs: list[float], by=None) -> DataFrame:
     """A4: exact percentiles (linear interpolation) per group."""
     keys = _cols(by) if by else None
-    base = exact_quantiles(df, [col], qs, keys)
+    base = exact_quantiles(df, [col], qs, keys, bounded=small_groups(df, keys))
     return base.select(*(keys or []),
                        *[F.col(col)[i].alias(f"{col}_q{int(round(q * 100)):02d}") for i, q in enumerate(qs)])
 
@@ -129,7 +129,7 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
                  F.max(c).cast("double").alias(f"{c}__max")]
     wide = df.agg(*aggs).withColumn("_g", F.lit(0))
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(F.lit(0).alias("_g"), *[F.col(c).alias(f"{c}__q") for c in cols])
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], bounded=small_groups(df)).select(F.lit(0).alias("_g"), *[F.col(c).alias(f"{c}__q") for c in cols])
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
                      F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
                      F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("q25"),

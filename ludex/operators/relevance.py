@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludex.operators.ordered import exact_quantiles
+from ludex.operators.ordered import exact_quantiles, small_groups
 from ludex.session import cut_lineage, join_small
 
 EPS = 1e-6  # fixed value: denominator guard of the min-max scaling
@@ -37,7 +37,7 @@ def winsorize(df: DataFrame, col: str, by: str, lo: float = 0.05, hi: float = 0.
               out: str | None = None) -> DataFrame:
     """Clip ``col`` to the per-group [lo, hi] percentiles (linear interpolation); null stays null."""
     out = out or col
-    q = exact_quantiles(df, [col], [lo, hi], [by]).withColumnRenamed(col, "_q")
+    q = exact_quantiles(df, [col], [lo, hi], [by], bounded=small_groups(df, [by])).withColumnRenamed(col, "_q")
     j = df.join(q, by, "left")
     clipped = _clip(F.col(col), F.col("_q")[0], F.col("_q")[1])
     return j.withColumn(out, clipped).drop("_q")
@@ -84,7 +84,7 @@ def relevance(df: DataFrame, item: str = "app_id", playtime: str = "playtime_for
     if winsor is not None:
         lo, hi = winsor
         base = cut_lineage(base)
-        q = exact_quantiles(base, ["_lp", "_la"], [lo, hi], [item])
+        q = exact_quantiles(base, ["_lp", "_la"], [lo, hi], [item], item_count, small_groups(base, [item]))
         stats = base.groupBy(item).agg(
             F.count(F.lit(1)).alias("_n"), (F.max("_la") > 0).alias("_has_ach"))
         stats = stats.join(q.select(item, F.col("_lp").alias("_qp"), F.col("_la").alias("_qa")), item)
