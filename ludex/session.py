@@ -91,6 +91,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (none where it is missing)."""
+    fs, p = _hadoop_path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch stage that nothing reads any more."""
     fs, p = _hadoop_path(spark, path)
