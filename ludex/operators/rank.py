@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ludex.operators.ordered import running_total
 from ludex.session import cut_lineage, ship_package
 
 
@@ -22,11 +23,8 @@ def top_k(df: DataFrame, k: int, order: list[Column], per: str | list[str] | Non
 
 
 # R11 R19 --------------------------------------------------------------------
-# Item vectors are shipped to tasks in blocks of at most this many values
-# (items x dims); the catalogue size is counted first, so every broadcast is
-# bounded whatever the catalogue grows to.
-ITEM_BLOCK_VALUES = 8_000_000
-
+ITEM_BLOCK_VALUES = 4_000_000    # numbers (items x dims) of an item block, one row of the block table
+USER_BLOCK = 2048                # users scored against an item block at once
 
 SCORE_CHUNK_VALUES = 4_000_000   # users x items scores held at once inside a task (32 MB of doubles)
 
@@ -67,101 +65,88 @@ def _topk_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _kernel_topk(item_ids: np.ndarray, item_mat: np.ndarray, k: int, user: str, item: str):
-    order_ids = np.argsort(item_ids, kind="stable")
-    ids = item_ids[order_ids]                 # columns in ascending id order (tie-break)
-    mat = item_mat[order_ids]
-    n = len(ids)
-    chunk = max(1, SCORE_CHUNK_VALUES // max(n, 1))
-
+def _block_topk(k: int):
+    """Per row of a user block and an item block: exact top-k unseen items of every user, ties by item id."""
     def run(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            uid_all = pdf[user].to_numpy()
-            vec_all = pdf["_vec"].to_numpy()
-            seen_all = pdf["_seen"].to_numpy()
-            for lo in range(0, len(pdf), chunk):
-                hi = min(lo + chunk, len(pdf))
-                u = np.stack([np.asarray(v, dtype=float) for v in vec_all[lo:hi]])
-                scores = u @ mat.T
-                rr, cc = [], []
-                for r, seen in enumerate(seen_all[lo:hi]):              # mask seen items
-                    if seen is not None and len(seen):
-                        sv = np.asarray(seen, dtype=ids.dtype)
-                        pos = np.clip(np.searchsorted(ids, sv), 0, n - 1)
-                        pos = pos[ids[pos] == sv]
-                        rr.append(np.full(len(pos), r))
-                        cc.append(pos)
-                if rr:
-                    scores[np.concatenate(rr), np.concatenate(cc)] = -np.inf
-                r_idx, c_idx = _topk_rows(scores, k)
-                if not len(r_idx):
-                    continue
-                rank = np.ones(len(r_idx), dtype="int64")
-                if len(r_idx) > 1:
-                    same = r_idx[1:] == r_idx[:-1]
-                    run_id = np.cumsum(np.concatenate([[0], ~same]))
-                    starts = np.concatenate([[0], np.nonzero(~same)[0] + 1])
-                    rank = np.arange(len(r_idx)) - starts[run_id] + 1
-                yield pd.DataFrame({user: uid_all[lo:hi][r_idx].astype("int64"), item: ids[c_idx].astype("int64"),
-                                    "score": scores[r_idx, c_idx].astype(float), "rank": rank.astype("int64")})
+            for uids, vecs, seen, ids, vectors in pdf[["uids", "vecs", "seen", "items", "vectors"]].itertuples(index=False, name=None):
+                uids, ids = np.asarray(uids, np.int64), np.asarray(ids, np.int64)
+                order = np.argsort(ids, kind="stable")                                   # columns by id: the tie-break
+                ids, mat = ids[order], np.asarray(vectors, float).reshape(len(ids), -1)[order]
+                vecs = np.asarray(vecs, float).reshape(len(uids), -1)
+                chunk = max(1, SCORE_CHUNK_VALUES // len(ids))
+                for lo in range(0, len(uids), chunk):
+                    scores = vecs[lo:lo + chunk] @ mat.T
+                    for r, own in enumerate(seen[lo:lo + chunk]):                         # mask seen items
+                        if own is not None and len(own):
+                            own = np.asarray(own, np.int64)
+                            at = np.clip(np.searchsorted(ids, own), 0, len(ids) - 1)
+                            scores[r, at[ids[at] == own]] = -np.inf
+                    row, at = _topk_rows(scores, k)
+                    yield pd.DataFrame({"uid": uids[lo:lo + chunk][row], "iid": ids[at], "score": scores[row, at]})
     return run
 
 
 def recommend_topk(user_vecs: DataFrame, item_vecs: DataFrame, seen: DataFrame | None, k: int = 10,
                    user: str = "user_id", item: str = "app_id", vec: str = "features",
-                   block_values: int = ITEM_BLOCK_VALUES) -> DataFrame:
-    """R11 + R19: exact top-k unseen items per user by dot-product score.
-
-    No candidate pairs are materialised (no cross join): the catalogue is
-    counted and split into hash blocks whose size is bounded by
-    ``block_values``; each block is broadcast to a ``mapInPandas`` pass over
-    the users (batched matrix product, seen items masked, exact top-k with
-    ties broken by item id).  Seen items are listed per (user, block), so a
-    list never exceeds one block's items, however many rows a user has.  The
-    per-block winners (k per block per user) are merged by a per-user
-    ``row_number`` over at most k x blocks rows.
+                   block_values: int = ITEM_BLOCK_VALUES, user_block: int = USER_BLOCK) -> DataFrame:
+    """R11 + R19: exact top-k unseen items per user by dot-product score; ties go to the smaller item id.
+
+    No candidate pairs are materialised and no vector passes the driver: items are sorted by the norm of
+    their vector into blocks of at most ``block_values`` numbers, users gathered in blocks of about
+    ``user_block``; Spark joins user blocks to item blocks, and a kernel scores a pair of blocks by one
+    matrix product, keeping k items a user.  The block of the longest vectors is scored for all users first.  An
+    item of another block scores at most |user| x that block's largest norm, so a user meets only the
+    blocks that can still beat the k-th score (those norms, one number a block, are all the driver holds).  Seen items
+    are listed per (user, item block); the k winners per block are merged per user.  A null vector or id is no
+    candidate; no items or no users give no rows.
     """
     spark = user_vecs.sparkSession
     ship_package(spark)
-    n_items = item_vecs.count()
-    first = item_vecs.select(F.size(vec)).first()
-    dim = int(first[0]) if first else 1
-    n_blocks = max(1, int(np.ceil(n_items * max(dim, 1) / block_values)))
-    blk = (lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))) if n_blocks > 1 else (lambda c: F.lit(0))
-    users = user_vecs.select(F.col(user).cast("long").alias(user), F.col(vec).alias("_vec"))
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    items, users = (df.select(F.col(key).cast("long").alias(name), F.col(vec).alias("vec"), norm.alias("norm")).where(f"{name} is not null and vec is not null")
+                    for df, key, name in ((item_vecs, item, "iid"), (user_vecs, user, "uid")))
+    size = items.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    per_block = max(1, block_values // max(size[1] or 1, 1))
+    n_blocks = -(-size[0] // per_block)
     if n_blocks > 1:
-        users = cut_lineage(users)   # read once per item block
+        users = cut_lineage(users)
+        at = running_total(items.withColumn("_one", F.lit(1).cast("long")), [F.desc("norm"), F.asc("iid")], "_one", "_pos")
+        items = cut_lineage(at.select("iid", "vec", "norm", F.floor((F.col("_pos") - 1) / per_block).cast("int").alias("blk")))
+    else:
+        items = items.withColumn("blk", F.lit(0))
+    packed = items.groupBy("blk").agg(F.collect_list(F.struct("iid", "vec")).alias("x"), F.max("norm").alias("top")) \
+        .select("blk", "top", F.col("x.iid").alias("items"), F.flatten("x.vec").cast("array<double>").alias("vectors"))
     lists = None
     if seen is not None:
-        s = seen.select(F.col(user).cast("long").alias(user), F.col(item).cast("long").alias(item))
-        lists = s.groupBy(user, blk(F.col(item)).alias("_blk")).agg(F.collect_list(item).alias("_seen"))
-    parts = []
-    for b in range(n_blocks):
-        items_b = item_vecs.filter(blk(F.col(item)) == b) if n_blocks > 1 else item_vecs
-        rows = items_b.select(F.col(item).cast("long"), F.col(vec)).collect()   # bounded by block_values
-        if not rows:
-            continue
-        ids = np.asarray([r[0] for r in rows], dtype="int64")
-        mat = np.asarray([np.asarray(r[1], dtype=float) for r in rows], dtype=float)
-        bc = spark.sparkContext.broadcast((ids, mat))
-        if lists is not None:
-            ub = users.join(lists.filter(F.col("_blk") == b).drop("_blk"), user, "left")
-        else:
-            ub = users.withColumn("_seen", F.lit(None).cast("array<long>"))
-
-        def run(batches, bc=bc):
-            ids_, mat_ = bc.value
-            yield from _kernel_topk(ids_, mat_, k, user, item)(batches)
-        parts.append(ub.mapInPandas(run, f"{user} long, {item} long, score double, rank long"))
-    if len(parts) == 1:
-        return parts[0]            # exact top-k already: no merge shuffle
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy(user).orderBy(F.desc("score"), F.asc(item))
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+        s = seen.select(F.col(user).cast("long").alias("uid"), F.col(item).cast("long").alias("iid"))
+        s = s.join(items.select("iid", "blk"), "iid") if n_blocks > 1 else s.withColumn("blk", F.lit(0))
+        lists = s.groupBy("uid", "blk").agg(F.collect_list("iid").alias("seen"))
+
+    def scored(pairs: DataFrame, items: DataFrame) -> DataFrame:
+        """Winners of ``uid, vec, blk`` rows against the rows of their item blocks."""
+        pairs = pairs.join(lists, ["uid", "blk"], "left") if lists is not None else pairs.withColumn("seen", F.lit(None).cast("array<long>"))
+        part = F.floor(F.monotonically_increasing_id() / user_block)             # runs of rows of a task: any split will do
+        blocks = pairs.groupBy("blk", part.alias("ublk")).agg(F.collect_list(F.struct("uid", "vec", "seen")).alias("u"))
+        rows = blocks.join(items, "blk").select(F.col("u.uid").alias("uids"), F.flatten("u.vec").cast("array<double>").alias("vecs"), F.col("u.seen").alias("seen"),
+                                                 "items", "vectors")
+        return rows.mapInPandas(_block_topk(k), "uid long, iid long, score double")
+
+    packed = cut_lineage(packed) if n_blocks > 1 else packed
+    # one row of at most ``block_values`` numbers is broadcast; a later block that many users meet is a skewed key of
+    # a sort-merge join, which AQE splits on the users' side
+    best = scored(users.select("uid", "vec", F.lit(0).alias("blk")), F.broadcast(packed.where("blk = 0")))
+    if n_blocks > 1:
+        best = cut_lineage(best)
+        kth = best.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth")).where(F.col("_n") >= k).drop("_n")
+        tops = F.array(*[F.struct(F.lit(r.blk).alias("blk"), F.lit(r.top * (1 + 1e-9)).alias("top"))
+                         for r in packed.where("blk > 0").select("blk", "top").collect()])
+        open_ = F.filter(tops, lambda b: F.col("_kth").isNull() | (F.col("norm") * b["top"] >= F.col("_kth")))
+        rest = users.join(kth, "uid", "left").select("uid", "vec", F.explode(F.transform(open_, lambda b: b["blk"])).alias("blk"))
+        best = best.unionByName(scored(rest, packed))
+    ranked = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc("iid"))
+    return best.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= k) \
+        .select(F.col("uid").alias(user), F.col("iid").alias(item), "score", "rank")
 
 
 def format_recommendations(recs: DataFrame, names: DataFrame, item: str = "app_id",

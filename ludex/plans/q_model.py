@@ -161,30 +161,20 @@ def q_als_ndcg(spark, d):
     return round_doubles(alsmod.als_ndcg_at_k(recs, truth, 10))
 
 
-@register("als_random_search", "R6 R5 E4 V8")
+SEARCH_SPACE = {"rank": ("choice", [2, 4, 8, 16, 32]), "reg": ("log", 1e-4, 1e-2), "alpha": ("log", 1.0, 20.0)}
+
+
+@register("als_random_search", "R6 R5 E4 V8 E2 R8")
 def q_search(spark, d, trials: int = 30, folds: int = 5, iters: int = 15):
+    """One row per trial: its parameters, mean and population std of the folds' NDCG@10."""
     from ludex.operators.assemble import user_folds
-    r = relevance_table(spark, d)
-    train = alsmod.persist_for_search(user_folds(r.filter(F.col("user_id") % M != 0), k=folds))
-
-    def objective(rank, reg, alpha):
-        scores = []
-        for f in range(folds):
-            fit_rows = train.filter(F.col("fold") != f)
-            val = train.filter(F.col("fold") == f)
-            m = alsmod.ImplicitALS(rank=rank, reg=reg, alpha=alpha, iters=iters).fit(fit_rows)
-            itf = m.item_factors().select("app_id", F.col("features").cast("array<double>").alias("features"))
-            known = val.filter(F.col("app_id") % HOLD_MOD != 0)
-            truth = val.filter(F.col("app_id") % HOLD_MOD == 0)
-            uvec = alsmod.fold_in(itf, known, rank, reg, alpha)
-            recs = rk.recommend_topk(uvec, itf, known.select("user_id", "app_id"), k=10)
-            scores.append(alsmod.als_ndcg_at_k(recs, truth, 10).first()["ndcg_at_k"] or 0.0)
-        return sum(scores) / len(scores)
-
-    space = {"rank": ("choice", [2, 4, 8, 16, 32]), "reg": ("log", 1e-4, 1e-2), "alpha": ("log", 1.0, 20.0)}
-    res = alsmod.random_search(space, trials, objective)
-    return spark.createDataFrame([(x["trial"], int(x["rank"]), x["reg"], x["alpha"], x["score"]) for x in res],
-                                 "trial int, rank int, reg double, alpha double, score double")
+    r = relevance_table(spark, d).filter(F.col("user_id") % M != 0).select("user_id", "app_id", "relevance_score")
+    train = alsmod.persist_for_search(user_folds(r, k=folds))
+    parts = [alsmod.SearchFold(train, f, F.col("app_id") % HOLD_MOD == 0) for f in range(folds)]
+    res = alsmod.random_search(SEARCH_SPACE, trials, lambda rank, reg, alpha: [p.score(rank, reg, alpha, iters) for p in parts])
+    rows = [(x["trial"], f, int(x["rank"]), x["reg"], x["alpha"], s) for x in res for f, s in enumerate(x["scores"])]
+    scores = spark.createDataFrame(rows, "trial int, fold int, rank int, reg double, alpha double, score double")
+    return ev.fold_summary(scores, "score", ["trial", "rank", "reg", "alpha"])
 
 
 # ------------------------------------------------------------------ rankers

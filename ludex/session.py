@@ -111,7 +111,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def drop_stage(*stages: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote, when its last reader is done."""
+    for df in stages:
+        drop_path(df.sparkSession, df.stage_path)
 
 
 def _row_bytes(schema: T.StructType) -> int:
