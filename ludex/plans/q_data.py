@@ -39,6 +39,17 @@ def q_json_lines(spark, d):
     return round_doubles(io.read_json_lines(spark, path, c.schema))
 
 
+@register("json_array_capped", "S2", """
+SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderpriority
+FROM orders ORDER BY o_orderkey LIMIT (SELECT (count(*) * 2) // 3 FROM orders)""")
+def q_json_array(spark, d):
+    """All orders written as JSON array files, read back by byte ranges up to a cap on the records."""
+    o = fx.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    path = scratch_path(spark, "json-arrays")
+    io.write_json_arrays(o, path, ["o_orderkey"])
+    return round_doubles(io.read_json_array(spark, path, o.schema, max_records=o.count() * 2 // 3))
+
+
 @register("csv_typed_subset_roundtrip", "S3", """
 SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice FROM orders""")
 def q_csv(spark, d):
