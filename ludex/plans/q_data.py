@@ -96,6 +96,23 @@ def q_page_links(spark, d):
     return links.select("link", F.regexp_extract("link", r"^/([^/?#]+)", 1).alias("kind"))
 
 
+@register("profile_links", "S8", r"""
+WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(
+  'see <a href="https://players.example/' || CASE WHEN page_id % 3 = 0 THEN 'id/p' || page_id % 50 WHEN page_id % 3 = 1
+    THEN 'profiles/' || lpad(CAST(page_id % 70 AS VARCHAR), 17, '7') ELSE 'profiles/' || page_id END || '">x</a> ' || html,
+  'https?://players\.example/(?:id|profiles)/[^/"''<>\s]+')) AS link FROM pages)
+SELECT link, split_part(link, '/', 4) AS kind, split_part(link, '/', 5) AS profile FROM l
+WHERE split_part(link, '/', 4) = 'id' OR regexp_matches(split_part(link, '/', 5), '^[0-9]{17}$')""")
+def q_profile_links(spark, d):
+    """Profile links of pages that each begin with one (some repeated, some with an id that is not valid)."""
+    from ludex.sources.ingest import extract_profile_links
+    n = F.col("page_id")
+    path = F.when(n % 3 == 0, F.concat(F.lit("id/p"), n % 50)).when(n % 3 == 1, F.concat(F.lit("profiles/"), F.lpad((n % 70).cast("string"), 17, "7"))) \
+        .otherwise(F.concat(F.lit("profiles/"), n))
+    p = fx.table(spark, d, "pages").select(F.concat(F.lit('see <a href="https://players.example/'), path, F.lit('">x</a> '), "html").alias("html"))
+    return extract_profile_links(p, "players.example")
+
+
 URL_RE = r"^https?://([^/]+)/([a-z]{2})/([0-9]+)"
 
 
@@ -161,8 +178,9 @@ def q_user_location(spark, d):
 
 @register("attach_embeddings_default", "J3 P30", fx.cte(inter=I) + """
 SELECT i.user_id, i.app_id,
-       round(CASE WHEN e.embedding IS NOT NULL AND len(e.embedding) = 64 THEN CAST(e.embedding[1] AS DOUBLE) ELSE 0.0 END, 6) AS emb_0,
-       CASE WHEN e.embedding IS NOT NULL AND len(e.embedding) = 64 THEN 64 ELSE 64 END AS emb_len,
+       """ + ", ".join(f"round(CASE WHEN len(e.embedding) = 64 THEN CAST(e.embedding[{k + 1}] AS DOUBLE) ELSE 0.0 END, 6) AS emb_{k}"
+                         for k in range(64)) + """,
+       64 AS emb_len,
        e.embedding IS NOT NULL AS hit
 FROM inter i LEFT JOIN embeddings e ON i.app_id % 500 = e.vec_id AND i.user_id % 10 = e.label""")
 def q_attach_emb(spark, d):
@@ -171,7 +189,7 @@ def q_attach_emb(spark, d):
     e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("slot"), "label", "embedding")
     hit = i.join(e.select("slot", "label").withColumn("hit", F.lit(True)), ["slot", "label"], "left")
     j = asm.attach_embeddings(hit, e, ["slot", "label"], "embedding", 64)
-    return round_doubles(j.select("user_id", "app_id", F.col("embedding")[0].cast("double").alias("emb_0"),
+    return round_doubles(j.select("user_id", "app_id", *[F.col("embedding")[k].cast("double").alias(f"emb_{k}") for k in range(64)],
                                   F.size("embedding").alias("emb_len"),
                                   F.coalesce(F.col("hit"), F.lit(False)).alias("hit")))
 
@@ -301,6 +319,8 @@ def q_value_counts_scalar(spark, d):
     return pf.value_counts(fx.games(spark, d), "game_type")
 
 
+SKEW_FROM = [("orders", "o_totalprice"), ("customer", "c_acctbal"), ("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"),
+             ("events", "value"), ("documents", "n_chars")]
 SKEW_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -310,6 +330,15 @@ def q_skew(spark, d):
     return round_doubles(pf.skew_table(fx.table(spark, d, "lineitem"), SKEW_COLS))
 
 
+@register("skewed_columns", "N5", "SELECT column_name FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, skewness({c}) AS s FROM {t}" for t, c in SKEW_FROM) + ") WHERE abs(s) > 0.5")
+def q_skewed(spark, d):
+    """Columns of orders and of their customers' balances whose skewness says that they want a power transform."""
+    from ludex.operators.scale import skewed_columns
+    names = [n for t, c in SKEW_FROM for n in skewed_columns(fx.table(spark, d, t).select(c), [c], 0.5)]
+    return spark.createDataFrame([(n,) for n in names], "column_name string")
+
+
 @register("mean_std_table", "A13", "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lineitem"
     for c in SKEW_COLS))
@@ -369,8 +398,7 @@ def q_min_rows(spark, d):
 
 @register("max_list_length", "A22", fx.cte(g=G) + "SELECT CAST(max(len(game_genres)) AS INTEGER) AS pad_width FROM g")
 def q_max_len(spark, d):
-    g = fx.games(spark, d)
-    return g.agg(F.coalesce(F.max(F.size("game_genres")), F.lit(0)).alias("pad_width"))
+    return spark.range(1).select(F.lit(pf.max_list_length(fx.games(spark, d), "game_genres")).alias("pad_width"))
 
 
 # ------------------------------------------------------------------ set ops / reshape

@@ -67,7 +67,8 @@ def q_pref_dist(spark, d):
 @register("embedding_genre_level_table", "V4 J4 P29 P30 P31", REL_G + """,
 iv AS (SELECT p_partkey AS app_id, CAST(e.embedding AS DOUBLE[]) AS v
        FROM part JOIN embeddings e ON e.vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
-uvec AS (SELECT user_id, avg(v[1]) AS ux, avg(v[2]) AS uy FROM inter JOIN iv USING (app_id) GROUP BY user_id)
+uvec AS (SELECT user_id, """ + ", ".join(f"avg(v[{k + 1}]) AS u{k}" for k in range(64)) + """
+         FROM inter JOIN iv USING (app_id) GROUP BY user_id)
 SELECT f.user_id, f.app_id, game_genres[1] AS main_genre,
   CASE WHEN relevance_score > -0.00001 AND relevance_score <= 0.00001 THEN 'None'
        WHEN relevance_score > 0.00001 AND relevance_score <= 0.2 THEN 'very low'
@@ -75,17 +76,16 @@ SELECT f.user_id, f.app_id, game_genres[1] AS main_genre,
        WHEN relevance_score > 0.4 AND relevance_score <= 0.6 THEN 'medium'
        WHEN relevance_score > 0.6 AND relevance_score <= 0.8 THEN 'high'
        WHEN relevance_score > 0.8 AND relevance_score <= 1.0 THEN 'very high' END AS relevance_level,
-  round(relevance_score, 6) AS relevance_score, round(iv.v[1], 6) AS game_emb_0, round(iv.v[2], 6) AS game_emb_1,
-  round(ux, 6) AS user_emb_0, round(uy, 6) AS user_emb_1
+  round(relevance_score, 6) AS relevance_score,
+""" + ", ".join(f"round(iv.v[{k + 1}], 6) AS game_emb_{k}, round(u{k}, 6) AS user_emb_{k}" for k in range(64)) + """
 FROM f JOIN iv USING (app_id) JOIN uvec USING (user_id)""")
 def q_embedding_table(spark, d):
     f = facts(spark, d)
     items = item_vectors(spark, d)
     i = fx.interactions(spark, d).select("user_id", "app_id")
-    uv = mean_vectors(i, items).select("user_id", F.slice("features", 1, 2).alias("user_emb"))
-    # the reference's factors are 2-wide; the fixture vectors are cut to their first two dimensions
-    emb = i.join(items.select("app_id", F.slice("features", 1, 2).alias("game_emb")), "app_id").join(uv, "user_id")
-    return round_doubles(ex.embedding_table(f, emb, ["user_id", "app_id"], "game_genres", "relevance_score"))
+    uv = mean_vectors(i, items).select("user_id", F.col("features").alias("user_emb"))
+    emb = i.join(items.select("app_id", F.col("features").alias("game_emb")), "app_id").join(uv, "user_id")
+    return round_doubles(ex.embedding_table(f, emb, ["user_id", "app_id"], "game_genres", "relevance_score", dim=64))
 
 
 @register("pca_two_components", "V5")

@@ -204,6 +204,21 @@ def q_ranker(spark, d):
     return spark.createDataFrame(rows, "iteration int, loss double, ln2 double")
 
 
+@register("ranker_learning_curves", "V8 R16 R5")
+def q_curves(spark, d, folds: int = 3, iters: int = 6):
+    """Loss per fold and iteration of the pairwise ranker, each fold's users left out once, as a table."""
+    from ludex.operators.assemble import user_folds
+    from ludex.operators.explore import curves
+    from ludex.session import cut_lineage
+    f = cut_lineage(user_folds(ranker_frame(spark, d).filter(F.col("user_id") % M != 0), k=folds))
+    rows = []
+    for k in range(folds):
+        pr = rk.PairwiseRanker(iters=iters).fit(f.filter(F.col("fold") != k), "user_id", RANK_FEATURES, "relevance_score", key="app_id")
+        held = ev.ranknet_loss(pr.score(f.filter(F.col("fold") == k)), "user_id", "score", "relevance_score", key="app_id").first()
+        rows += [(k, i, float(v), float(held["ranknet_loss"]) if i == len(pr.history) - 1 else None) for i, v in enumerate(pr.history)]
+    return curves(spark, rows)
+
+
 def tabular_frame(spark, d):
     """Fact rows with game, user and list columns for the tree model (R18 input)."""
     r = relevance_table(spark, d).select("user_id", "app_id", "relevance_score", "price_mean")
@@ -314,12 +329,12 @@ words AS (SELECT DISTINCT unnest(game_genres) AS w FROM tr),
 med AS (SELECT median(user_latitude) AS mlat, median(user_longitude) AS mlon, min(created_year) AS y0 FROM tr),
 trc AS (SELECT DISTINCT coalesce(country, 'Missing') AS cc,
                CASE WHEN dev0 IN (SELECT d FROM devtop) THEN dev0 ELSE 'Other' END AS dev, game_type FROM tr),
-iv AS (SELECT p_partkey AS app_id, CAST(e.embedding[1] AS DOUBLE) AS e0, CAST(e.embedding[2] AS DOUBLE) AS e1
+iv AS (SELECT p_partkey AS app_id, CAST(e.embedding AS DOUBLE[]) AS v
        FROM part JOIN embeddings e ON e.vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
 x AS (SELECT te.*, coalesce(te.country, 'Missing') AS cc0,
              CASE WHEN dev0 IN (SELECT d FROM devtop) THEN dev0 ELSE 'Other' END AS dev1,
              coalesce(user_latitude, mlat) AS lat, coalesce(user_longitude, mlon) AS lon, created_year - y0 AS yrs,
-             coalesce(iv.e0, 0.0) AS e0, coalesce(iv.e1, 0.0) AS e1
+             iv.v
       FROM te LEFT JOIN iv USING (app_id), med),
 y AS (SELECT x.*,
         CASE WHEN cc0 IN (SELECT cc FROM trc) THEN cc0 WHEN 'Other' IN (SELECT cc FROM trc) THEN 'Other'
@@ -336,8 +351,7 @@ SELECT user_id, app_id, feature, round(num_value, 6) AS num_value, str_value FRO
   UNION ALL SELECT user_id, app_id, 'game_initial_price', game_initial_price, NULL FROM y
   UNION ALL SELECT user_id, app_id, 'user_latitude', lat, NULL FROM y
   UNION ALL SELECT user_id, app_id, 'user_longitude', lon, NULL FROM y
-  UNION ALL SELECT user_id, app_id, 'game_emb_0', e0, NULL FROM y
-  UNION ALL SELECT user_id, app_id, 'game_emb_1', e1, NULL FROM y
+  UNION ALL SELECT user_id, app_id, 'game_emb_' || k, coalesce(v[k + 1], 0.0), NULL FROM y, range(64) AS r(k)
   UNION ALL SELECT user_id, app_id, 'created_years_since', CAST(yrs AS DOUBLE), NULL FROM y
   UNION ALL SELECT user_id, app_id, 'tag_' || w, CAST(list_contains(game_genres, w) AS DOUBLE), NULL FROM y, tagtop
   UNION ALL SELECT user_id, app_id, 'genre_' || w, CAST(list_contains(game_genres, w) AS DOUBLE), NULL FROM y, words
@@ -353,8 +367,8 @@ def q_tabular(spark, d):
     from ludex.operators.features import TabularFeatures
     f = tabular_frame(spark, d)
     train, test = f.filter(F.col("user_id") % M != 0), f.filter(F.col("user_id") % M == 0)
-    emb = item_vectors(spark, d).select("app_id", F.slice("features", 1, 2).cast("array<float>").alias("game_emb"))
-    tf = TabularFeatures(drop=["price_mean"]).fit(train, emb)
+    emb = item_vectors(spark, d).select("app_id", F.col("features").cast("array<float>").alias("game_emb"))
+    tf = TabularFeatures(drop=["price_mean"], emb_dim=VECTOR_DIM).fit(train, emb)
     out = tf.apply(test)
     keys = ["user_id", "app_id"]
     num = [c.name for c in out.schema.fields if c.name not in keys and not isinstance(c.dataType, T.StringType)]
