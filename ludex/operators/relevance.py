@@ -87,8 +87,9 @@ def relevance(df: DataFrame, item: str = "app_id", playtime: str = "playtime_for
         q = exact_quantiles(base, ["_lp", "_la"], [lo, hi], [item], item_count, small_groups(base, [item]))
         stats = base.groupBy(item).agg(
             F.count(F.lit(1)).alias("_n"), (F.max("_la") > 0).alias("_has_ach"))
-        stats = stats.join(q.select(item, F.col("_lp").alias("_qp"), F.col("_la").alias("_qa")), item)
-        p_lo, p_hi, a_lo, a_hi = F.col("_qp")[0], F.col("_qp")[1], F.col("_qa")[0], F.col("_qa")[1]
+        ends = {"_plo": "_lp", "_phi": "_lp", "_alo": "_la", "_ahi": "_la"}
+        stats = stats.join(q.select(item, *[F.col(c)[i % 2].alias(name) for i, (name, c) in enumerate(ends.items())]), item)
+        p_lo, p_hi, a_lo, a_hi = map(F.col, ends)
     else:
         stats = base.groupBy(item).agg(
             F.count(F.lit(1)).alias("_n"), (F.max("_la") > 0).alias("_has_ach"),

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest fitted / dimension table (estimated bytes: driver-known rows times the
-# width of its schema) that is ever broadcast by hint.  Anything larger, or of
+# Largest fitted / dimension table (driver-known rows, measured bytes of its
+# variable-width columns) that is ever broadcast by hint.  Anything larger, or of
 # unknown size, is left to AQE, which measures the shuffled side at runtime and
 # either turns the join into a broadcast join (below
 # spark.sql.adaptive.autoBroadcastJoinThreshold) or keeps a sort-merge join with
@@ -122,10 +122,18 @@ def drop_stage(*stages: DataFrame) -> None:
         drop_path(df.sparkSession, df.stage_path)
 
 
-def _row_bytes(schema: T.StructType) -> int:
-    return 16 + sum(f.dataType.defaultSize() if hasattr(f.dataType, "defaultSize") else
-                    8 * 64 if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else
-                    64 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in schema.fields)
+_VARIABLE = (T.ArrayType, T.MapType, T.StructType, T.StringType, T.BinaryType)
+
+
+def _table_bytes(df: DataFrame, rows: int) -> int:
+    """Bytes of a table of ``rows`` rows: 16 a row and 8 a column of fixed width; columns of variable width are measured."""
+    wide = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, _VARIABLE)]
+    size = rows * (16 + 8 * len(df.columns))
+    if wide and size <= BROADCAST_MAX_BYTES:
+        text = [c if isinstance(df.schema[i].dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))
+                for i, c in zip([f.name for f in df.schema.fields if isinstance(f.dataType, _VARIABLE)], wide)]
+        size += df.agg(sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text), F.lit(0))).first()[0]
+    return size
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "left",
@@ -133,11 +141,11 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "left",
                max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Join ``right`` (a fitted or dimension table) onto ``left``.
 
-    ``right`` is broadcast only when the caller knows its row count and rows
-    times row width is within ``max_bytes``; otherwise the strategy is left to
+    ``right`` is broadcast only when the caller knows its row count and its
+    measured size is within ``max_bytes``; otherwise the strategy is left to
     AQE's runtime size check, with sort-merge + skew splitting beyond it.
     """
-    if known_rows is not None and known_rows * _row_bytes(right.schema) <= max_bytes:
+    if known_rows is not None and _table_bytes(right, known_rows) <= max_bytes:
         right = F.broadcast(right)
     return left.join(right, on, how)
 

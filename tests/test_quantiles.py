@@ -69,3 +69,10 @@ def test_infinite_values(spark):
     df = spark.createDataFrame([(inf,), (1.0,), (-inf,), (2.0,), (3.0,)], "x double")
     for bounded in (True, False):
         assert ordered.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 1.0], bounded=bounded).first().x == [-inf, 1.0, 2.0, inf]
+
+
+def test_broadcast_sizes_are_measured(spark):
+    from ludex.session import _table_bytes
+    long = spark.createDataFrame([(k, "x" * 10_000, [1.0] * 100) for k in range(20)], "k long, s string, a array<double>")
+    assert _table_bytes(long, 20) > 200_000 and _table_bytes(long.select("k"), 20) == 20 * 24
+    assert _table_bytes(long.limit(0), 0) == 0
