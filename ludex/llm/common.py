@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +55,35 @@ def drop_stages(*stages: DataFrame) -> None:
         stages[0].sparkSession._jvm.System.gc()
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with up to ``limit`` bytes in a string or binary column, or one longer row."""
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(int(np.searchsorted(sizes, sizes[lo] + limit, "right")) - 1, lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system (workers outlive their tasks)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):        # another C library
+        pass
+
+
+def giving_back(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A ``mapIn...`` kernel that gives memory back when its task's rows are done."""
+    @functools.wraps(kernel)
+    def run(batches: Iterator) -> Iterator:
+        yield from kernel(batches)
+        give_back()
+    return run
+
+
 def join_hot(facts: DataFrame, dim: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``facts`` to the one ``dim`` row of its key (nulls match); ``dim[size]`` is the key's rows in ``facts``.
 

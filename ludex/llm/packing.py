@@ -18,6 +18,11 @@ written token stage.  The driver sees one row per source: a source is a queue
 of the mixture, so their number is a setting, not data; the hot source is
 spread over all tasks like any other, as nothing is grouped by source but sums.
 
+A worker remembers the ids of short pieces in at most ``CACHE_BYTES`` (twice, with
+the generation before); texts are taken ``CHUNK_CHARS`` bytes at once, ids ``IDS_BYTES``
+at once, and freed memory is given back when a task ends.  A very long text
+without blanks is one piece, encoded whole and not remembered.
+
 Null texts are empty documents (the end id alone), null sources are a queue of
 their own, repeated ids are packed one by one, an empty table gives no pieces.
 """
@@ -38,13 +43,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludex.llm.common import col, stage
+from ludex.llm.common import byte_slices, col, giving_back, stage
 
 SIZE = 4096
 END_ID = 2                # fixed value: id after each document
 SCALE = 1 << 16
-CACHE_WORDS = 350_000
+CACHE_BYTES = 28 << 20    # of a worker's memory of pieces, and of the generation before it
+CACHE_PIECE = 64          # longer pieces are not remembered
+CACHE_SEEN = 1 << 21      # places of the filter that keeps pieces out that came once
 CHUNK_CHARS = 4 << 20
+IDS_BYTES = 4 << 20       # ids that are cut at once
 
 
 # Bytes as the printable characters that byte-level vocabularies use: printable Latin-1 stands for itself, the rest from U+0100 on.
@@ -58,20 +66,29 @@ _KIND = np.array([1 if chr(c) in ".," else 0 if (chr(c).isalpha() and c != 0x130
 
 
 class _Pieces(dict):
-    """Blank-separated pieces -> ids, filled on demand; the last two generations of ``CACHE_WORDS`` are kept."""
+    """Blank-separated pieces -> ids, filled when a piece comes again; the last two generations of ``CACHE_BYTES`` are kept."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.held, self.seen, self.once = make, {}, 0, bytearray(CACHE_SEEN), 0
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
             got = self.make(piece)
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = got
+            place = hash(piece) % CACHE_SEEN
+            if not self.seen[place]:                         # most different pieces come once
+                self.seen[place], self.once = 1, self.once + 1
+                if 2 * self.once > CACHE_SEEN:
+                    self.seen, self.once = bytearray(CACHE_SEEN), 0
+                return got
+        if len(piece) <= CACHE_PIECE:
+            size = 200 + len(piece) + len(got)               # with the two objects and their place
+            if self.held + size > CACHE_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self.held += size
+            self[piece] = got
         return got
 
 
@@ -184,20 +201,20 @@ def tokens_of(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer_pa
                       col(text).cast("string").alias("text"))        # ids as strings: pandas has no null integers
     schema = "doc_id string, queue string, part long, before long, n long, ids binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, sent = tokenizer(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], np.uint16).tobytes()
-        for pdf in batches:
-            for a, b in chunks(pdf["text"].tolist()):
-                some = pdf.iloc[a:b]
-                ids = [x.tobytes() + end for x in tok.encode(some["text"].tolist())]
+        for batch in batches:
+            for some in byte_slices(batch, 2, CHUNK_CHARS):
+                ids = [x.tobytes() + end for x in tok.encode(some.column(2).to_pylist())]
                 n, before = [len(x) // 2 for x in ids], []
-                for q, k in zip(some["queue"], n):
+                for q, k in zip(some.column(1).to_pylist(), n):
                     before.append(sent.get(q, 0))
                     sent[q] = before[-1] + k
-                yield pd.DataFrame({"doc_id": some["doc_id"], "queue": some["queue"], "part": part, "before": before, "n": n, "ids": ids})
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(x, pa.int64()) for x in ([part] * len(n), before, n)),
+                                                  pa.array(ids, pa.binary())], ["doc_id", "queue", "part", "before", "n", "ids"])
 
-    return stage(src.mapInPandas(run, schema), "packing-tokens")
+    return stage(src.mapInArrow(giving_back(run), schema), "packing-tokens")
 
 
 def mixture_plan(totals: list[int], weights: list[float] | None, size: int = SIZE) -> list[tuple[int, int, list[int], list[int]]]:
@@ -296,6 +313,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     plan = mixture_plan([n for _, n in sums], weights and [weights.get(q, 0.0) for q, _ in sums], size)
     schema = ("doc_id string, source string, start long, length long, ids_crc32 long, doc_tokens long, "
               "sequence_id long, offset long")
+    pieces = pa.schema([(c, pa.string() if t == "string" else pa.int64()) for c, t in (f.split() for f in schema.split(", "))])
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         queue = rows["queue"].map(lambda q: at[q]).to_numpy()
@@ -320,11 +338,11 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
                              "length": np.concatenate(length), "ids_crc32": crc, "doc_tokens": n[pick], "sequence_id": np.concatenate(seq),
                              "offset": np.concatenate(off)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2000):
-                yield cut(pdf.iloc[lo:lo + 2000].reset_index(drop=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in byte_slices(batch, batch.schema.get_field_index("ids"), IDS_BYTES):
+                yield pa.RecordBatch.from_pandas(cut(some.to_pandas()), pieces, preserve_index=False)
 
     same = F.col("t.queue").eqNullSafe(F.col("p.queue")) & (F.col("t.part") == F.col("p.part"))
     rows = tokens.alias("t").join(parts.alias("p"), same).select("t.doc_id", "t.queue", "p.base", "t.before", "t.n", "t.ids")
-    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
+    return rows.mapInArrow(giving_back(run), schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
