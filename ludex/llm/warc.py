@@ -39,6 +39,7 @@ from ludex.session import scratch_path
 
 MIN_BYTES = 0
 SPLIT_BYTES = 32 << 20
+READ_TASKS = 20_000        # at most; each then reads several ranges
 BLOCK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 HEADER_LIMIT = 1 << 16
@@ -110,9 +111,9 @@ class _Window:
     """Bytes of a file from an offset on, fetched as far as asked for."""
 
     def __init__(self, f, size: int, at: int) -> None:
-        self.f, self.size, self.base, self.data = f, size, at, b""
+        self.f, self.size, self.base, self.data = f, size, at, bytearray()
 
-    def upto(self, end: int) -> bytes:
+    def upto(self, end: int) -> bytearray:
         """Data known at least up to file offset ``end`` (or the end of the file)."""
         end = min(end, self.size)
         have = self.base + len(self.data)
@@ -122,7 +123,8 @@ class _Window:
 
     def drop(self, at: int) -> None:
         """Forget what lies before offset ``at``."""
-        self.data, self.base = self.data[at - self.base:], at
+        del self.data[:at - self.base]
+        self.base = at
 
 
 def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
@@ -215,7 +217,8 @@ def read_archive(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFra
 
     schema = ("path string, offset long, record_type string, page_id string, target_uri string, payload binary, "
               "payload_bytes long, payload_digest string, refers_to string")
-    spread = ranges.repartition(F.xxhash64("path", "begin"))
+    n = ranges.count()                                     # a number, else the tiny rows are coalesced into one task
+    spread = ranges.repartition(max(1, min(n, READ_TASKS)))
     return spread.mapInPandas(read, schema)
 
 

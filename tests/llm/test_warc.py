@@ -4,6 +4,7 @@ import hashlib
 import io
 from collections import Counter
 
+import numpy as np
 import pytest
 from ludex.llm import warc
 from pyspark.sql import functions as F
@@ -91,3 +92,11 @@ def test_empty(spark):
     assert warc.read_archive(warc.write_archive(none)).count() == 0
     only_null = spark.createDataFrame([(None, None, None, None, None)], SCHEMA).withColumn("page_id", F.col("page_id"))
     assert result(warc.read_archive(warc.write_archive(only_null))) == expected([(None, None, None)])
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    """AQE does not put the few rows of the ranges into one task."""
+    rng = np.random.default_rng(1)
+    pages = spark.createDataFrame([(k, "u", rng.bytes(3000).hex()) for k in range(60)], "page_id long, url string, html string").repartition(6)
+    got = warc.read_archive(warc.write_archive(pages), split_bytes=8192).select("page_id", F.spark_partition_id().alias("p"))
+    assert got.select("p").distinct().count() >= 6 and got.count() == 60
