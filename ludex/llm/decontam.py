@@ -66,7 +66,7 @@ class Index:
             rows = list(found)
             self.by_len[n] = np.array([rows[i] for i in at], np.int64), np.array(at, np.int64)
         self.size = {n: min(shingle, n) for n in self.by_len}
-        self.codes = {s: np.unique(np.concatenate([_codes(w, s, len(self.ids)).ravel()
+        self.codes = {s: np.unique(np.concatenate([_codes(w, s).ravel()
                                                    for n, (w, _) in self.by_len.items() if self.size[n] == s]))
                       for s in set(self.size.values())}
         self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -75,7 +75,7 @@ class Index:
         """Rarest shingle of each window (ties: the smaller code, then the first place)."""
         for n, (w, _) in self.by_len.items():
             s = self.size[n]
-            codes = _codes(w, s, len(self.ids))
+            codes = _codes(w, s)
             rank = np.argsort(np.lexsort((self.codes[s], counts[s])))     # code index -> rarity rank
             place = np.argmin(rank[np.searchsorted(self.codes[s], codes)], axis=1)
             key = codes[np.arange(len(w)), place]
@@ -84,14 +84,14 @@ class Index:
             self.prefix[n] = keys, np.stack([first, many]), order, place[order]
 
 
-def _codes(rows: np.ndarray, s: int, base: int) -> np.ndarray:
-    """Shingle codes along the last axis; negative where a word is unknown."""
+def _codes(rows: np.ndarray, s: int) -> np.ndarray:
+    """Shingle codes along the last axis, hashes of 63 bits (occurrences are verified by words); negative where a word is unknown."""
     n = rows.shape[-1] - s + 1
-    code, bad = np.zeros(rows.shape[:-1] + (n,), np.int64), np.zeros(rows.shape[:-1] + (n,), bool)
+    code, bad = np.zeros(rows.shape[:-1] + (n,), np.uint64), np.zeros(rows.shape[:-1] + (n,), bool)
     for k in range(s):
         part = rows[..., k:k + n]
-        code, bad = code * base + part, bad | (part < 0)
-    return np.where(bad, -1, code)
+        code, bad = code * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64), bad | (part < 0)
+    return np.where(bad, -1, (code >> np.uint64(1)).astype(np.int64))
 
 
 def _chunks(texts: pd.Series, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -115,7 +115,7 @@ def _hits(ids: np.ndarray, bounds: np.ndarray, index: Index) -> tuple[np.ndarray
         s = index.size[n]
         if len(ids) < s:
             continue
-        codes = _codes(ids, s, len(index.ids))
+        codes = _codes(ids, s)
         at = np.flatnonzero(codes >= 0)
         near = np.searchsorted(keys, codes[at])
         ok = keys[np.minimum(near, len(keys) - 1)] == codes[at]
@@ -144,7 +144,7 @@ def _count_rarity(docs: DataFrame, text: str, index: Index) -> dict[int, np.ndar
             for _, ids, _ in _chunks(pdf.iloc[:, 0], index):
                 for s, known in index.codes.items():
                     if len(ids) >= s:
-                        codes = _codes(ids, s, len(index.ids))
+                        codes = _codes(ids, s)
                         codes = codes[codes >= 0]
                         near = np.minimum(np.searchsorted(known, codes), len(known) - 1)
                         sums[s] += np.bincount(near[known[near] == codes], minlength=len(known))

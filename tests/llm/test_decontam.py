@@ -3,6 +3,7 @@ from collections import Counter
 
 from corpus import docs, empty_docs, nasty, odd_docs  # noqa: F401
 import brute
+import numpy as np
 import pytest
 from ludex.llm import decontam
 from pyspark.sql import functions as F
@@ -37,8 +38,18 @@ def test_empty_tables(spark, docs, empty_docs, items):
 
 def test_prefix_is_the_rarest_shingle():
     index = decontam.Index([("1", "a b c d e f g h i j")], 10, 3)
-    import numpy as np
+    third = decontam._codes(next(iter(index.by_len.values()))[0][0], 3)[3]
     counts = np.full(8, 9)
-    counts[list(index.codes[3]).index(min(index.codes[3]) + (index.codes[3][3] - index.codes[3][0]))] = 0
+    counts[list(index.codes[3]).index(third)] = 0
     index.choose_prefixes({3: counts})
-    assert index.prefix[10][0][0] == index.codes[3][counts.argmin()] and index.prefix[10][3][0] == counts.argmin()
+    assert index.prefix[10][0][0] == third and index.prefix[10][3][0] == 3
+
+
+def test_more_words_than_fit_an_exact_code():
+    """One item of 2.2 million different words: every window of it is found, from its first to its last words."""
+    words = [f"{k:x}" for k in range(2_200_000)]
+    index = decontam.Index([("1", " ".join(words))], 10, 3)
+    index.choose_prefixes({3: np.zeros(len(index.codes[3]), np.int64)})
+    for first in (0, 1_900_000, 2_000_000, 2_100_000, 2_199_980):
+        (_, ids, bounds), = decontam._chunks([" ".join(words[first:first + 20])], index)
+        assert sorted(decontam._hits(ids, bounds, index)[0].tolist()) == list(range(11))
