@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ludex.llm.common import col, connected_components, fresh, stage
+from ludex.llm.common import col, connected_components, fresh, join_hot, stage
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -203,15 +203,15 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are not read."""
     prints = stage(docs.select(col(doc_id).alias("doc_id"), _row_key(col(doc_id), col(text)).alias("row_key"),
                                fingerprints(col(text), shingle).alias("fp")), "simhash-fp")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     roots = connected_components(near_links(prints, max_bits))
     comp = (least.join(roots.withColumnRenamed("v", "fp"), "fp")
             .groupBy("root").agg(F.min("first").alias("component")))
     members = roots.join(comp, "root").select(F.col("v").alias("fp"), "root", "component")
     named = stage(least.join(members, "fp", "left")
-                  .select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component", "first").alias("component_id")),
+                  .select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component", "first").alias("component_id")),
                   "simhash-classes")
-    return prints.join(named, "fp").select("doc_id", "row_key", "fp", "group", "component_id")
+    return join_hot(prints, named, ["fp"], "n", prints.count()).select("doc_id", "row_key", "fp", "group", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
