@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ludex.llm.common import col
+from ludex.llm.common import col, join_hot
 from ludex.llm.packing import chunks
 from ludex.llm.packing import tokenizer as load
 
@@ -138,7 +138,7 @@ def corpus_totals(docs: DataFrame, folder: str, tokenizer_path: str, tokenizer:
     store.commit(0, changes(every.withColumn("n_tokens", count_tokens(F.col("text"), tokenizer_path)), "insert", tokenizer, doc_id="key"))
     rows = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("sha"))
     first = rows.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = rows.join(first, "sha").where("doc_id > first").withColumn("n_tokens", F.lit(0))
+    copies = join_hot(rows, first, ["sha"], "n", rows.count()).where("doc_id > first").withColumn("n_tokens", F.lit(0))
     store.commit(1, changes(copies, "delete", tokenizer))
     lines = F.split("text", "\n", -1)
     thin = every.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn("thin", F.concat_ws("\n", F.array_distinct(lines)))
