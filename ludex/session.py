@@ -126,9 +126,9 @@ _VARIABLE = (T.ArrayType, T.MapType, T.StructType, T.StringType, T.BinaryType)
 
 
 def _table_bytes(df: DataFrame, rows: int) -> int:
-    """Bytes of a table of ``rows`` rows: 16 a row and 8 a column of fixed width; columns of variable width are measured."""
+    """Bytes of a table of ``rows`` rows: 16 a row, 8 a column of fixed width, 40 and its measured bytes a column of variable width."""
     wide = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, _VARIABLE)]
-    size = rows * (16 + 8 * len(df.columns))
+    size = rows * (16 + 8 * len(df.columns) + 32 * len(wide))
     if wide and size <= BROADCAST_MAX_BYTES:
         text = [c if isinstance(df.schema[i].dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))
                 for i, c in zip([f.name for f in df.schema.fields if isinstance(f.dataType, _VARIABLE)], wide)]
