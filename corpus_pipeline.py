@@ -64,7 +64,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# Model fits, XXH64 fingerprints and tokenizers are beyond SQL; tests/llm holds a brute-force twin.
+# Model fits, XXH64 fingerprints and tokenizers are beyond SQL; tests/llm holds brute-force twins of SimHash, decontamination (both on what the
+# stage before kept), personal data and packing, and held-out accuracy for the toxicity model.
 ORACLE_SQL = None
 
 
