@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ludex.operators.ordered import exact_quantiles, modes, quantiles_of_counts, running_total, small_groups, value_table
+from ludex.operators.ordered import GROUP_ROWS, exact_quantiles, modes, quantiles_of_counts, running_total, small_groups, value_table
 from ludex.session import cut_lineage, join_small
 
 
@@ -173,9 +173,13 @@ def mean_std(df: DataFrame, cols: list[str]) -> DataFrame:
 def cumulative_share(counts: DataFrame, label: str, n: str = "n") -> DataFrame:
     """Running fraction of label counts, largest first (label tie-break).
 
-    Range-partitioned running sum; the total is one scalar."""
-    total = counts.agg(F.sum(n)).first()[0]
-    run = running_total(counts, [F.desc(n), F.asc(label)], n, "cum_share")
+    A running sum in one task where the labels are few (counted with the total), else range-partitioned."""
+    total, labels = counts.agg(F.sum(n), F.count(F.lit(1))).first()
+    order = [F.desc(n), F.asc(label)]
+    if labels <= GROUP_ROWS:
+        run = counts.withColumn("cum_share", F.sum(n).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        run = running_total(counts, order, n, "cum_share")
     return run.withColumn("cum_share", F.col("cum_share") / F.lit(total))
 
 

@@ -76,3 +76,12 @@ def test_broadcast_sizes_are_measured(spark):
     long = spark.createDataFrame([(k, "x" * 10_000, [1.0] * 100) for k in range(20)], "k long, s string, a array<double>")
     assert _table_bytes(long, 20) > 200_000 and _table_bytes(long.select("k"), 20) == 20 * 24
     assert _table_bytes(long.limit(0), 0) == 0
+
+
+def test_shares_by_either_plan(spark, monkeypatch):
+    from ludex.operators import profile
+    counts = spark.createDataFrame([(f"l{k}", (k * 7) % 5 + 1) for k in range(40)], "label string, n long")
+    got = lambda: {r.label: r.cum_share for r in profile.cumulative_share(counts, "label").collect()}
+    few = got()
+    monkeypatch.setattr(profile, "GROUP_ROWS", 10)
+    assert got() == few and max(few.values()) == 1.0
