@@ -250,41 +250,71 @@ def q_gbt(spark, d, max_iter: int = 100):
     return round_doubles(gbt.unionByName(base).withColumn("n_features", F.lit(len(num) + len(cat))))
 
 
-def mlp_inputs(spark, d):
-    """Encoded test rows, the MLP's roles and its weights (seeded, of the reference's shape)."""
+def mlp_rows(spark, d):
+    """Encoded fact rows (train and test users), the MLP's roles and the sizes of its vocabularies, fitted on train."""
     from ludex.functions.clean import flatten_vector
     from ludex.operators import encode as enc
-    f = tabular_frame(spark, d).join(ranker_frame(spark, d).select("user_id", "app_id", *RANK_FEATURES),
-                                     ["user_id", "app_id"])
-    train, test = f.filter(F.col("user_id") % M != 0), f.filter(F.col("user_id") % M == 0)
+    from ludex.session import cut_lineage
+    f = cut_lineage(tabular_frame(spark, d).join(ranker_frame(spark, d).select("user_id", "app_id", *RANK_FEATURES),
+                                                 ["user_id", "app_id"]))
+    train = f.filter(F.col("user_id") % M != 0)
     t_enc, d_enc = enc.LabelEncoder.fit(train, "game_type"), enc.LabelEncoder.fit(
         train.select(F.col("game_developer")[0].alias("dev")), "dev")
     g_enc = enc.ListEncoder.fit(train, "game_genres")
     tags = enc.TopNLabels.fit(train, "game_genres", 5, "tag")
     items = item_vectors(spark, d)
-    uvec = mean_vectors(test.select("user_id", "app_id"), items)      # test users are unseen: vectors from their own rows
-    x = test.withColumn("dev", F.col("game_developer")[0])
+    uvec = mean_vectors(f.select("user_id", "app_id"), items)         # every user's vector comes from the user's own rows
+    x = f.withColumn("dev", F.col("game_developer")[0])
     x = d_enc.apply(t_enc.apply(x), "dev_encoded")
     x = g_enc.apply(x)
     x = tags.apply(x, keep=True)
     tag_cols = [c for c in x.columns if c.startswith("tag_")]
     x = x.join(items.withColumnRenamed("features", "g"), "app_id", "left") \
         .join(uvec.withColumnRenamed("features", "u"), "user_id", "left")
-    x = x.select("user_id", "app_id", "game_type_encoded", "dev_encoded", "game_genres_encoded_padded",
+    x = x.select("user_id", "app_id", "relevance_score", "game_type_encoded", "dev_encoded", "game_genres_encoded_padded",
                  *RANK_FEATURES, *[F.col(c).cast("int").alias(c) for c in tag_cols],
                  *flatten_vector("g", VECTOR_DIM, "game_emb"), *flatten_vector("u", VECTOR_DIM, "user_emb"))
     roles = {"single": ["game_type_encoded", "dev_encoded"], "multi": ["game_genres_encoded_padded"],
              "num": RANK_FEATURES, "bool": tag_cols, "cf": [f"{v}_{i}" for v in ("game_emb", "user_emb") for i in range(VECTOR_DIM)]}
     card = {"game_type_encoded": len(t_enc.state["labels"]) + 1, "dev_encoded": len(d_enc.state["labels"]) + 1,
             "game_genres_encoded_padded": len(g_enc.state["labels"]) + 2}
-    return x, roles, rk.init_mlp(roles, card, seed=42)
+    return x, roles, card
 
 
-@register("mlp_batch_scoring", "R14 F5 C3 C4 C6 P30")
-def q_mlp(spark, d):
-    """Every test row scored by the MLP."""
-    x, roles, w = mlp_inputs(spark, d)
-    return rk.score_mlp(x, roles, w).select("user_id", "app_id", "score")
+def mlp_inputs(spark, d):
+    """Encoded test rows, the MLP's roles and seeded weights of the reference's shape."""
+    x, roles, card = mlp_rows(spark, d)
+    return x.filter(F.col("user_id") % M == 0).drop("relevance_score"), roles, rk.init_mlp(roles, card, seed=42)
+
+
+@register("mlp_ranker_curves", "R16 R14 V8 R5 E1")
+def q_mlp_curves(spark, d, folds: int = 3, epochs: int = 6):
+    """Training loss and held-out NDCG of the MLP ranker: one row per fold and epoch, each fold's users held out once."""
+    from ludex.operators.assemble import user_folds
+    from ludex.operators.explore import curves
+    from ludex.operators.mlp import MLPRanker
+    x, roles, card = mlp_rows(spark, d)
+    m = MLPRanker(roles, card, epochs=epochs).prepare(user_folds(x.filter(F.col("user_id") % M != 0), k=folds),
+                                                     "user_id", "app_id", "relevance_score", "fold")
+    rows = [(k, e, float(loss), float(score)) for k in range(folds) for e, loss, score in m.fit(k).history]
+    m.release()
+    return curves(spark, rows, ("fold", "epoch", "train_loss", "held_ndcg"))
+
+
+@register("mlp_batch_scoring", "R14 R16 F5 C3 C4 C6 P30")
+def q_mlp(spark, d, epochs: int = 4):
+    """Every test row scored by the MLP, with weights that were trained on the train users, saved and loaded."""
+    from ludex.operators.mlp import MLPRanker, fill_inputs, load_mlp, save_mlp
+    from ludex.session import drop_path, scratch_path
+    x, roles, card = mlp_rows(spark, d)
+    m = MLPRanker(roles, card, epochs=epochs).prepare(x.filter(F.col("user_id") % M != 0), "user_id", "app_id", "relevance_score").fit()
+    m.release()
+    path = scratch_path(spark, "mlp-weights")
+    save_mlp(spark, m.weights, path)
+    weights = load_mlp(spark, path)
+    drop_path(spark, path)
+    test = fill_inputs(x.filter(F.col("user_id") % M == 0), roles, m.widths)
+    return rk.score_mlp(test, roles, weights).select("user_id", "app_id", "score")
 
 
 @register("new_user_recommendations", "R13 I7 R2 R9 R8 R11 R19 R10")
