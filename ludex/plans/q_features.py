@@ -410,3 +410,125 @@ def q_zero_var(spark, d):
                                                F.when(F.col("l_quantity") > 0, F.lit(1)).alias("one"))
     zv = set(sc.zero_variance_columns(li, li.columns))
     return spark.createDataFrame([(c, c in zv) for c in li.columns], "column_name string, zero_variance boolean")
+
+
+# ------------------------------------------------------------------ the offline build as one flow
+FLOW_NUMBERS = ["user_account_age_months", "user_latitude", "user_longitude", "game_avg_playtime_forever", "game_released_year",
+                "game_initial_price", "game_current_price", "game_current_discount", "game_popularity", "game_edition"]
+FLOW_MEANS = {"game_popularity": "user_preference_game_popularity", "game_avg_playtime_forever": "user_preference_game_duration",
+              "game_released_year": "user_preference_new_game", "game_initial_price": "user_preference_avg_spent"}
+FLOW_FLAGS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]   # fixed value: part types, the fixture's platforms
+
+
+def flow_steps(power: bool) -> list:
+    """The offline build in its order: encode, user means, impute, scale."""
+    from ludex.operators import flow as fl
+    prices = ["game_initial_price", "game_current_price"]
+    lists = ["game_esrb_rating_*", "game_genres_*", "game_platforms_*"]
+    steps = [fl.OneHotStep("game_esrb_rating"), fl.MultiLabelStep("game_genres", "game_genres"),
+             fl.MultiLabelStep("game_platforms", "game_platforms"),
+             fl.Derive("game_popularity", "(game_estimate_owners_lower + game_estimate_owners_upper) / 2",
+                       ["game_estimate_owners_lower", "game_estimate_owners_upper"]),
+             fl.UserMeans("user_id", FLOW_MEANS, lists), fl.ScaleStep(list(FLOW_MEANS.values()), minmax=True),
+             fl.DropConstant(["game_platforms_*"], zero=True), fl.MedianStep(["game_avg_playtime_forever", "user_account_age_months"]),
+             fl.GroupMedianStep(["user_latitude", "user_longitude"], "user_country_code"), fl.ModeStep(["game_released_year"]),
+             fl.FlagMediansStep(prices, "game_platforms_*"),
+             fl.Derive("game_current_discount", "bround((game_initial_price - game_current_price) / (game_initial_price + 1e-6), 0)", prices),
+             fl.DropConstant(FLOW_NUMBERS)]
+    return [*steps, *([fl.PowerStep(FLOW_NUMBERS)] if power else []), fl.ScaleStep(FLOW_NUMBERS)]
+
+
+def flow_frame(spark, d):
+    """Fact rows with game and user columns, nulls planted by id."""
+    from ludex.functions import clean as cl
+    from ludex.plans.q_relevance import relevance_table
+    def gap(key, mod, c):
+        return F.when(F.col(key) % mod != 0, c)
+
+    k = "p_partkey"
+    g = fx.table(spark, d, "part").select(
+        F.col(k).alias("app_id"), F.split("p_name", " ").alias("game_genres"),
+        F.when((F.col("p_size") % 3 == 0) & (F.col("p_type") != "PROMO"), F.array("p_type", F.lit("PROMO")))
+        .otherwise(F.array("p_type")).alias("game_platforms"),
+        gap(k, 10, F.col("p_brand")).alias("game_esrb_rating"), (F.col("p_size") * 1000).alias("game_estimate_owners_lower"),
+        (F.col("p_size") * 2000).alias("game_estimate_owners_upper"), gap(k, 6, F.col("p_size").cast("double")).alias("game_avg_playtime_forever"),
+        gap(k, 9, F.lit(1980) + F.col("p_size") % 30).alias("game_released_year"), gap(k, 7, F.col("p_retailprice")).alias("game_initial_price"),
+        gap(k, 4, F.col("p_retailprice") * 0.4).alias("game_current_price"), F.lit(1).alias("game_edition"))
+    u = fx.users(spark, d).select(
+        "user_id", F.coalesce(gap("user_id", 13, F.col("user_country_code")), F.lit(cl.MISSING)).alias("user_country_code"), "user_latitude",
+        "user_longitude", gap("user_id", 17, cl.age_months("user_created", fx.AS_OF)).alias("user_account_age_months"))
+    r = relevance_table(spark, d).select("user_id", "app_id", "relevance_score")
+    return r.join(g, "app_id").join(u, "user_id", "left")
+
+
+def _flow_sql() -> str:
+    from ludex.plans.q_relevance import RELEVANCE_SQL_BODY
+    chain = ""
+    for i, w in enumerate(FLOW_FLAGS):
+        fills = ", ".join(f"coalesce({c}, CASE WHEN list_contains(platforms, '{w}') THEN (SELECT median({c}) FROM p{i} WHERE tr AND "
+                          f"list_contains(platforms, '{w}')) END) AS {c}" for c in ("ip", "cp"))
+        chain += f"p{i + 1} AS MATERIALIZED (SELECT user_id, app_id, tr, platforms, {fills} FROM p{i}),\n"
+    numbers = {"user_account_age_months": "age", "user_latitude": "lat", "user_longitude": "lon", "game_avg_playtime_forever": "dur",
+               "game_released_year": "yr", "game_initial_price": "ip", "game_current_price": "cp",
+               "game_current_discount": "round_even((ip - cp) / (ip + 1e-6), 0)", "game_popularity": "pop", "game_edition": "1"}
+    long = " UNION ALL ".join(f"SELECT user_id, app_id, tr, '{n}' AS feature, CAST({c} AS DOUBLE) AS v FROM q" for n, c in numbers.items())
+    prefs = " UNION ALL ".join(f"SELECT user_id, bool_and(tr) AS tr, '{n}' AS feature, avg({c}) AS v FROM f GROUP BY user_id"
+                               for n, c in zip(FLOW_MEANS.values(), ("pop", "dur", "yr", "ip")))
+    lists = " UNION ALL ".join(
+        f"SELECT DISTINCT user_id, app_id, tr, 'game_{n}_' || CASE WHEN w IN (SELECT unnest({n}) FROM f WHERE tr) THEN w ELSE 'Unknown' END AS feature "
+        f"FROM (SELECT user_id, app_id, tr, unnest({n}) AS w FROM f)" for n in ("genres", "platforms"))
+    return RELEVANCE_SQL_BODY.rstrip() + f""",
+u AS ({fx.USERS_SQL}),
+f AS MATERIALIZED (SELECT r.user_id, r.app_id, r.user_id % {fx.TRAIN_MOD} <> 0 AS tr, string_split(p_name, ' ') AS genres,
+             CASE WHEN p_size % 3 = 0 AND p_type <> 'PROMO' THEN [p_type, 'PROMO'] ELSE [p_type] END AS platforms, CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS esrb,
+             p_size * 1500.0 AS pop, CASE WHEN p_partkey % 6 <> 0 THEN p_size END AS dur,
+             CASE WHEN p_partkey % 9 <> 0 THEN 1980 + p_size % 30 END AS yr, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS ip,
+             CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice * 0.4 END AS cp,
+             coalesce(CASE WHEN r.user_id % 13 <> 0 THEN u.user_country_code END, 'Missing') AS country, u.user_latitude AS lat,
+             u.user_longitude AS lon,
+             CASE WHEN r.user_id % 17 <> 0 THEN (epoch({fx.AS_OF_SQL}) - epoch(u.user_created)) / (30.44 * 86400.0) END AS age
+      FROM rel r JOIN part ON r.app_id = p_partkey LEFT JOIN u ON r.user_id = u.user_id),
+ind AS MATERIALIZED (SELECT user_id, app_id, tr, 'game_esrb_rating_' || CASE WHEN esrb IN (SELECT esrb FROM f WHERE tr AND esrb IS NOT NULL)
+                     THEN esrb ELSE 'Unknown' END AS feature FROM f UNION ALL {lists}),
+p0 AS MATERIALIZED (SELECT user_id, app_id, tr, platforms, ip, cp FROM f),
+{chain}
+geo AS (SELECT country, median(lat) AS glat, median(lon) AS glon FROM f WHERE tr GROUP BY country),
+whole AS (SELECT median(lat) AS mlat, median(lon) AS mlon, median(dur) AS mdur, median(age) AS mage FROM f WHERE tr),
+yrs AS (SELECT yr AS myr FROM f WHERE tr AND yr IS NOT NULL GROUP BY yr ORDER BY count(*) DESC, yr LIMIT 1),
+q AS MATERIALIZED (SELECT f.user_id, f.app_id, f.tr, pop, coalesce(dur, mdur) AS dur, coalesce(age, mage) AS age, coalesce(yr, myr) AS yr,
+             coalesce(lat, glat, mlat) AS lat, coalesce(lon, glon, mlon) AS lon, p.ip, p.cp
+      FROM f JOIN p{len(FLOW_FLAGS)} p USING (user_id, app_id) LEFT JOIN geo USING (country), whole, yrs),
+num AS MATERIALIZED ({long}),
+ns AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS s FROM num WHERE tr GROUP BY feature HAVING min(v) <> max(v)),
+pref AS MATERIALIZED ({prefs}),
+ps AS (SELECT feature, min(pref.v) AS lo, max(pref.v) AS hi FROM pref JOIN (SELECT DISTINCT user_id FROM f WHERE tr) USING (user_id) GROUP BY feature),
+cnt AS (SELECT user_id, count(*) AS n FROM f WHERE NOT tr GROUP BY user_id)
+SELECT user_id, app_id, feature, round(v, 6) AS value FROM (
+  SELECT user_id, app_id, feature, 1.0 AS v FROM ind WHERE NOT tr
+         AND (feature NOT LIKE 'game_platforms_%' OR feature IN (SELECT feature FROM ind WHERE tr))
+  UNION ALL SELECT user_id, app_id, feature, (v - m) / s FROM num JOIN ns USING (feature) WHERE NOT tr AND v IS NOT NULL
+  UNION ALL SELECT user_id, 0, feature, (v - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END FROM pref JOIN ps USING (feature) WHERE NOT tr AND v IS NOT NULL
+  UNION ALL SELECT user_id, 0, 'user_preference_' || feature, count(*) * 1.0 / any_value(n) FROM ind JOIN cnt USING (user_id)
+            WHERE NOT tr GROUP BY user_id, feature)
+WHERE round(v, 6) <> 0"""
+
+
+@register("feature_pipeline_train_test", "C1 C2 A1 P25 N1 I1 I2 I3 I4 I5 I6 N2 N6", _flow_sql())
+def q_flow(spark, d):
+    """The offline build fitted on the train users, saved, loaded and applied to the test users: the features other than 0,
+    in long form (a user's own features once, under app_id 0)."""
+    from ludex.operators.flow import FeatureFlow
+    from ludex.session import cut_lineage, scratch_path
+    f = cut_lineage(flow_frame(spark, d))
+    path = scratch_path(spark, "flow")
+    FeatureFlow(flow_steps(power=False)).fit(f.filter(F.col("user_id") % fx.TRAIN_MOD != 0)).save(spark, path)
+    out = cut_lineage(FeatureFlow.load(spark, path).apply(f.filter(F.col("user_id") % fx.TRAIN_MOD == 0)))
+    rows = [c for c in out.columns if c.startswith(("game_esrb_rating_", "game_genres_", "game_platforms_")) or c in FLOW_NUMBERS]
+    own = [c for c in out.columns if c.startswith("user_preference_")]
+
+    def long(df, cols):
+        values = [F.col(f"`{c}`").cast("double").alias(c) for c in cols]
+        return df.select("user_id", "app_id", *values).unpivot(["user_id", "app_id"], [f"`{c}`" for c in cols], "feature", "value")
+
+    users = out.select("user_id", F.lit(0).cast(out.schema["app_id"].dataType).alias("app_id"), *[f"`{c}`" for c in own]).distinct()
+    return round_doubles(long(out, rows).unionByName(long(users, own))).filter("value <> 0")
