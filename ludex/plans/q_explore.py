@@ -103,13 +103,16 @@ def q_pca(spark, d):
                                  "component int, explained_variance double, mean_score double, n_rows long")
 
 
-@register("density_clusters_sample", "V6 T4")
-def q_dbscan(spark, d):
-    e = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].alias("x0"),
-                                                  F.col("embedding")[1].alias("x1"))
-    sample = ex.sample_n(e, 10000, "vec_id")
-    # the reference clusters 2-d points with eps 0.5; the fixture vectors span about +-0.4, so eps is scaled
-    labels = ex.density_clusters(sample, "vec_id", ["x0", "x1"], eps=0.05, min_pts=5)
+@register("density_clusters_sample", "V6 T4 R4 N2")
+def q_dbscan(spark, d, eps: float = 0.5, min_pts: int = 112):
+    """Cluster sizes of a fixed-size sample of users by their standardised rank-2 factors."""
+    from ludex.operators.scale import Standardize
+    from ludex.plans.q_model import als_train
+    from ludex.session import cut_lineage
+    _, _, model = als_train(spark, d, rank=2)
+    f = model.user_factors().select("user_id", *[F.col("features")[i].cast("double").alias(f"x{i}") for i in range(2)])
+    sample = cut_lineage(ex.sample_n(f, 10000, "user_id"))
+    labels = ex.density_clusters(Standardize.fit(sample, ["x0", "x1"]).apply(sample), "user_id", ["x0", "x1"], eps, min_pts)
     return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_points"))
 
 
