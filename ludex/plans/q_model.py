@@ -344,6 +344,60 @@ def q_new_users(spark, d):
     return out.join(prefs, "user_id", "left")
 
 
+def request_features(spark, d):
+    """(user rows, game rows, roles, vocabulary sizes) of the request path, fitted on the train users.
+
+    A user's row is made as for a new user (R13): country or Missing, coordinates and account age filled from train (I7), country
+    encoded (C3), means over the user's own games of prices, sizes and every genre (R9), mean game vector."""
+    from ludex.functions import clean as cl
+    from ludex.operators import encode as enc
+    from ludex.operators import impute as imp
+    from ludex.operators import profile as pf
+    from ludex.operators.scale import Standardize
+    from ludex.session import cut_lineage
+    inter = cut_lineage(fx.interactions(spark, d).select("user_id", "app_id"))
+    u = fx.users(spark, d).select("user_id", F.when(F.col("user_id") % 13 != 0, F.col("user_country_code")).alias("user_country_code"), "user_latitude",
+                                  "user_longitude", F.when(F.col("user_id") % 17 != 0, cl.age_months("user_created", fx.AS_OF)).alias("user_account_age_months"))
+    u = cut_lineage(u.join(inter.select("user_id").distinct(), "user_id", "left_semi"))
+    seen_users = u.filter(F.col("user_id") % M != 0)
+    geo = imp.GroupMedianFill.fit(seen_users.filter("user_country_code IS NOT NULL"), ["user_latitude", "user_longitude"], "user_country_code")
+    u = cut_lineage(imp.impute_profiles(u, geo, imp.MedianFill.fit(seen_users, ["user_account_age_months"])))
+    numbers = ["user_latitude", "user_longitude", "user_account_age_months"]
+    country = enc.LabelEncoder.fit(u.filter(F.col("user_id") % M != 0), "user_country_code")
+    u = Standardize.fit(u.filter(F.col("user_id") % M != 0), numbers).apply(country.apply(u))
+    g = cut_lineage(fx.games(spark, d).withColumns({"f_size": F.col("game_size") / 50.0, "f_retail": F.col("game_initial_price") / 2000.0})
+                    .select("app_id", "game_type", "game_brand", "game_genres", "f_size", "f_retail"))
+    known = g.join(inter.filter(F.col("user_id") % M != 0).select("app_id").distinct(), "app_id", "left_semi")
+    kind, brand, words = enc.LabelEncoder.fit(known, "game_type"), enc.LabelEncoder.fit(known, "game_brand"), enc.ListEncoder.fit(known, "game_genres")
+    genres = enc.MultiLabel.fit(known, "game_genres", "genre", unknown=False)
+    means = ["f_size", "f_retail", *[f"genre_{w}" for w in genres.state["known"]]]
+    prefs = pf.user_profile_table(inter.join(genres.apply(g), "app_id"), "user_id", means)
+    items = item_vectors(spark, d)
+    flat = [f"{v}_{k}" for v in ("game_emb", "user_emb") for k in range(VECTOR_DIM)]
+    uvec = mean_vectors(inter, items).select("user_id", *[F.col("features")[k].alias(f"user_emb_{k}") for k in range(VECTOR_DIM)])
+    users = u.join(prefs, "user_id").join(uvec, "user_id", "left").drop("user_country_code")
+    games = words.apply(brand.apply(kind.apply(g))).join(items.select("app_id", *[F.col("features")[k].alias(f"game_emb_{k}") for k in range(VECTOR_DIM)]),
+                                                         "app_id", "left").drop("game_type", "game_brand", "game_genres")
+    roles = {"single": ["user_country_code_encoded", "game_type_encoded", "game_brand_encoded"], "multi": ["game_genres_encoded_padded"],
+             "num": [*numbers, "f_size", "f_retail", *[f"user_preference_{c}" for c in means]], "bool": ["user_has_coordinates"], "cf": flat}
+    card = {f"{c}_encoded": len(e.state["labels"]) + 1 for c, e in (("user_country_code", country), ("game_type", kind), ("game_brand", brand))}
+    return cut_lineage(users), cut_lineage(games), roles, card | {"game_genres_encoded_padded": len(words.state["labels"]) + 2}
+
+
+@register("new_user_model_recommendations", "R13 R14 R16 R19 R11 R9 I7 C3 C4")
+def q_request(spark, d, epochs: int = 3):
+    """The ten best unseen games of every new (test) user by the MLP that was trained on the train users, formatted."""
+    from ludex.operators.mlp import MLPRanker, recommend_by_model
+    users, games, roles, card = request_features(spark, d)
+    rel = relevance_table(spark, d).select("user_id", "app_id", "relevance_score")
+    train = rel.filter(F.col("user_id") % M != 0).join(users, "user_id").join(games, "app_id")
+    m = MLPRanker(roles, card, epochs=epochs).prepare(train, "user_id", "app_id", "relevance_score").fit()
+    m.release()
+    new = users.filter(F.col("user_id") % M == 0)
+    recs = recommend_by_model(new, games, rel.filter(F.col("user_id") % M == 0).select("user_id", "app_id"), roles, m.widths, m.weights, k=10)
+    return rk.format_recommendations(recs, fx.games(spark, d).select("app_id", "game_name"))
+
+
 TAB_SQL = RELEVANCE_SQL_BODY.rstrip() + f""",
 u AS ({fx.USERS_SQL}),
 f AS (SELECT r.user_id, r.app_id, r.relevance_score, p_type AS game_type, p_size AS game_size,
