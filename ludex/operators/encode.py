@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ludex.functions.clean import UNKNOWN
+from ludex.functions.clean import MISSING, UNKNOWN
 from ludex.session import join_small
 
 OTHER = "Other"
@@ -53,9 +53,61 @@ class Fitted:
         return obj
 
 
-def _distinct_sorted(df: DataFrame, col: str, explode: bool = False) -> list:
-    v = F.explode(col) if explode else F.col(col)
-    return sorted(r[0] for r in df.select(v.alias("_v")).filter(F.col("_v").isNotNull()).distinct().collect())
+# Labels that are gathered as a list; more of them stay a table (C3 C4 C5 C9), or are refused where each names a column.
+SMALL_LABELS = 100_000
+MAX_COLUMNS = 10_000
+
+
+def _distinct(df: DataFrame, col: str, explode: bool = False) -> DataFrame:
+    return df.select((F.explode(col) if explode else F.col(col)).alias("_lbl")).filter("_lbl IS NOT NULL").distinct()
+
+
+def _column_labels(df: DataFrame, col: str, explode: bool = False) -> list:
+    """The sorted labels, each of which will name a column."""
+    rows = _distinct(df, col, explode).limit(MAX_COLUMNS + 1).collect()
+    if len(rows) > MAX_COLUMNS:
+        raise ValueError(f"{col}: over {MAX_COLUMNS} labels cannot name columns; index them (C3, C4)")
+    return sorted(r[0] for r in rows)
+
+
+class Dictionary(Fitted):
+    """Fitted labels with their places in label order: a list while there are at most ``SMALL_LABELS``, else a
+    written table (``_lbl``, ``_idx``) that was numbered by C11 and never passes the driver.  Same results."""
+
+    _table: DataFrame | None = None
+
+    @staticmethod
+    def gather(found: DataFrame) -> tuple[dict, DataFrame | None]:
+        """``found`` (``_lbl``) as state and table; the caller numbers from 0."""
+        from ludex.session import cut_lineage
+        rows = found.limit(SMALL_LABELS + 1).collect()
+        if len(rows) <= SMALL_LABELS:
+            return {"labels": sorted(r[0] for r in rows), "n": len(rows)}, None
+        table = cut_lineage(build_index(found, "_lbl", "_idx", kind="long").select(F.col("_lbl").cast("string").alias("_lbl"), "_idx"))
+        return {"n": table.count()}, table
+
+    def size(self) -> int:
+        return self.state["n"] if "n" in self.state else len(self.state["labels"])
+
+    def table(self, spark: SparkSession, start: int = 0) -> DataFrame:
+        """(``_lbl``, ``_idx``), numbered from ``start``; int while it holds all places."""
+        kind = "int" if self.size() + start + 1 < 2 ** 31 else "long"
+        t = self._table
+        if t is None:
+            t = spark.createDataFrame([(x, i) for i, x in enumerate(self.state["labels"])], "_lbl string, _idx long")
+        return t.select("_lbl", (F.col("_idx") + start).cast(kind).alias("_idx"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        super().save(spark, path)
+        if self._table is not None:
+            self._table.write.mode("overwrite").parquet(f"{path}/table")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str):
+        obj = super().load(spark, path)
+        if "n" in obj.state and "labels" not in obj.state:
+            obj._table = spark.read.parquet(f"{path}/table")
+        return obj
 
 
 def _safe(label) -> str:
@@ -70,7 +122,7 @@ class OneHot(Fitted):
 
     @classmethod
     def fit(cls, df: DataFrame, col: str, unknown: str = UNKNOWN) -> "OneHot":
-        cats = _distinct_sorted(df, col)
+        cats = _column_labels(df, col)
         if unknown not in cats:
             cats.append(unknown)
         return cls(col=col, categories=cats, unknown=unknown)
@@ -95,7 +147,7 @@ class MultiLabel(Fitted):
 
     @classmethod
     def fit(cls, df: DataFrame, col: str, prefix: str, unknown: bool = True) -> "MultiLabel":
-        labels = _distinct_sorted(df, col, explode=True)
+        labels = _column_labels(df, col, explode=True)
         classes = sorted(set(labels) | {UNKNOWN}) if unknown else labels
         return cls(col=col, prefix=prefix, known=labels, classes=classes, unknown=unknown)
 
@@ -142,26 +194,23 @@ class TopNLabels(Fitted):
 
 
 # C3 C4 C11 ------------------------------------------------------------------
-class LabelEncoder(Fitted):
-    """Sorted train labels -> 0..n-1; unseen -> n."""
+class LabelEncoder(Dictionary):
+    """Sorted train labels -> 0..n-1; unseen and null -> n."""
 
     kind = "label"
 
     @classmethod
     def fit(cls, df: DataFrame, col: str) -> "LabelEncoder":
-        return cls(col=col, labels=_distinct_sorted(df, col))
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(x, i) for i, x in enumerate(self.state["labels"])],
-                                     f"_lbl string, _idx int")
+        state, table = cls.gather(_distinct(df, col))
+        obj = cls(col=col, **state)
+        obj._table = table
+        return obj
 
     def apply(self, df: DataFrame, out: str | None = None) -> DataFrame:
-        col, labels = self.state["col"], self.state["labels"]
-        out = out or f"{col}_encoded"
-        n = len(labels)
+        col, n = self.state["col"], self.size()
         t = self.table(df.sparkSession)
         j = join_small(df, t, df[col].cast("string") == t["_lbl"], "left", known_rows=n)
-        return j.withColumn(out, F.coalesce(F.col("_idx"), F.lit(n))).drop("_lbl", "_idx")
+        return j.withColumn(out or f"{col}_encoded", F.coalesce(F.col("_idx"), F.lit(n))).drop("_lbl", "_idx")
 
 
 def map_lists(df: DataFrame, col: str, table: DataFrame, value: str, default, out: str, known_rows: int | None = None) -> DataFrame:
@@ -180,7 +229,7 @@ def map_lists(df: DataFrame, col: str, table: DataFrame, value: str, default, ou
             .withColumn(out, F.coalesce("_mapped", F.array().cast(kind))).drop("_list", "_mapped"))
 
 
-class ListEncoder(Fitted):
+class ListEncoder(Dictionary):
     """C4: list labels -> 1..n (sorted), unseen -> n+1, padded with 0 to the
     fitted max length (longer lists are cut to it)."""
 
@@ -188,16 +237,16 @@ class ListEncoder(Fitted):
 
     @classmethod
     def fit(cls, df: DataFrame, col: str) -> "ListEncoder":
-        labels = _distinct_sorted(df, col, explode=True)
+        state, table = cls.gather(_distinct(df, col, explode=True))
         width = int(df.agg(F.coalesce(F.max(F.size(col)), F.lit(0))).first()[0])
-        return cls(col=col, labels=labels, width=width)
+        obj = cls(col=col, width=width, **state)
+        obj._table = table
+        return obj
 
     def apply(self, df: DataFrame, out: str | None = None) -> DataFrame:
-        s = self.state
-        col, labels, width = s["col"], s["labels"], int(s["width"])
+        col, width, n = self.state["col"], int(self.state["width"]), self.size()
         out = out or f"{col}_encoded_padded"
-        n = len(labels)
-        t = df.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(labels)], "_lbl string, _idx int")
+        t = self.table(df.sparkSession, start=1)
         res = map_lists(df, col, t, "_idx", n + 1, "_enc", known_rows=n)
         enc = F.col("_enc")
         padded = F.slice(F.concat(enc, F.array_repeat(F.lit(0), F.greatest(F.lit(width) - F.size(enc), F.lit(0)))),
@@ -205,8 +254,8 @@ class ListEncoder(Fitted):
         return res.withColumn(out, padded).drop("_enc")
 
 
-def build_index(df: DataFrame, col: str, out: str = "idx", order: Column | None = None) -> DataFrame:
-    """C11: distinct ids -> dense 0..n-1 in id order (or in ``order``, ties by id).
+def build_index(df: DataFrame, col: str, out: str = "idx", order: Column | None = None, kind: str = "int") -> DataFrame:
+    """C11: distinct ids -> dense 0..n-1 in id order (or in ``order``, ties by id), as ``kind`` (long: over 2^31 ids).
 
     Range partitioning + per-partition counts turned into offsets (the
     ``zipWithIndex`` idea, JVM-side): numbering runs per range partition, so
@@ -223,11 +272,11 @@ def build_index(df: DataFrame, col: str, out: str = "idx", order: Column | None
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("_p").orderBy("_o", col)
     return part.join(F.broadcast(offs.select("_p", "_off")), "_p") \
-        .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast("int")).select(col, out)
+        .withColumn(out, (F.col("_off") + F.row_number().over(w) - 1).cast(kind)).select(col, out)
 
 
 # C5 C8 ----------------------------------------------------------------------
-class CoverageCap(Fitted):
+class CoverageCap(Dictionary):
     """Labels by count desc (label asc on ties); keep while the running
     share is below ``coverage``; every other label becomes ``Other``."""
 
@@ -237,14 +286,19 @@ class CoverageCap(Fitted):
     def fit(cls, df: DataFrame, col: str, coverage: float = 0.8) -> "CoverageCap":
         from ludex.operators.profile import cumulative_share, value_counts
         counts = value_counts(df, col, explode=True)
-        kept = cumulative_share(counts, col).filter(F.col("cum_share") < coverage).select(col)
-        return cls(col=col, coverage=coverage, kept=sorted(r[0] for r in kept.collect()))
+        kept = cumulative_share(counts, col).filter(F.col("cum_share") < coverage).select(F.col(col).alias("_lbl"))
+        state, table = cls.gather(kept)
+        obj = cls(col=col, coverage=coverage, **({"kept": state["labels"]} if table is None else state))
+        obj._table = table
+        return obj
 
     def apply(self, df: DataFrame, out: str | None = None) -> DataFrame:
-        col, kept = self.state["col"], self.state["kept"]
+        col = self.state["col"]
         out = out or col
-        t = df.sparkSession.createDataFrame([(k, k) for k in kept], "_lbl string, _kept string")
-        res = map_lists(df, col, t, "_kept", OTHER, "_enc", known_rows=len(kept))
+        kept = self.state.get("kept")
+        t = self._table if kept is None else df.sparkSession.createDataFrame([(k,) for k in kept], "_lbl string")
+        res = map_lists(df, col, t.select("_lbl", F.col("_lbl").alias("_kept")), "_kept", OTHER, "_enc",
+                        known_rows=self.size() if kept is None else len(kept))
         return res.withColumn(out, F.when(F.col(col).isNotNull(), F.array_distinct("_enc"))).drop("_enc")
 
 
@@ -275,16 +329,38 @@ class CategoryEnforcer(Fitted):
 
     @classmethod
     def fit(cls, df: DataFrame, cols: list[str]) -> "CategoryEnforcer":
-        return cls(cols=cols, **{f"cats_{c}": _distinct_sorted(df, c) for c in cols})
+        obj = cls(cols=cols, fallback={})
+        obj._parts = {}
+        for c in cols:
+            state, table = Dictionary.gather(_distinct(df, c))
+            obj._parts[c] = Dictionary(**state)
+            obj._parts[c]._table = table
+            has = set(state["labels"]) if table is None else {r[0] for r in table.filter(F.col("_lbl").isin(OTHER, MISSING)).select("_lbl").collect()}
+            obj.state["fallback"][c] = OTHER if OTHER in has else MISSING if MISSING in has else None
+        return obj
 
     def apply(self, df: DataFrame) -> DataFrame:
         exprs = {}
         for c in self.state["cols"]:
-            cats = self.state[f"cats_{c}"]
-            fallback = F.lit(OTHER) if OTHER in cats else F.lit("Missing") if "Missing" in cats \
-                else F.lit(None).cast("string")
-            exprs[c] = F.when(F.col(c).isin(cats), F.col(c)).otherwise(fallback)
-        return df.withColumns(exprs)
+            part, other = self._parts[c], F.lit(self.state["fallback"][c]).cast("string")
+            if part._table is None:
+                exprs[c] = F.when(F.col(c).isin(part.state["labels"]), F.col(c)).otherwise(other)
+            else:                                                        # too many for a list in the plan: joined
+                t = part._table.select(F.col("_lbl").alias(f"_seen_{c}"))
+                df = join_small(df, t, df[c].cast("string") == t[f"_seen_{c}"], "left", known_rows=part.size())
+                exprs[c] = F.when(F.col(f"_seen_{c}").isNotNull(), F.col(c)).otherwise(other)
+        return df.withColumns(exprs).drop(*[f"_seen_{c}" for c in self.state["cols"]])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        super().save(spark, path)
+        for i, c in enumerate(self.state["cols"]):
+            self._parts[c].save(spark, f"{path}/part{i}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CategoryEnforcer":
+        obj = super().load(spark, path)
+        obj._parts = {c: Dictionary.load(spark, f"{path}/part{i}") for i, c in enumerate(obj.state["cols"])}
+        return obj
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:

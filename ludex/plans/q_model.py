@@ -276,8 +276,8 @@ def mlp_rows(spark, d):
                  *flatten_vector("g", VECTOR_DIM, "game_emb"), *flatten_vector("u", VECTOR_DIM, "user_emb"))
     roles = {"single": ["game_type_encoded", "dev_encoded"], "multi": ["game_genres_encoded_padded"],
              "num": RANK_FEATURES, "bool": tag_cols, "cf": [f"{v}_{i}" for v in ("game_emb", "user_emb") for i in range(VECTOR_DIM)]}
-    card = {"game_type_encoded": len(t_enc.state["labels"]) + 1, "dev_encoded": len(d_enc.state["labels"]) + 1,
-            "game_genres_encoded_padded": len(g_enc.state["labels"]) + 2}
+    card = {"game_type_encoded": t_enc.size() + 1, "dev_encoded": d_enc.size() + 1,
+            "game_genres_encoded_padded": g_enc.size() + 2}
     return x, roles, card
 
 
@@ -380,8 +380,8 @@ def request_features(spark, d):
                                                          "app_id", "left").drop("game_type", "game_brand", "game_genres")
     roles = {"single": ["user_country_code_encoded", "game_type_encoded", "game_brand_encoded"], "multi": ["game_genres_encoded_padded"],
              "num": [*numbers, "f_size", "f_retail", *[f"user_preference_{c}" for c in means]], "bool": ["user_has_coordinates"], "cf": flat}
-    card = {f"{c}_encoded": len(e.state["labels"]) + 1 for c, e in (("user_country_code", country), ("game_type", kind), ("game_brand", brand))}
-    return cut_lineage(users), cut_lineage(games), roles, card | {"game_genres_encoded_padded": len(words.state["labels"]) + 2}
+    card = {f"{c}_encoded": e.size() + 1 for c, e in (("user_country_code", country), ("game_type", kind), ("game_brand", brand))}
+    return cut_lineage(users), cut_lineage(games), roles, card | {"game_genres_encoded_padded": words.size() + 2}
 
 
 @register("new_user_model_recommendations", "R13 R14 R16 R19 R11 R9 I7 C3 C4")
