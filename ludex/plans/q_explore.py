@@ -84,8 +84,8 @@ def q_embedding_table(spark, d):
     items = item_vectors(spark, d)
     i = fx.interactions(spark, d).select("user_id", "app_id")
     uv = mean_vectors(i, items).select("user_id", F.col("features").alias("user_emb"))
-    emb = i.join(items.select("app_id", F.col("features").alias("game_emb")), "app_id").join(uv, "user_id")
-    return round_doubles(ex.embedding_table(f, emb, ["user_id", "app_id"], "game_genres", "relevance_score", dim=64))
+    return round_doubles(ex.embedding_table(f, items.select("app_id", F.col("features").alias("game_emb")), uv, ["user_id", "app_id"],
+                                            "game_genres", "relevance_score", dim=64))
 
 
 @register("pca_two_components", "V5")
