@@ -120,10 +120,20 @@ def q_dbscan(spark, d, eps: float = 0.5, min_pts: int = 112):
 def q_shapley(spark, d):
     """Mean absolute attributions of every input of the MLP (a padded list counts by place), on test rows."""
     from ludex.operators import rank as rk
-    from ludex.plans.q_model import mlp_inputs
+    from ludex.plans.q_model import M, mlp_parts, mlp_rows, mlp_wide
     from ludex.session import cut_lineage
-    x, roles, w = mlp_inputs(spark, d)
-    x = cut_lineage(x.withColumn("row_key", F.col("user_id") * 1_000_000 + F.col("app_id")))
+    n, seed = 200, 43
+    r, games, roles, card = mlp_parts(spark, d)
+    w = rk.init_mlp(roles, card, seed=42)
+    row_key = F.col("user_id") * 1_000_000 + F.col("app_id")
+    # both samples are drawn of all rows by their keys alone; vectors are attached to the rows of the drawn keys
+    test = r.filter(F.col("user_id") % M == 0)
+    keys = cut_lineage(test.select("user_id", "app_id").join(games.select("app_id"), "app_id").select("user_id", "app_id", row_key.alias("row_key")))
+    drawn = cut_lineage(ex.sample_n(keys, n, "row_key").unionByName(ex.sample_n(keys, ex.BACKGROUND, "row_key", seed)).distinct())   # at most both samples
+    users = cut_lineage(test.join(F.broadcast(drawn.select("user_id").distinct()), "user_id", "left_semi"))
+    x, own = mlp_rows(users, games)
+    x = x.join(F.broadcast(drawn.select("user_id", "app_id")), ["user_id", "app_id"], "left_semi")
+    x = cut_lineage(mlp_wide(x, own, roles).withColumn("row_key", row_key))
     width = {c: x.select(F.coalesce(F.max(F.size(c)), F.lit(0))).first()[0] for c in roles["multi"]}      # padded: one size
     places = {c: [f"{c}_dim_{k}" for k in range(n)] for c, n in width.items()}
     x = x.withColumns({name: F.col(c)[k] for c, names in places.items() for k, name in enumerate(names)})
@@ -135,7 +145,7 @@ def q_shapley(spark, d):
                                              *roles["num"], *roles["bool"], *roles["cf"])
         return rk.score_mlp(whole, roles, w)
 
-    sh = ex.shapley_sample(ex.sample_n(x, 200, "row_key"), x, features, score, "row_key", m=20, seed=43)
+    sh = ex.shapley_sample(ex.sample_n(x, n, "row_key"), x, features, score, "row_key", m=20, seed=seed)
     return sh.groupBy("feature").agg(F.avg(F.abs("shapley")).alias("mean_abs_shapley"),
                                      F.count(F.lit(1)).alias("n_rows"))
 
