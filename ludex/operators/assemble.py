@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,14 +48,23 @@ def attach(df: DataFrame, dim: DataFrame, key, known_rows: int | None = None) ->
 
 
 def attach_embeddings(df: DataFrame, emb: DataFrame, keys: list[str], col: str, dim: int,
-                      fill: float = 0.0) -> DataFrame:
+                      fill: float = 0.0, each: Callable[[Column], list[Column]] | None = None) -> DataFrame:
     """Left join on a composite key after de-duplicating the right side;
-    a miss (or a vector of the wrong length) becomes the fill vector."""
+    a miss (or a vector of the wrong length) becomes the fill vector.
+
+    ``each``: named columns of the vector to attach in its place; they are
+    computed once a key, not once a row, and for a miss of the fill vector."""
     right = first_per_key(emb.select(*keys, col), keys, keys)
-    j = df.join(right, keys, "left")
     fillv = F.array_repeat(F.lit(fill).cast("float"), dim)
     ok = F.col(col).isNotNull() & (F.size(col) == dim)
-    return j.withColumn(col, F.when(ok, F.col(col)).otherwise(fillv))
+    vector = F.when(ok, F.col(col)).otherwise(fillv)
+    if each is None:
+        return df.join(right, keys, "left").withColumn(col, vector)
+    made = right.select(*keys, vector.alias(col)).select(*keys, F.lit(True).alias("_met"), *each(F.col(col)))
+    names = [c for c in made.columns if c not in (*keys, "_met")]
+    none = df.sparkSession.range(1).select(fillv.alias(col)).select(*each(F.col(col))).first()     # one row: the fill vector's columns
+    j = df.join(made, keys, "left")
+    return j.withColumns({c: F.when(F.col("_met"), F.col(c)).otherwise(F.lit(none[c])) for c in names}).drop("_met")
 
 
 def join_embeddings(df: DataFrame, emb: DataFrame, keys: list[str]) -> DataFrame:

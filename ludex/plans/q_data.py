@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ludex.operators import assemble as asm
 from ludex.operators import profile as pf
 from ludex.plans import fixtures as fx
-from ludex.plans.registry import register, round_doubles
+from ludex.plans.registry import DIGITS, register, round_doubles
 from ludex.session import scratch_path
 from ludex.sources import ingest, io
 
@@ -188,10 +188,9 @@ def q_attach_emb(spark, d):
         .withColumn("slot", F.col("app_id") % 500).withColumn("label", (F.col("user_id") % 10).cast("int"))
     e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("slot"), "label", "embedding")
     hit = i.join(e.select("slot", "label").withColumn("hit", F.lit(True)), ["slot", "label"], "left")
-    j = asm.attach_embeddings(hit, e, ["slot", "label"], "embedding", 64)
-    return round_doubles(j.select("user_id", "app_id", *[F.col("embedding")[k].cast("double").alias(f"emb_{k}") for k in range(64)],
-                                  F.size("embedding").alias("emb_len"),
-                                  F.coalesce(F.col("hit"), F.lit(False)).alias("hit")))
+    j = asm.attach_embeddings(hit, e, ["slot", "label"], "embedding", 64, each=lambda v: [      # rounded once a vector
+        *[F.round(v[k].cast("double"), DIGITS).alias(f"emb_{k}") for k in range(64)], F.size(v).alias("emb_len")])
+    return j.select("user_id", "app_id", *[f"emb_{k}" for k in range(64)], "emb_len", F.coalesce(F.col("hit"), F.lit(False)).alias("hit"))
 
 
 @register("features_join_relevance", "J4 U3", fx.cte(inter=I) + """
