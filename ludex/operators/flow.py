@@ -10,7 +10,9 @@ be fitted form a level and are fitted on the same frame: one aggregate for
 all their sums and extremes, one for all their label counts, one quantile
 selection for all their medians.  Only modes, per-group medians and power
 exponents have passes of their own.  The frame is staged at the start and after
-a level that joined something; else a level is a projection of the stage.
+levels that joined something, before the next fit that reads rows; else a level
+is a projection of the stage.  A stage holds the columns that steps still to be
+fitted read, so what only ``apply`` gives is never computed by a fit.
 
 Nulls: label lists that are null are empty, a null category is ``Unknown`` to
 the one-hot step and no label to the others; statistics ignore nulls, a column
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import json
 from fnmatch import fnmatchcase
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,7 @@ class Step(Fitted):
     """A step of the flow: ``state`` holds its parameters and what was fitted, as JSON values."""
 
     joins = False                                     # whether ``apply`` joins (then the frame is staged after it)
+    looks = True                                      # whether fitting reads the rows
 
     def reads(self) -> list[str]:
         return self.state["cols"]
@@ -130,6 +134,8 @@ class MultiLabelStep(Step):
 class Derive(Step):
     """A column from an SQL expression over ``cols``."""
 
+    looks = False
+
     def __init__(self, out: str, sql: str, cols: list[str]):
         super().__init__(cols=cols, out=out, sql=sql)
 
@@ -143,7 +149,7 @@ class Derive(Step):
 class UserMeans(Step):
     """The means of a user's rows of the same frame, for named columns and all columns of the patterns."""
 
-    joins = True
+    joins, looks = True, False
 
     def __init__(self, user: str, names: dict[str, str], patterns: list[str], prefix: str = "user_preference_"):
         super().__init__(cols=[*names, *patterns], user=user, names=names, prefix=prefix)
@@ -336,16 +342,10 @@ class PowerStep(Step):
         return YeoJohnson(cols=self.state["skewed"], lambdas=self.state["lambdas"]).apply(df) if self.state["skewed"] else df
 
 
-def _tagged(step: int, labels: Column) -> Column:
-    """The labels of a list, each with its step's place."""
-    return F.transform(F.coalesce(labels.cast("array<string>"), F.array().cast("array<string>")),
-                       lambda v: F.struct(F.lit(step).alias("step"), v.alias("label")))
-
-
 def select_medians(df: DataFrame, wanted: dict[str, Column]) -> dict[str, float | None]:
     """Medians of several expressions in one selection."""
     names = [f"m{i}" for i in range(len(wanted))]
-    part = df.select(*[c.cast("double").alias(n) for n, c in zip(names, wanted.values())])
+    part = df.select(*[c.cast("double").alias(n) for n, c in zip(names, wanted.values())]).where(F.coalesce(*names).isNotNull())
     r = exact_quantiles(part, names, [0.5], bounded=small_groups(part)).first()
     return {k: r[n][0] if r is not None and r[n] else None for k, n in zip(wanted, names)}
 
@@ -370,20 +370,28 @@ class FeatureFlow:
                 level.append(i)
         return level
 
-    def fit(self, train: DataFrame) -> "FeatureFlow":
-        stages = [cut_lineage(train)]
-        df, left = stages[0], list(range(len(self.steps)))
+    def _stage(self, df: DataFrame, left: list[int]) -> DataFrame:
+        """The frame written once, with the columns that the steps still to be fitted read."""
+        kept = columns(df, [c for i in left for c in self.steps[i].reads()])
+        return cut_lineage(df.select(*[F.col(f"`{c}`") for c in kept or df.columns]))
+
+    def fit(self, train: DataFrame, staged: bool = False) -> "FeatureFlow":
+        """``staged``: the frame is a written one (or rows of one), so it is read as it is."""
+        left, joined = list(range(len(self.steps))), False
+        stages = [] if staged else [self._stage(train, left)]
+        df = train if staged else stages[0]
         self.levels, self.passes = [], 0
         while left:
             level = self._ready(left)
+            if joined and any(self.steps[i].looks for i in level):
+                stages.append(self._stage(df, left))
+                df, joined = stages[-1], False
             self._fit_level(df, level)
             for i in level:
                 df = self.steps[i].apply(df)
             left = [i for i in left if i not in level]
             self.levels.append(level)
-            if left and any(self.steps[i].joins for i in level):
-                stages.append(cut_lineage(df))
-                df = stages[-1]
+            joined = joined or any(self.steps[i].joins for i in level)
         drop_stage(*stages)
         return self
 
@@ -399,8 +407,9 @@ class FeatureFlow:
         if asked:
             for i in asked:
                 got[i]["labels"] = []
-            one = [_tagged(i, F.col(c) if many else F.array(F.col(c))) for i, (c, many) in asked.items()]
-            found = df.select(F.explode(F.concat(*one)).alias("x")).select("x.*").filter("label IS NOT NULL").distinct()
+            one = [df.select(F.lit(i).alias("step"), (F.explode(F.col(c).cast("array<string>")) if many else F.col(c).cast("string")).alias("label"))
+                   for i, (c, many) in asked.items()]
+            found = reduce(DataFrame.union, one).filter("label IS NOT NULL").distinct()
             rows = found.limit(MAX_LABELS * len(asked) + 1).collect()    # bounded; over it the fit is refused
             self.passes += 1
             for r in rows:
@@ -419,6 +428,9 @@ class FeatureFlow:
             self.steps[i].fit_on(df)
 
     def apply(self, df: DataFrame) -> DataFrame:
+        user = next((s.state["user"] for s in self.steps if isinstance(s, UserMeans)), None)
+        if user and small_groups(df, [user]):
+            df = df.repartition(user)           # rows meet their user before they are encoded: no encoded row is shuffled
         for i in (i for level in self.levels for i in level):
             df = self.steps[i].apply(df)
         return df

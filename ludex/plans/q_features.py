@@ -521,7 +521,7 @@ def q_flow(spark, d):
     from ludex.session import cut_lineage, scratch_path
     f = cut_lineage(flow_frame(spark, d))
     path = scratch_path(spark, "flow")
-    FeatureFlow(flow_steps(power=False)).fit(f.filter(F.col("user_id") % fx.TRAIN_MOD != 0)).save(spark, path)
+    FeatureFlow(flow_steps(power=False)).fit(f.filter(F.col("user_id") % fx.TRAIN_MOD != 0), staged=True).save(spark, path)
     out = cut_lineage(FeatureFlow.load(spark, path).apply(f.filter(F.col("user_id") % fx.TRAIN_MOD == 0)))
     rows = [c for c in out.columns if c.startswith(("game_esrb_rating_", "game_genres_", "game_platforms_")) or c in FLOW_NUMBERS]
     own = [c for c in out.columns if c.startswith("user_preference_")]
@@ -530,5 +530,5 @@ def q_flow(spark, d):
         values = [F.col(f"`{c}`").cast("double").alias(c) for c in cols]
         return df.select("user_id", "app_id", *values).unpivot(["user_id", "app_id"], [f"`{c}`" for c in cols], "feature", "value")
 
-    users = out.select("user_id", F.lit(0).cast(out.schema["app_id"].dataType).alias("app_id"), *[f"`{c}`" for c in own]).distinct()
+    users = out.select("user_id", F.lit(0).cast(out.schema["app_id"].dataType).alias("app_id"), *[f"`{c}`" for c in own]).dropDuplicates(["user_id"])   # equal in all rows of a user
     return round_doubles(long(out, rows).unionByName(long(users, own))).filter("value <> 0")

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ludex.operators import flow as fl
 
@@ -118,3 +119,29 @@ def test_empty_train_clashing_names_and_too_many_labels(spark, frames, monkeypat
     monkeypatch.setattr(fl, "MAX_LABELS", 2)
     with pytest.raises(ValueError, match="words"):
         fl.FeatureFlow([fl.MultiLabelStep("words", "w")]).fit(train)
+
+
+def test_fit_computes_and_stages_only_what_later_fits_read(spark, frames, monkeypatch):
+    train, test = frames
+    seen, cut = [], fl.cut_lineage
+    monkeypatch.setattr(fl, "cut_lineage", lambda df: seen.append(df.columns) or cut(df))
+    unread = train.withColumn("unread", F.raise_error(F.lit("read")).cast("int"))          # no step reads it
+    got = fl.FeatureFlow(steps()).fit(unread)
+    assert "unread" not in seen[0] and not [c for kept in seen for c in kept if c.startswith(("um_", "kind_"))]
+    assert {"price", "p_p", "p_q", "lat"} <= set(seen[-1]) <= {*train.columns, "p_p", "p_q"}
+    n = len(seen)
+    again = fl.FeatureFlow(steps()).fit(cut(train), staged=True)
+    assert len(seen) == 2 * n - 1 and [s.state for s in again.steps if not isinstance(s, fl.GroupMedianStep)] == [
+        s.state for s in got.steps if not isinstance(s, fl.GroupMedianStep)]
+    want, have = (f.apply(test).toPandas().sort_values("item").reset_index(drop=True) for f in (got, again))
+    same(have, want, [c for c in want.columns if c != "item"])
+
+
+def test_medians_of_flagged_rows_alone(spark, monkeypatch):
+    from ludex.operators import ordered
+    df = spark.createDataFrame([(1, 4.0, None), (1, None, None), (0, 9.0, None), (1, 6.0, None), (None, 1.0, None)], "p int, x double, y double")
+    wanted = fl.FlagMedianStep(["x", "y"], "p").medians()
+    assert fl.select_medians(df, wanted) == {"x": 5.0, "y": None}
+    monkeypatch.setattr(ordered, "GROUP_ROWS", -1)                  # by selection, as for large frames
+    assert fl.select_medians(df, wanted) == {"x": 5.0, "y": None}
+    assert fl.select_medians(df.limit(0), wanted) == {"x": None, "y": None}
