@@ -9,9 +9,9 @@ from ludex.operators import explore as ex
 from ludex.operators import profile as pf
 from ludex.plans import fixtures as fx
 from ludex.plans.q_model import item_vectors, mean_vectors
-from ludex.plans.q_relevance import RELEVANCE_SQL_BODY, relevance_table
-from ludex.plans.registry import register, round_doubles
-from ludex.session import scratch_path
+from ludex.plans.q_relevance import RELEVANCE_SQL_BODY, relevance_table, staged_relevance
+from ludex.plans.registry import DIGITS, register, round_doubles
+from ludex.session import cut_lineage, scratch_path
 
 I, G = fx.INTERACTIONS_SQL, fx.GAMES_SQL
 
@@ -80,12 +80,13 @@ SELECT f.user_id, f.app_id, game_genres[1] AS main_genre,
 """ + ", ".join(f"round(iv.v[{k + 1}], 6) AS game_emb_{k}, round(u{k}, 6) AS user_emb_{k}" for k in range(64)) + """
 FROM f JOIN iv USING (app_id) JOIN uvec USING (user_id)""")
 def q_embedding_table(spark, d):
-    f = facts(spark, d)
+    # the interactions are made once, for the rows and for the users' vectors; without prices, which the table does not hold
+    r = staged_relevance(spark, d)
+    f = r.join(fx.games(spark, d).select("app_id", "game_genres"), "app_id")
     items = item_vectors(spark, d)
-    i = fx.interactions(spark, d).select("user_id", "app_id")
-    uv = mean_vectors(i, items).select("user_id", F.col("features").alias("user_emb"))
-    return round_doubles(ex.embedding_table(f, items.select("app_id", F.col("features").alias("game_emb")), uv, ["user_id", "app_id"],
-                                            "game_genres", "relevance_score", dim=64))
+    uv = mean_vectors(r, items).select("user_id", F.col("features").alias("user_emb"))
+    return ex.embedding_table(f, items.select("app_id", F.col("features").alias("game_emb")), uv, ["user_id", "app_id"],
+                              "game_genres", "relevance_score", dim=64, digits=DIGITS)
 
 
 @register("pca_two_components", "V5")
@@ -108,7 +109,6 @@ def q_dbscan(spark, d, eps: float = 0.5, min_pts: int = 112):
     """Cluster sizes of a fixed-size sample of users by their standardised rank-2 factors."""
     from ludex.operators.scale import Standardize
     from ludex.plans.q_model import als_train
-    from ludex.session import cut_lineage
     _, _, model = als_train(spark, d, rank=2)
     f = model.user_factors().select("user_id", *[F.col("features")[i].cast("double").alias(f"x{i}") for i in range(2)])
     sample = cut_lineage(ex.sample_n(f, 10000, "user_id"))
@@ -121,7 +121,6 @@ def q_shapley(spark, d):
     """Mean absolute attributions of every input of the MLP (a padded list counts by place), on test rows."""
     from ludex.operators import rank as rk
     from ludex.plans.q_model import M, mlp_parts, mlp_rows, mlp_wide
-    from ludex.session import cut_lineage
     n, seed = 200, 43
     r, games, roles, card = mlp_parts(spark, d)
     w = rk.init_mlp(roles, card, seed=42)
